@@ -1,0 +1,218 @@
+"""Forecast, plan, scenario and explanation flows over stored tables.
+
+Every step reads tables and writes tables, so a long run survives lost executors and fits are
+never computed twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demandloom.functions.dates import horizon
+from demandloom.operators import explain, forecast, monitor, reports, scenario, supply
+from demandloom.operators.harmonize import harmonize_sales
+from demandloom.operators.history import daily_demand, pack_series, requested_skus
+from demandloom.operators.profile import dataset_profile, profile_text
+from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, shock_table
+from demandloom.schemas import FORECAST_POINT
+from demandloom.sources.datasets import DatasetNotFound, Datasets
+from demandloom.sources.store import ResultNotFound, ResultStore, new_id
+
+HEADERS = {
+    "forecasts": "model_name string, model_version string, components array<string>, notes string, created_at timestamp, forecast_id string",
+    "plans": "forecast_id string, location string, created_at timestamp, plan_id string",
+    "scenarios": (
+        "forecast_id string, plan_id string, name string, kpi string, base double, scenario double, delta double, "
+        "unit string, factor double, narrative string, created_at timestamp, scenario_id string"
+    ),
+}
+
+
+def forecast_fits(
+    sales: DataFrame,
+    request: ForecastRequest,
+    signals: DataFrame | None = None,
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Fit table of a request over harmonised sales, and its (sku, seq) lines."""
+    spark = sales.sparkSession
+    requested = request.skus
+    if isinstance(requested, list):
+        requested = requested_skus(spark, requested)
+    daily = daily_demand(sales, signals, requested, request.location)
+    series = pack_series(daily, requested, partitions)
+    steps = horizon(request.start_date, request.end_date, request.granularity)
+    return forecast.fit_models(series, steps, request.forced_model), requested
+
+
+class Planner:
+    def __init__(self, spark: SparkSession, data_root: str, result_root: str):
+        self.spark = spark
+        self.datasets = Datasets(spark, data_root)
+        self.store = ResultStore(spark, result_root)
+
+    # --- inputs
+
+    def sales(self) -> DataFrame:
+        return harmonize_sales(self.datasets.read("sales"))
+
+    def signals(self) -> DataFrame:
+        return self.datasets.read("external_signals")
+
+    # --- forecast
+
+    def create_forecast(self, request: ForecastRequest) -> str:
+        forecast_id = new_id()
+        fits, requested = forecast_fits(self.sales(), request, self.signals())
+        self.store.save("fits", fits, "forecast_id", forecast_id)
+        fits = self._rows("fits", "forecast_id", forecast_id)
+        if fits is not None:
+            points = forecast.forecast_points(fits, requested)
+            self.store.save("points", points, "forecast_id", forecast_id)
+        # The header comes last: a forecast is listed only once it is whole.
+        meta = forecast.METADATA
+        header = self.spark.range(1).select(
+            F.lit(meta["model_name"]).alias("model_name"), F.lit(meta["model_version"]).alias("model_version"),
+            F.array(*map(F.lit, meta["components"])).alias("components"), F.lit(meta["notes"]).alias("notes"),
+            F.current_timestamp().alias("created_at"),
+        )
+        self.store.save("forecasts", header, "forecast_id", forecast_id)
+        return forecast_id
+
+    def points(self, forecast_id: str) -> DataFrame:
+        self.store.one("forecasts", "forecast_id", forecast_id)
+        rows = self._rows("points", "forecast_id", forecast_id)
+        if rows is None:
+            return self.spark.createDataFrame([], FORECAST_POINT)
+        return rows.select(*FORECAST_POINT.fieldNames())
+
+    def fits(self, forecast_id: str) -> DataFrame:
+        self.store.one("forecasts", "forecast_id", forecast_id)
+        return self.store.load("fits", "forecast_id", forecast_id)
+
+    def metrics(self, forecast_id: str) -> DataFrame:
+        return forecast.metrics(self.fits(forecast_id))
+
+    # --- plan
+
+    def create_plan(self, request: PlanRequest) -> str:
+        plan_id = new_id()
+        points = self.points(request.forecast_id)
+        required = supply.requirements(
+            supply.demand_summary(points), request.target_service_level, request.lead_time_days
+        )
+        self.store.save("orders", supply.orders(required, request.location), "plan_id", plan_id)
+        self.store.save("production", supply.production(required), "plan_id", plan_id)
+        self.store.save("plan_kpis", supply.plan_kpis(required, request.target_service_level), "plan_id", plan_id)
+        header = self.spark.range(1).select(
+            F.lit(request.forecast_id).alias("forecast_id"), F.lit(request.location).cast("string").alias("location"),
+            F.current_timestamp().alias("created_at"),
+        )
+        self.store.save("plans", header, "plan_id", plan_id)
+        return plan_id
+
+    def plan_table(self, table: str, plan_id: str) -> DataFrame | None:
+        """`orders`, `production` or `plan_kpis` of a plan; None if no plan has such rows."""
+        self.store.one("plans", "plan_id", plan_id)
+        return self._rows(table, "plan_id", plan_id)
+
+    # --- scenario
+
+    def run_scenario(self, request: ScenarioRequest) -> str:
+        scenario_id = new_id()
+        asked = self.spark.createDataFrame(
+            [(scenario_id, request.forecast_id, request.plan_id, request.name)],
+            "scenario_id string, forecast_id string, plan_id string, name string",
+        )
+        plans = self.headers("plans").select("plan_id", "forecast_id", F.col("created_at").alias("seq"))
+        based = scenario.base_plans(asked, plans)
+        base_plan, status = based.select("base_plan_id", "status").first()
+        if status == "plan_not_found":
+            raise ResultNotFound(f"plan {request.plan_id!r} not found")
+        if status == "no_base_plan":
+            raise ValueError("no base plan available for the scenario")
+        lines = [self._rows(t, "plan_id", base_plan) for t in ("orders", "production")]
+        empty = self.spark.createDataFrame([], "plan_id string, quantity double")
+        volumes = scenario.plan_volumes(*[empty if part is None else part for part in lines])
+        shocks = shock_table(self.spark, scenario_id, request.shocks)
+        result = scenario.narratives(scenario.scenario_kpis(based, volumes, shocks)).select(
+            "forecast_id", F.col("base_plan_id").alias("plan_id"), "name", "kpi", "base", "scenario", "delta", "unit",
+            "factor", "narrative", F.current_timestamp().alias("created_at"),
+        )
+        self.store.save("scenarios", result, "scenario_id", scenario_id)
+        return scenario_id
+
+    def scenarios(self, forecast_id: str | None = None, plan_id: str | None = None) -> DataFrame:
+        return scenario.list_scenarios(self.headers("scenarios"), forecast_id, plan_id)
+
+    def scenario(self, scenario_id: str) -> DataFrame:
+        return self.store.one("scenarios", "scenario_id", scenario_id)
+
+    # --- explanation and reports
+
+    def explain(self, forecast_id: str) -> dict[str, DataFrame]:
+        points = self.points(forecast_id)
+        try:
+            summary = explain.signal_summary(self.signals())
+        except DatasetNotFound:
+            summary = self.spark.createDataFrame([(None,)], "summary string")
+        return {
+            "global_importance": explain.global_drivers(self.spark),
+            "by_sku": explain.drivers_by_sku(points),
+            "external_summary": summary,
+        }
+
+    def headers(self, table: str) -> DataFrame:
+        saved = self.store.table(table)
+        return self.spark.createDataFrame([], HEADERS[table]) if saved is None else saved
+
+    def forecast_summary(self, forecast_id: str | None = None) -> str:
+        header = reports.latest(self.headers("forecasts"), "forecast_id", forecast_id)
+        row = header.first()
+        if row is None:
+            return "No forecasts are available in the current session."
+        fits = self._rows("fits", "forecast_id", row.forecast_id)
+        models = self.spark.createDataFrame([], "sku string, model string, seq string")
+        if fits is not None:
+            models = fits.select("sku", "model", F.col("sku").alias("seq"))
+        return reports.forecast_text(header, self.points(row.forecast_id), models).first().text
+
+    def plan_summary(self, plan_id: str | None = None) -> str:
+        row = reports.latest(self.headers("plans"), "plan_id", plan_id).first()
+        if row is None:
+            return "No plans are available in the current session."
+        text = f"Plan {row.plan_id} is linked to forecast {row.forecast_id}."
+        kpis = self._rows("plan_kpis", "plan_id", row.plan_id)
+        line = None if kpis is None else reports.plan_kpi_text(kpis).first()
+        return text if line is None else f"{text} {line.text}"
+
+    def scenario_summary(self, scenario_id: str | None = None) -> str:
+        saved = self.headers("scenarios")
+        if scenario_id is not None:
+            chosen = reports.scenario_text(saved.where(F.col("scenario_id") == scenario_id)).first()
+            if chosen is not None:
+                return chosen.text
+        return reports.scenario_overview(saved, order="created_at").first().text
+
+    def dataset_summary(self, kind: str) -> str:
+        found = self.datasets.location(kind)
+        if found is None:
+            return f"Dataset {kind} is not available."
+        name = f"{kind}.csv" if found[0] == "uploaded" else f"sample_{kind}.csv"
+        return profile_text(dataset_profile(self.datasets.read(kind)), kind, name).first().text
+
+    def session_counts(self) -> DataFrame:
+        return reports.session_counts(**{t: self.headers(t) for t in ("forecasts", "plans", "scenarios")})
+
+    # --- training
+
+    def train(self) -> None:
+        """Fit the naive mean and log its error; a retraining job calls this again."""
+        self.store.log_run(monitor.train_naive_mean(self.sales(), self.signals()))
+
+    # --- helpers
+
+    def _rows(self, table: str, id_column: str, result_id: str) -> DataFrame | None:
+        saved = self.store.table(table)
+        return None if saved is None else saved.where(F.col(id_column) == result_id)
