@@ -6,7 +6,7 @@ for the dimension tables only where their size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -54,6 +54,12 @@ class StarViews:
         """Sales by part without location."""
         return self._sold().select("date", part_sku(F.col("l_partkey")).alias("sku"), "quantity")
 
+    def located_part_sales(self) -> DataFrame:
+        """Sales by part and region of the supplier."""
+        return self._sold().join(self._suppliers(), F.col("l_suppkey") == F.col("s_suppkey")).select(
+            "date", part_sku(F.col("l_partkey")).alias("sku"), "location", "quantity"
+        )
+
     def raw_sales(self) -> DataFrame:
         """Sales as a file might name them, all as text."""
         return self._sold().join(self._suppliers(), F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -65,11 +71,13 @@ class StarViews:
             F.col("l_linenumber").alias("Line"),
         )
 
+    def _ordered(self) -> DataFrame:
+        customers = self.table("customer").join(self._regions(), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self.table("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+
     def signals(self) -> DataFrame:
         """Order facts per day and customer region, as external signals."""
-        customers = self.table("customer").join(self._regions(), F.col("c_nationkey") == F.col("n_nationkey"))
-        orders = self.table("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        return orders.groupBy(F.col("o_orderdate").cast("date").alias("date"), "location").agg(
+        return self._ordered().groupBy(F.col("o_orderdate").cast("date").alias("date"), "location").agg(
             F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("is_holiday"),
             (F.avg("c_acctbal") / 100).alias("temperature"),
             F.count("*").cast("double").alias("google_trends_index"),
@@ -77,6 +85,10 @@ class StarViews:
             F.avg("o_totalprice").alias("price"),
         )
 
+    def order_signals(self) -> DataFrame:
+        """One signal row per order, so that (date, location) keys repeat."""
+        return self._ordered().select(F.col("o_orderdate").cast("date").alias("date"), "location", F.col("o_totalprice").alias("price"))
+
     def event_sales(self) -> DataFrame:
         """Purchase events by user."""
         return self.table("events").where(F.col("event_type") == "purchase").select(
@@ -86,5 +98,5 @@ class StarViews:
         )
 
 
-def part_sku(key) -> object:
+def part_sku(key: Column) -> Column:
     return F.concat(F.lit("SKU-"), key.cast("string"))
