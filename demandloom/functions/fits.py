@@ -66,29 +66,31 @@ def _innovations(d: np.ndarray, size: np.ndarray, phi: np.ndarray, theta: np.nda
     return np.log(np.maximum(squares, 1e-300) / n) + logs / n, pred
 
 
-def _arima_chunk(series: list[np.ndarray], steps: list[int]) -> list[np.ndarray]:
-    diffs = [np.diff(s) for s in series]
-    size = np.array([len(x) for x in diffs])
-    d = _padded(diffs, 0.0)
-    rows = np.arange(len(series))
-    best_phi, best_theta = np.zeros(len(series)), np.zeros(len(series))
+def _arima_search(d: np.ndarray, size: np.ndarray):
+    """Best (phi, theta) per series on ever finer grids, and the next difference."""
+    rows = np.arange(len(size))
+    best_phi, best_theta = np.zeros(len(size)), np.zeros(len(size))
     half, points = EDGE, 9
     for _ in range(6):
         offsets = np.linspace(-half, half, points)
-        pa, pb = (g.ravel() for g in np.meshgrid(offsets, offsets, indexing="ij"))
-        phi = np.clip(best_phi[:, None] + pa, -EDGE, EDGE)
-        theta = np.clip(best_theta[:, None] + pb, -EDGE, EDGE)
+        along, across = (g.ravel() for g in np.meshgrid(offsets, offsets, indexing="ij"))
+        phi = np.clip(best_phi[:, None] + along, -EDGE, EDGE)
+        theta = np.clip(best_theta[:, None] + across, -EDGE, EDGE)
         score, pred = _innovations(d, size, phi, theta)
         pick = score.argmin(axis=1)
         best_phi, best_theta, next_diff = phi[rows, pick], theta[rows, pick], pred[rows, pick]
         half, points = offsets[1] - offsets[0], 7
+    return best_phi, best_theta, next_diff
+
+
+def _arima_chunk(series: list[np.ndarray], steps: list[int]) -> list[np.ndarray]:
+    diffs = [np.diff(s) for s in series]
+    phi, _, next_diff = _arima_search(_padded(diffs, 0.0), np.array([len(x) for x in diffs]))
     out = []
     for i, s in enumerate(series):
-        if not diffs[i].any():
-            out.append(np.full(steps[i], max(s[-1], 0.0)))
-            continue
-        decay = best_phi[i] ** np.arange(steps[i])
-        out.append(np.maximum(s[-1] + np.cumsum(next_diff[i] * decay), 0.0))
+        # A constant series has no likelihood to speak of and stays constant.
+        ahead = next_diff[i] * phi[i] ** np.arange(steps[i]) if diffs[i].any() else np.zeros(steps[i])
+        out.append(np.maximum(s[-1] + np.cumsum(ahead), 0.0))
     return out
 
 
@@ -120,28 +122,17 @@ def _design(days: np.ndarray, start: float, span: float, knots: np.ndarray) -> n
     return np.hstack([np.ones((len(t), 1)), t[:, None], hinges, np.sin(angle), np.cos(angle)])
 
 
-def _seasonal_chunk(days: list[np.ndarray], values: list[np.ndarray], at: list[np.ndarray]) -> list[np.ndarray]:
-    """Fits series with equally many change points; one stacked solve per round."""
-    grams, moments, yy, shapes = [], [], [], []
-    for day, y in zip(days, values):
-        start, span = day[0], max(day[-1] - day[0], 1.0)
-        past = int(np.floor(len(day) * CHANGE_RANGE))
-        places = np.linspace(0, past - 1, min(CHANGE_POINTS, past - 1) + 1).round().astype(int)[1:]
-        knots = (day[places] - start) / span
-        scale = np.abs(y).max() or 1.0
-        x = _design(day, start, span, knots)
-        grams.append(x.T @ x)
-        moments.append(x.T @ (y / scale))
-        yy.append(((y / scale) ** 2).sum())
-        shapes.append((start, span, knots, scale))
-    gram, moment, yy = np.stack(grams), np.stack(moments), np.array(yy)
-    n = np.array([len(v) for v in values], dtype=float)
+def _map_weights(gram: np.ndarray, moment: np.ndarray, yy: np.ndarray, n: np.ndarray):
+    """Weights and noise variance per series, for scaled values.
+
+    The Laplace prior of the change points enters as a ridge that is weighted anew each round.
+    """
     p = gram.shape[1]
     changes = slice(2, p - 2 * WEEKLY_ORDER)
-    precision = np.full((len(values), p), 1.0 / SEASON_VAR)
+    precision = np.full(moment.shape, 1.0 / SEASON_VAR)
     precision[:, 0], precision[:, 1] = 1.0 / INTERCEPT_VAR, 1.0 / TREND_VAR
     precision[:, changes] = 1.0 / CHANGE_SCALE**2
-    noise = np.full(len(values), NOISE_VAR)
+    noise = np.full(len(yy), NOISE_VAR)
     diagonal = np.arange(p)
     for _ in range(ROUNDS):
         system = gram / noise[:, None, None]
@@ -151,9 +142,28 @@ def _seasonal_chunk(days: list[np.ndarray], values: list[np.ndarray], at: list[n
         sse = np.maximum(yy - 2.0 * (w * moment).sum(axis=1) + fitted, 0.0)
         noise = np.maximum((np.sqrt(n**2 + 4.0 * sse / NOISE_VAR) - n) * NOISE_VAR / 2.0, NOISE_FLOOR)
         precision[:, changes] = 1.0 / (CHANGE_SCALE * np.maximum(np.abs(w[:, changes]), 1e-6))
+    return w, noise
+
+
+def _knots(days: np.ndarray) -> np.ndarray:
+    past = int(np.floor(len(days) * CHANGE_RANGE))
+    places = np.linspace(0, past - 1, min(CHANGE_POINTS, past - 1) + 1).round().astype(int)[1:]
+    return (days[places] - days[0]) / max(days[-1] - days[0], 1.0)
+
+
+def _seasonal_chunk(days: list[np.ndarray], values: list[np.ndarray], at: list[np.ndarray]) -> list[np.ndarray]:
+    """Fits series with equally many change points in one stack of small systems."""
+    knots = [_knots(day) for day in days]
+    spans = [max(day[-1] - day[0], 1.0) for day in days]
+    scales = [np.abs(y).max() for y in values]
+    scaled = [y / scale for y, scale in zip(values, scales)]
+    designs = (_design(day, day[0], span, k) for day, span, k in zip(days, spans, knots))
+    grams, moments = zip(*((x.T @ x, x.T @ y) for x, y in zip(designs, scaled)))
+    squares, sizes = np.array([y @ y for y in scaled]), np.array([float(len(y)) for y in scaled])
+    w, _ = _map_weights(np.stack(grams), np.stack(moments), squares, sizes)
     return [
-        np.maximum(_design(day, start, span, knots) @ w[i] * scale, 0.0)
-        for i, (day, (start, span, knots, scale)) in enumerate(zip(at, shapes))
+        np.maximum(_design(ahead, day[0], span, k) @ weights * scale, 0.0)
+        for ahead, day, span, k, weights, scale in zip(at, days, spans, knots, w, scales)
     ]
 
 

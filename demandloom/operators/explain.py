@@ -36,32 +36,26 @@ def global_drivers(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(_drivers()))
 
 
-def ranked_skus(points: DataFrame, buckets: int = 256) -> DataFrame:
+def ranked_skus(points: DataFrame, ranges: int = 256) -> DataFrame:
     """(sku, rank): 0-based place of each distinct SKU in sort order.
 
-    A global window would sort all SKUs in one task. Instead about `buckets` splitters, picked
-    by hash so that every run picks the same, cut the SKUs into ranges; each range is ranked on
-    its own and shifted by the sizes of the ranges before it.
+    A global window would sort all SKUs in one task. Instead some SKUs, picked by hash so that
+    every run picks the same, cut the sort order into ranges; each range is ranked on its own
+    and shifted by the sizes of the ranges before it.
     """
     skus = points.select("sku").distinct()
-    hashed = F.pmod(F.xxhash64("sku"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    size = skus.agg(F.count("*")).scalar()
-    splitters = (
-        skus.where(hashed * size < buckets)
-        .agg(F.array_sort(F.collect_list("sku")))
-        .scalar()
-    )
+    few = skus.orderBy(F.xxhash64("sku"), "sku").limit(ranges)
+    splitters = few.agg(F.array_sort(F.collect_list("sku"))).scalar()
     ranged = skus.withColumn("splitters", splitters).select(
         "sku", F.size(F.filter("splitters", lambda s: s <= F.col("sku"))).alias("range")
     )
-    places = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("sku")))
-    # One row per range: at most about `buckets` rows are summed up here.
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
-    ranges = sizes.agg(F.array_sort(F.collect_list(F.struct("range", "size")))).scalar()
-    earlier = F.filter("ranges", lambda r: r["range"] < F.col("range"))
-    before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda acc, r: acc + r["size"])
-    offsets = sizes.withColumn("ranges", ranges).select("range", before.alias("before"))
-    return places.join(offsets, "range").select("sku", (F.col("before") + F.col("place") - 1).alias("rank"))
+    # One entry per range.
+    counts = ranged.groupBy("range").agg(F.count("*").alias("size"))
+    sizes = counts.agg(F.collect_list(F.struct("range", "size"))).scalar()
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("sku")))
+    earlier = F.filter("sizes", lambda r: r["range"] < F.col("range"))
+    before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, r: total + r["size"])
+    return placed.withColumn("sizes", sizes).select("sku", (before + F.col("place") - 1).alias("rank"))
 
 
 def drivers_by_sku(points: DataFrame) -> DataFrame:

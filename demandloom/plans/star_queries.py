@@ -32,8 +32,7 @@ FILE_WORDS = [
     "vendor", "master", "Catalog", "signal", "external", "macro", "notes",
 ]
 PLAN_TYPES = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE", "NONE"]
-# Averages of money amounts end in exact halves at fewer digits.
-SIGNAL_DIGITS, SCORE_DIGITS = 8, 6
+SCORE_DIGITS = 6
 
 QUERIES: dict = {}
 
@@ -47,6 +46,13 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _rounded_signals(df: DataFrame) -> DataFrame:
+    """Temperatures get more digits, as averages of few amounts end in exact halves."""
+    return rounded(df.withColumn("temperature", F.round("temperature", 8).cast("decimal(20,8)")), 6).withColumn(
+        "temperature", F.col("temperature").cast("double")
+    )
+
+
 def _pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
 
@@ -152,12 +158,12 @@ def default_dates(v: StarViews) -> DataFrame:
 
 @query
 def sales_with_signals(v: StarViews) -> DataFrame:
-    return rounded(enrich.attach_signals(v.sales(), v.signals()), SIGNAL_DIGITS)
+    return _rounded_signals(enrich.attach_signals(v.sales(), v.signals()))
 
 
 @query
 def signals_filled(v: StarViews) -> DataFrame:
-    return rounded(enrich.sales_with_signals(v.sales(), v.signals()), SIGNAL_DIGITS)
+    return _rounded_signals(enrich.sales_with_signals(v.sales(), v.signals()))
 
 
 @query

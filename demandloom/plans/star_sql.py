@@ -195,9 +195,9 @@ RAW_SQL = {
     "default_skus": """SELECT CAST(row_number() OVER (ORDER BY seen, sku) - 1 AS INTEGER) AS place, sku FROM (
         SELECT sku, min(struct_pack(a := "Invoice", b := "Line")) AS seen FROM raw_sales GROUP BY sku ORDER BY seen, sku LIMIT 20)""",
     "default_dates": "SELECT min(date) AS start_date, max(date) AS end_date FROM raw_sales",
-    "sales_with_signals": f"SELECT date, sku, location, quantity, is_holiday, {_rounded(' '.join(_SIGNALS[1:]), 8)} FROM ({_MERGED})",
+    "sales_with_signals": f"SELECT date, sku, location, quantity, is_holiday, {_rounded('temperature', 8)}, {_rounded(' '.join(_SIGNALS[2:]), 6)} FROM ({_MERGED})",
     "signals_filled": "SELECT date, sku, location, quantity, coalesce(is_holiday, 0) AS is_holiday, "
-    + ", ".join(f"round(coalesce({c}, avg({c}) OVER ()), 8) AS {c}" for c in _SIGNALS[1:])
+    + ", ".join(f"round(coalesce({c}, avg({c}) OVER ()), {8 if c == 'temperature' else 6}) AS {c}" for c in _SIGNALS[1:])
     + f" FROM ({_MERGED})",
     "repeated_signal_keys": "SELECT date, location, count(*) AS copies FROM ordered GROUP BY date, location HAVING count(*) > 1",
     "signal_summary": """SELECT 'Google search interest moved from ' || printf('%.0f', a) || ' to ' || printf('%.0f', b)
