@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What each caller removes from a name before it compares it.
+WHITESPACE = " \t\n\r\f\v\u00a0"
+
+# Characters each caller removes from a name before it compares it, and whether
+# it also strips white space from the ends.
 NAME_NOISE = {
-    "ingest": r"^\s+|\s+$|[ _]",
-    "upload": r"[ _]",
-    "screen": r"[\s_\-]",
-    "defaults": r"[\s_]",
+    "ingest": (" _", True),
+    "upload": (" _", False),
+    "screen": (WHITESPACE + "_-", False),
+    "defaults": (WHITESPACE + "_", False),
 }
 
 
 def clean_name(name: str, style: str = "ingest") -> str:
-    return re.sub(NAME_NOISE[style], "", name.lower())
+    noise, strip = NAME_NOISE[style]
+    lowered = name.lower().strip(WHITESPACE) if strip else name.lower()
+    return lowered.translate({ord(c): None for c in noise})
 
 
 def clean_name_col(name: Column, style: str = "ingest") -> Column:
-    return F.regexp_replace(F.lower(name), NAME_NOISE[style], "")
+    noise, strip = NAME_NOISE[style]
+    lowered = F.btrim(F.lower(name), F.lit(WHITESPACE)) if strip else F.lower(name)
+    return F.translate(lowered, noise, "")
 
 
 def guess_column(

@@ -88,33 +88,30 @@ def dataset_kinds(catalog: DataFrame) -> DataFrame:
     Each row marks its words as bits, so a dataset of any width reduces to one number.
     """
     words = sorted({w for group in (*KIND_WORDS.values(), TIME_WORDS) for w in group})
-    cleaned = clean_name_col(F.col("column"), "screen")
+    # A step of its own, so that a name is cleaned once and not once per word.
+    names = catalog.select("dataset", clean_name_col(F.col("column"), "screen").alias("cleaned"))
     bits = F.lit(0).cast("bigint")
     for i, word in enumerate(words):
-        bits = bits.bitwiseOR(F.when(F.contains(cleaned, F.lit(word)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    seen = catalog.groupBy("dataset").agg(F.bit_or(bits).alias("seen"))
+        bits = bits.bitwiseOR(F.when(F.contains("cleaned", F.lit(word)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    seen = names.groupBy("dataset").agg(F.bit_or(bits).alias("seen"))
 
     def mask(group: list[str]) -> Column:
         return F.col("seen").bitwiseAND(F.lit(sum(1 << words.index(w) for w in group)).cast("bigint"))
 
-    scores = F.array(
-        *[
-            F.struct(
-                F.bit_count(mask(group)).cast("int").alias("score"),
-                F.lit(-i).alias("preference"),
-                F.lit(kind).alias("kind"),
-            )
-            for i, (kind, group) in enumerate(KIND_WORDS.items())
-        ]
+    # Score and preference in one number, so that the best kind is a plain maximum.
+    kinds = list(KIND_WORDS)
+    ranked = [F.bit_count(mask(KIND_WORDS[kind])) * len(kinds) + (len(kinds) - 1 - i) for i, kind in enumerate(kinds)]
+    best = seen.withColumn("best", F.greatest(*ranked)).select(
+        "dataset",
+        "seen",
+        F.floor(F.col("best") / len(kinds)).cast("int").alias("score"),
+        F.get(F.array(*map(F.lit, kinds)), len(kinds) - 1 - F.col("best") % len(kinds)).alias("kind"),
     )
     low_sales = (
-        (F.col("best.score") == 1)
-        & (F.col("best.kind") == "sales")
+        (F.col("score") == 1)
+        & (F.col("kind") == "sales")
         & (mask(QUANTITY_WORDS) != 0)
         & ((mask(TIME_WORDS) != 0) | (mask(TRADE_WORDS) != 0))
     )
-    return seen.withColumn("best", F.array_max(scores)).select(
-        "dataset",
-        F.when((F.col("best.score") >= 2) | low_sales, F.col("best.kind")).alias("kind"),
-        F.col("best.score").alias("score"),
-    )
+    kind = F.when((F.col("score") >= 2) | low_sales, F.col("kind"))
+    return best.select("dataset", kind.alias("kind"), "score")

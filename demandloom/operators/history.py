@@ -48,7 +48,8 @@ def daily_demand(
         keyed = dated if signals is None else demand_by_key(dated, signals, ["sku"])
         return keyed.groupBy("sku", "date").agg(total)
     here = F.coalesce(F.col("location") == location, F.lit(False))
-    both = demand_by_key(rows, signals, ["sku", "location"]).groupBy("sku", "date").agg(
+    keyed = rows if signals is None else demand_by_key(rows, signals, ["sku", "location"])
+    both = keyed.groupBy("sku", "date").agg(
         F.sum("quantity").alias("everywhere"),
         F.sum(F.when(here, F.col("quantity"))).alias("here"),
         F.max(here).alias("is_here"),

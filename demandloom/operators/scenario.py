@@ -23,19 +23,26 @@ def base_plans(scenarios: DataFrame, plans: DataFrame) -> DataFrame:
     A scenario's own plan id must exist; without one, the forecast's first plan is taken.
     `plans` is (plan_id, forecast_id, seq) with unique plan ids.
     """
-    firsts = plans.groupBy("forecast_id").agg(F.min_by("plan_id", F.struct("seq", "plan_id")).alias("first_plan"))
-    known = plans.select(F.col("plan_id").alias("known_plan"))
+    firsts = plans.groupBy("forecast_id").agg(F.min_by("plan_id", F.struct("seq", "plan_id")).alias("base_plan_id"))
+    # Both lookups share one join, whose key is never missing: a NULL plan id as a join key
+    # would send all such scenarios to one task.
+    lookup = plans.select(F.lit("plan").alias("by"), F.col("plan_id").alias("key"), F.col("plan_id").alias("base_plan_id")).unionAll(
+        firsts.select(F.lit("forecast").alias("by"), F.col("forecast_id").alias("key"), "base_plan_id")
+    )
     asked = F.nullif("plan_id", F.lit(""))
-    found = (
-        scenarios.withColumn("asked", asked)
-        .join(known, F.col("asked") == F.col("known_plan"), "left")
-        .join(firsts, "forecast_id", "left")
+    keyed = scenarios.withColumns(
+        {
+            "by": F.when(asked.isNotNull(), F.lit("plan")).otherwise(F.lit("forecast")),
+            "key": F.coalesce(asked, "forecast_id"),
+        }
     )
-    base = F.when(F.col("asked").isNotNull(), F.col("known_plan")).otherwise(F.col("first_plan"))
+    found = keyed.join(lookup, ["by", "key"], "left")
     status = (
-        F.when(base.isNotNull(), "ok").when(F.col("asked").isNotNull(), "plan_not_found").otherwise("no_base_plan")
+        F.when(F.col("base_plan_id").isNotNull(), "ok")
+        .when(F.col("by") == "plan", "plan_not_found")
+        .otherwise("no_base_plan")
     )
-    return found.withColumns({"base_plan_id": base, "status": status}).drop("asked", "known_plan", "first_plan")
+    return found.withColumn("status", status).drop("by", "key")
 
 
 def demand_factors(shocks: DataFrame) -> DataFrame:

@@ -13,7 +13,15 @@ from demandloom.functions.dates import horizon
 from demandloom.operators import explain, forecast, monitor, reports, scenario, supply
 from demandloom.operators.harmonize import harmonize_sales
 from demandloom.operators.history import daily_demand, pack_series, requested_skus
-from demandloom.operators.profile import dataset_profile, profile_text
+from demandloom.operators.profile import (
+    column_roles,
+    dataset_profile,
+    default_dates,
+    default_skus,
+    preview,
+    profile_text,
+    schema_warnings,
+)
 from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, shock_table
 from demandloom.schemas import FORECAST_POINT
 from demandloom.sources.datasets import DatasetNotFound, Datasets
@@ -60,6 +68,27 @@ class Planner:
     def signals(self) -> DataFrame:
         return self.datasets.read("external_signals")
 
+    def preview(self, kind: str, limit: int = 20, order_by: list[str] | None = None) -> dict:
+        """First rows of a dataset with its size, columns, roles and warnings."""
+        df = self.datasets.read(kind)
+        return {
+            "dataset_type": kind,
+            "rows": df.count(),
+            "columns": df.columns,
+            "preview": preview(df, order_by or df.columns, limit),
+            "schema": column_roles(df),
+            "warnings": schema_warnings(df.columns, kind),
+        }
+
+    def default_request(self, order_by: list[str] | None = None, limit: int = 20) -> ForecastRequest | None:
+        """Request for the first SKUs and the dates of the sales; None without dates or SKUs."""
+        sales = self.datasets.read("sales")
+        skus = [r.sku for r in default_skus(sales, order_by or sales.columns, limit).orderBy("place").collect()]
+        dates = default_dates(sales).first()
+        if not skus or dates.start_date is None:
+            return None
+        return ForecastRequest(dates.start_date, dates.end_date, skus)
+
     # --- forecast
 
     def create_forecast(self, request: ForecastRequest) -> str:

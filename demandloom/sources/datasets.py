@@ -49,7 +49,6 @@ class Datasets:
             raise ValueError(f"{path} has no columns")
         version = uuid.uuid4().hex
         target = f"{self.root}/uploads/{kind}/{version}"
-        # Names in a CSV header are free; position keeps them out of parquet's way.
         raw.write.parquet(target)
         stored = self.spark.read.parquet(target)
         line = stored.agg(F.count("*").alias("rows")).select(

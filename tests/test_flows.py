@@ -208,6 +208,16 @@ def test_forecast_plan_scenario_and_explanation(planner):
     assert {r.item: r["items"] for r in planner.session_counts().collect()} == {"forecasts": 1, "plans": 1, "scenarios": 2}
 
 
+def test_preview_and_default_request(planner):
+    shown = planner.preview("sales", 3, ["Order_Date", "Product"])
+    assert shown["rows"] == 80 and shown["warnings"] == [] and shown["columns"][0] == "Order_Date"
+    assert [r.Product for r in shown["preview"].collect()] == ["SKU-001", "SKU-002", "SKU-001"]
+    assert {r.name: r.role for r in shown["schema"].collect()}["Qty"] == "numeric"
+    request = planner.default_request(["Order_Date", "Product"])
+    assert request.skus == ["SKU-001", "SKU-002"]
+    assert (request.start_date, request.end_date) == (dt.date(2024, 11, 20), dt.date(2024, 12, 29))
+
+
 def test_missing_plans_are_told_apart(planner):
     with pytest.raises(ResultNotFound):
         planner.run_scenario(ScenarioRequest("any", plan_id="missing"))
