@@ -93,7 +93,7 @@ def dataset_kinds(catalog: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("bigint")
     for i, word in enumerate(words):
         bits = bits.bitwiseOR(F.when(F.contains("cleaned", F.lit(word)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    seen = names.groupBy("dataset").agg(F.bit_or(bits).alias("seen"))
+    seen = names.select("dataset", bits.alias("bits")).groupBy("dataset").agg(F.bit_or("bits").alias("seen"))
 
     def mask(group: list[str]) -> Column:
         return F.col("seen").bitwiseAND(F.lit(sum(1 << words.index(w) for w in group)).cast("bigint"))

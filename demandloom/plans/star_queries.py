@@ -239,14 +239,11 @@ def forecast_band(v: StarViews) -> DataFrame:
 
 @query
 def requested_forecast(v: StarViews) -> DataFrame:
-    """Requests from the suppliers: some SKUs come twice, some have no sales."""
-    requested = v.table("supplier").select(
-        part_sku(F.pmod(F.col("s_suppkey") * 37, F.lit(3000))).alias("sku"), F.col("s_suppkey").cast("int").alias("seq")
-    ).unionByName(
-        v.table("supplier").where(F.col("s_nationkey") < 5).select(
-            part_sku(F.pmod(F.col("s_suppkey") * 37, F.lit(3000))).alias("sku"), (-F.col("s_suppkey") - 1).cast("int").alias("seq")
-        )
+    """Requests of suppliers and customers: some SKUs come several times, some have no sales."""
+    buyers = v.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").alias("seq")).unionAll(
+        v.table("customer").select("c_custkey", -F.col("c_custkey") - 1)
     )
+    requested = buyers.select(part_sku(F.pmod(F.col("k") * 37, F.lit(3000))).alias("sku"), F.col("seq").cast("int").alias("seq"))
     daily = history.daily_demand(v.part_sales(), requested=requested)
     fits = forecast.fit_baseline(history.pack_series(daily, requested), _steps())
     return rounded(forecast.forecast_points(fits, requested).select("seq", "sku", "date", "mean"))

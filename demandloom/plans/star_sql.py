@@ -228,7 +228,7 @@ RAW_SQL = {
         round(mean * 1.2::DOUBLE, 4) AS q90 FROM brand_points""",
     "requested_forecast": """SELECT CAST(seq AS INTEGER) AS seq, sku, date, round(greatest(coalesce(base, 100) * body + coalesce(base, 100) * ripple, 0), 4) AS mean
         FROM (SELECT 'SKU-' || (s_suppkey * 37 % 3000) AS sku, s_suppkey AS seq FROM supplier
-            UNION ALL SELECT 'SKU-' || (s_suppkey * 37 % 3000), -s_suppkey - 1 FROM supplier WHERE s_nationkey < 5)
+            UNION ALL SELECT 'SKU-' || (c_custkey * 37 % 3000), -c_custkey - 1 FROM customer)
         LEFT JOIN part_base USING (sku) CROSS JOIN shape""",
     "holdout_split": """SELECT sku, CAST(any_value(n) AS INTEGER) AS history, CAST(any_value(n_val) AS INTEGER) AS n_val,
         CASE WHEN any_value(n_val) IS NOT NULL THEN CAST(count(*) FILTER (WHERE i <= n - n_val) AS INTEGER) END AS train_points,

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A row sent to Python holds a whole daily series, so batches are kept short.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from demandloom.functions import fits
 from demandloom.functions.baseline import baseline_value
 from demandloom.functions.dates import horizon
 from demandloom.functions.scores import mae, mape
@@ -102,11 +103,11 @@ def test_unknown_or_auto_model_means_the_automatic_choice(packed, fitted):
 
 
 def test_empty_horizon_gives_no_points_and_no_scores(packed):
-    fits = forecast.fit_models(packed, horizon("2024-02-05", "2024-02-01"))
-    rows = fits.collect()
+    table = forecast.fit_models(packed, horizon("2024-02-05", "2024-02-01"))
+    rows = table.collect()
     assert len(rows) == len(SERIES)
     assert all(r.model == "stub" and r.arima_mape is None for r in rows)
-    assert forecast.forecast_points(fits).count() == 0
+    assert forecast.forecast_points(table).count() == 0
 
 
 def test_true_holdout_changes_only_the_seasonal_score(packed, fitted):
@@ -176,3 +177,41 @@ def test_only_the_fits_run_in_python_and_sales_shuffle_twice(spark, small):
     assert plan.count("ArrowEvalPython") == 2
     assert plan.count("Exchange hashpartitioning") == 2
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_automatic_choice_step_by_step(packed, fitted):
+    """The whole path again for single series: split, three fits, scores, choice, final fit."""
+    ahead = np.array([(dt.date(2024, 2, d) - dt.date(1970, 1, 1)).days for d in range(1, 6)], dtype=float)
+    for r in packed.collect():
+        y = np.array(r.quantities)
+        days = np.array([(d - dt.date(1970, 1, 1)).days for d in r.dates], dtype=float)
+        if len(y) < 4:
+            continue
+        n_val = min(3, max(1, len(y) // 4))
+        train, held = y[:-n_val], y[-n_val:]
+        guess_days = days[:-n_val][-n_val] + np.arange(n_val)
+        tried = {
+            "arima": fits.arima_paths([train], [n_val])[0],
+            "prophet": fits.seasonal_paths([days[:-n_val]], [train], [guess_days])[0],
+            "xgboost": fits.boosted_paths([train], [n_val])[0],
+        }
+        scores = {}
+        for model, path in tried.items():
+            if path is not None:
+                above = held > 0
+                errors = np.abs(held - path)
+                scores[model] = (np.mean(errors[above] / held[above]) if above.any() else math.inf, errors.mean())
+        got = fitted[r.sku]
+        for model, prefix in forecast.MODELS.items():
+            pair = (got[f"{prefix}_mape"], got[f"{prefix}_mae"])
+            assert pair == pytest.approx(scores[model], rel=1e-9) if model in scores else pair == (None, None)
+        if not scores:
+            assert got.model == "stub"
+            continue
+        best = min(scores, key=lambda m: scores[m][0])
+        final = {
+            "arima": lambda: fits.arima_paths([y], [5]),
+            "prophet": lambda: fits.seasonal_paths([days], [y], [ahead]),
+            "xgboost": lambda: fits.boosted_paths([y], [5]),
+        }[best]()[0]
+        assert got.model == best and got.path == pytest.approx(list(final), rel=1e-9)
