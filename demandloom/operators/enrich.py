@@ -85,4 +85,5 @@ def fill_signals(merged: DataFrame, means: Column) -> DataFrame:
 
 def sales_with_signals(sales: DataFrame, signals: DataFrame) -> DataFrame:
     """The feature table: every sales row with filled signals."""
-    return fill_signals(attach_signals(sales, signals), signal_means(sales, signals).scalar())
+    merged = attach_signals(sales, signals).withColumn("_means", signal_means(sales, signals).scalar())
+    return fill_signals(merged, F.col("_means")).drop("_means")

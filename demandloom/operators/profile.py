@@ -75,11 +75,15 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """One row: size, first six columns, distinct keys and date range, in one pass."""
+    """One row: size, first six columns, distinct keys and date range, in one pass.
+
+    The date range is left out if any date cannot be read.
+    """
     names = df.columns
-    date = quoted("date") if "date" in names else F.lit(None).cast("date")
+    date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(0)
     if dict(df.dtypes).get("date") == "string":
-        date = parse_date(date)
+        date = parse_date(quoted("date"))
+        unreadable = F.count_if(quoted("date").isNotNull() & date.isNull())
 
     def distinct(name: str) -> Column:
         return F.count_distinct(quoted(name)) if name in names else F.lit(None).cast("bigint")
@@ -91,8 +95,8 @@ def dataset_profile(df: DataFrame) -> DataFrame:
         F.lit(shown).alias("column_text"),
         distinct("sku").alias("skus"),
         distinct("location").alias("locations"),
-        F.min(date.cast("date")).alias("first_date"),
-        F.max(date.cast("date")).alias("last_date"),
+        F.when(unreadable == 0, F.min(date.cast("date"))).alias("first_date"),
+        F.when(unreadable == 0, F.max(date.cast("date"))).alias("last_date"),
     )
 
 

@@ -14,6 +14,7 @@ TOP = 5
 PERIODS_SHOWN = 30
 KPIS_SHOWN = 6
 SCENARIOS_SHOWN = 5
+NONE = "—"
 
 
 def sku_totals(points: DataFrame) -> DataFrame:
@@ -68,16 +69,26 @@ def band_limits(by_date: DataFrame) -> DataFrame:
 
 
 def forecast_totals(points: DataFrame) -> DataFrame:
-    """One row: volume, periods and SKUs of a forecast, with a volume label."""
+    """One row: volume, periods and SKUs of a forecast, with labels."""
     # Two light groupings instead of two distinct counts, which would expand every row.
     by_sku = points.groupBy("sku").agg(
         F.sum("mean").alias("total"), F.min("date").alias("first"), F.max("date").alias("last")
     )
     periods = points.groupBy("date").agg(F.count("*").alias("n")).agg(F.count("*")).scalar()
     totals = by_sku.agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("volume"), F.count("*").alias("skus"))
-    return totals.select(
-        "volume", periods.alias("periods"), "skus",
-        F.when(F.col("volume") > 0, F.concat(grouped_whole(F.col("volume")), F.lit(" units"))).alias("volume_label"),
+
+
+    def counted(column: str, word: str) -> Column:
+        return F.concat(F.col(column).cast("string"), F.lit(f" {word}"), F.when(F.col(column) == 1, "").otherwise("s"))
+
+    return totals.withColumn("periods", periods).select(
+        "volume", "periods", "skus",
+        F.when(F.col("volume") > 0, F.concat(grouped_whole(F.col("volume")), F.lit(" units")))
+        .otherwise(F.lit(NONE))
+        .alias("volume_label"),
+        F.when(F.col("periods") > 0, F.concat(counted("periods", "period"), F.lit(" · "), counted("skus", "SKU"))).alias(
+            "horizon_label"
+        ),
     )
 
 
@@ -116,15 +127,15 @@ def kpi_lookup(kpis: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return found.select(
         *by,
         F.col("volume.value").alias("volume"),
-        F.concat_ws(
-            " ", grouped_whole(F.col("volume.value")),
-            F.when(F.col("volume").isNotNull(), F.coalesce(F.nullif(F.trim("volume.unit"), F.lit("")), F.lit("units"))),
+        F.concat(
+            grouped_whole(F.col("volume.value")), F.lit(" "),
+            F.coalesce(F.nullif(F.trim("volume.unit"), F.lit("")), F.lit("units")),
         ).alias("volume_label"),
         level.alias("service_level"),
         F.when(unit != "", F.concat(F.format_string("%.2f", level), F.lit(" "), unit))
         .when(level <= 1.5, F.concat(F.format_string("%.1f", level * 100), F.lit("%")))
         .when(level.isNotNull(), F.format_string("%.1f", level))
-        .otherwise(F.lit("—"))
+        .otherwise(F.lit(NONE))
         .alias("service_label"),
     )
 

@@ -234,7 +234,10 @@ class Planner:
     def session_counts(self) -> DataFrame:
         return reports.session_counts(**{t: self.headers(t) for t in ("forecasts", "plans", "scenarios")})
 
-    # --- training
+    # --- monitoring and training
+
+    def monitor(self) -> dict:
+        return {"metric": "naive_mape", "value": monitor.naive_mape(self.sales(), self.signals()).first().mape}
 
     def train(self) -> None:
         """Fit the naive mean and log its error; a retraining job calls this again."""

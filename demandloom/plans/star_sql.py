@@ -290,7 +290,8 @@ RAW_SQL = {
         CAST(ceil(hi * 1.1::DOUBLE) AS BIGINT) AS axis_high FROM (
         SELECT max(greatest(coalesce(nullif(q90, 0), mean), mean)) AS hi, min(least(coalesce(nullif(q10, 0), mean), mean)) AS lo FROM by_date)""",
     "forecast_totals": """SELECT round(sum(mean), 2) AS volume, count(DISTINCT date) AS periods, count(DISTINCT sku) AS skus,
-        format('{:,}', CAST(round(sum(mean)) AS BIGINT)) || ' units' AS volume_label FROM part_points""",
+        format('{:,}', CAST(round(sum(mean)) AS BIGINT)) || ' units' AS volume_label,
+        count(DISTINCT date) || ' periods · ' || count(DISTINCT sku) || ' SKUs' AS horizon_label FROM part_points""",
     "forecast_summary": """SELECT 'Forecast FC-1 uses model arima_prophet_xgb_ensemble v1.0.0. Top SKUs by volume: '
         || (SELECT string_agg(sku || ' (~' || printf('%.1f', demand) || ' units)', ', ' ORDER BY demand DESC, sku)
             FROM (SELECT * FROM demand ORDER BY demand DESC, sku LIMIT 5))

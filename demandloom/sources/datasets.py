@@ -19,11 +19,11 @@ class DatasetNotFound(LookupError):
 
 
 def read_or_none(read) -> DataFrame | None:
-    """The DataFrame, or None when its path does not exist."""
+    """The DataFrame, or None when its folder does not exist or holds no rows yet."""
     try:
         return read()
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 

@@ -235,9 +235,28 @@ def test_empty_horizon_still_makes_a_forecast_and_a_plan(planner):
     assert kpis is None or kpis.count() == 0
 
 
+def test_first_result_may_be_empty(spark, planner, tmp_path):
+    fresh = Planner(spark, planner.datasets.root, str(tmp_path / "fresh"))
+    day = dt.date(2025, 1, 1)
+    forecast_id = fresh.create_forecast(ForecastRequest(day + dt.timedelta(days=1), day, ["SKU-001"]))
+    assert fresh.points(forecast_id).count() == 0
+    plan_id = fresh.create_plan(PlanRequest(forecast_id))
+    scenario_id = fresh.run_scenario(ScenarioRequest(forecast_id))
+    row = fresh.scenario(scenario_id).first()
+    assert (row.plan_id, row.base, row.delta) == (plan_id, 0.0, 0.0)
+    assert fresh.plan_summary() == f"Plan {plan_id} is linked to forecast {forecast_id}."
+
+
+def test_every_sku_is_forecast_without_a_list(planner):
+    forecast_id = planner.create_forecast(ForecastRequest(dt.date(2025, 1, 1), dt.date(2025, 1, 31), granularity="W", forced_model="prophet"))
+    assert {(r.sku, r.model) for r in planner.fits(forecast_id).collect()} == {("SKU-001", "prophet"), ("SKU-002", "prophet")}
+    assert planner.points(forecast_id).count() == 8
+
+
 def test_training_run_is_logged(planner):
     planner.train()
     planner.train()
     runs = planner.store.table("runs").collect()
     assert len({r.run_id for r in runs}) == len(runs) == 2
     assert runs[0].model_type == "naive_mean" and runs[0].artifact.startswith("baseline_mean=") and runs[0].value > 0
+    assert planner.monitor() == {"metric": "naive_mape", "value": runs[0].value}

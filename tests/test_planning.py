@@ -207,8 +207,9 @@ def test_pivot(points):
 
 
 def test_forecast_totals(points, nothing):
-    assert tuple(reports.forecast_totals(points).first()) == (90.0, 2, 3, "90 units")
-    assert tuple(reports.forecast_totals(nothing).first()) == (0.0, 0, 0, None)
+    assert tuple(reports.forecast_totals(points).first()) == (90.0, 2, 3, "90 units", "2 periods · 3 SKUs")
+    assert reports.forecast_totals(points.where("sku = 'a'")).first().horizon_label == "1 period · 1 SKU"
+    assert tuple(reports.forecast_totals(nothing).first()) == (0.0, 0, 0, "—", None)
 
 
 KPIS = "position int, name string, value double, unit string"
@@ -225,7 +226,7 @@ KPIS = "position int, name string, value double, unit string"
 )
 def test_kpi_lookup(spark, rows, volume, service):
     row = reports.kpi_lookup(spark.createDataFrame(rows, KPIS)).first()
-    assert (row.volume_label or None, row.service_label) == (volume, service)
+    assert (row.volume_label, row.service_label) == (volume, service)
 
 
 def test_plan_text_keeps_the_first_six(spark):

@@ -137,6 +137,12 @@ def test_profile_text(spark):
     )
 
 
+def test_profile_leaves_out_dates_it_cannot_read(spark):
+    df = spark.createDataFrame([("2024-01-02",), ("soon",), (None,)], "date string")
+    assert profile.dataset_profile(df).first().first_date is None
+    assert str(profile.dataset_profile(df.where("date <> 'soon'")).first().first_date) == "2024-01-02"
+
+
 def test_default_skus_take_the_first_distinct_texts(spark):
     rows = [(3, "b"), (1, "a"), (2, " "), (4, None), (5, "a"), (6, "c")]
     df = spark.createDataFrame(rows, "n int, product string")
