@@ -38,6 +38,7 @@ class ForecastRequest:
 
     def __post_init__(self):
         _one_of("granularity", self.granularity, GRANULARITIES)
+        self.location = self.location or None
 
 
 @dataclass
@@ -52,6 +53,7 @@ class PlanRequest:
 
     def __post_init__(self):
         _one_of("objective", self.objective, OBJECTIVES)
+        self.location = self.location or None
 
 
 @dataclass

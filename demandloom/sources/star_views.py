@@ -19,16 +19,23 @@ class StarViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _regions(self) -> DataFrame:
-        return self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "n_nationkey", F.col("r_name").alias("location")
-        )
+    def _with_region(self, facts: DataFrame, nation_key: str) -> DataFrame:
+        """Adds `location`, the region's name.
 
-    def _suppliers(self) -> DataFrame:
-        return self.table("supplier").join(self._regions(), F.col("s_nationkey") == F.col("n_nationkey")).select(
-            "s_suppkey", "s_name", "location"
+        The facts come first and each dimension is joined on its own: Spark then knows every
+        dimension's size and can broadcast it, instead of guessing the size of a joined one.
+        """
+        nation, region = self.table("nation"), self.table("region")
+        return (
+            facts.join(nation, F.col(nation_key) == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+            .withColumnRenamed("r_name", "location")
         )
 
+    def _supplied(self, sold: DataFrame) -> DataFrame:
+        """Sales with the region of their supplier."""
+        return self._with_region(sold.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), "s_nationkey")
+
     def _sold(self) -> DataFrame:
         return self.table("lineitem").select(
             F.col("l_shipdate").cast("date").alias("date"), "l_partkey", "l_suppkey",
@@ -37,12 +44,8 @@ class StarViews:
 
     def sales(self) -> DataFrame:
         """Sales by brand and region of the supplier."""
-        return (
-            self._sold()
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self._suppliers(), F.col("l_suppkey") == F.col("s_suppkey"))
-            .select("date", F.col("p_brand").alias("sku"), "location", "quantity")
-        )
+        branded = self._sold().join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        return self._supplied(branded).select("date", F.col("p_brand").alias("sku"), "location", "quantity")
 
     def brand_sales(self) -> DataFrame:
         """Sales by brand without location, for series that do not use it."""
@@ -56,13 +59,13 @@ class StarViews:
 
     def located_part_sales(self) -> DataFrame:
         """Sales by part and region of the supplier."""
-        return self._sold().join(self._suppliers(), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        return self._supplied(self._sold()).select(
             "date", part_sku(F.col("l_partkey")).alias("sku"), "location", "quantity"
         )
 
     def raw_sales(self) -> DataFrame:
         """Sales as a file might name them, all as text."""
-        return self._sold().join(self._suppliers(), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        return self._supplied(self._sold()).select(
             F.date_format("date", "M/d/yyyy").alias("Order_Date"),
             part_sku(F.col("l_partkey")).alias("Product ID"),
             F.col("location").alias("Region"),
@@ -72,8 +75,8 @@ class StarViews:
         )
 
     def _ordered(self) -> DataFrame:
-        customers = self.table("customer").join(self._regions(), F.col("c_nationkey") == F.col("n_nationkey"))
-        return self.table("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        bought = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return self._with_region(bought, "c_nationkey")
 
     def signals(self) -> DataFrame:
         """Order facts per day and customer region, as external signals."""
