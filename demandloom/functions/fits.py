@@ -112,7 +112,7 @@ WEEKLY_ORDER = 3
 # At midnight the four daily cosine terms are 1, so they only widen the intercept's prior.
 INTERCEPT_VAR = TREND_VAR + 4 * SEASON_VAR
 NOISE_FLOOR = 1e-4
-ROUNDS = 25
+ROUNDS, SETTLED = 60, 1e-5
 
 
 def _design(days: np.ndarray, start: float, span: float, knots: np.ndarray) -> np.ndarray:
@@ -128,21 +128,28 @@ def _map_weights(gram: np.ndarray, moment: np.ndarray, yy: np.ndarray, n: np.nda
     The Laplace prior of the change points enters as a ridge that is weighted anew each round.
     """
     p = gram.shape[1]
-    changes = slice(2, p - 2 * WEEKLY_ORDER)
+    changes, diagonal = slice(2, p - 2 * WEEKLY_ORDER), np.arange(p)
     precision = np.full(moment.shape, 1.0 / SEASON_VAR)
     precision[:, 0], precision[:, 1] = 1.0 / INTERCEPT_VAR, 1.0 / TREND_VAR
     precision[:, changes] = 1.0 / CHANGE_SCALE**2
-    noise = np.full(len(yy), NOISE_VAR)
-    diagonal = np.arange(p)
+    weights, noise = np.zeros_like(moment), np.full(len(yy), NOISE_VAR)
+    left = np.arange(len(yy))
     for _ in range(ROUNDS):
-        system = gram / noise[:, None, None]
-        system[:, diagonal, diagonal] += precision
-        w = np.linalg.solve(system, (moment / noise[:, None])[:, :, None])[:, :, 0]
-        fitted = np.einsum("ij,ijk,ik->i", w, gram, w)
-        sse = np.maximum(yy - 2.0 * (w * moment).sum(axis=1) + fitted, 0.0)
-        noise = np.maximum((np.sqrt(n**2 + 4.0 * sse / NOISE_VAR) - n) * NOISE_VAR / 2.0, NOISE_FLOOR)
-        precision[:, changes] = 1.0 / (CHANGE_SCALE * np.maximum(np.abs(w[:, changes]), 1e-6))
-    return w, noise
+        # Each series stops on its own, so its result does not depend on its neighbours.
+        g, m, size = gram[left], moment[left], n[left]
+        system = g / noise[left, None, None]
+        system[:, diagonal, diagonal] += precision[left]
+        w = np.linalg.solve(system, (m / noise[left, None])[:, :, None])[:, :, 0]
+        fitted = (w * (g @ w[:, :, None])[:, :, 0]).sum(axis=1)
+        sse = np.maximum(yy[left] - 2.0 * (w * m).sum(axis=1) + fitted, 0.0)
+        noise[left] = np.maximum((np.sqrt(size**2 + 4.0 * sse / NOISE_VAR) - size) * NOISE_VAR / 2.0, NOISE_FLOOR)
+        precision[left, changes] = 1.0 / (CHANGE_SCALE * np.maximum(np.abs(w[:, changes]), 1e-6))
+        moved = np.abs(w - weights[left]).max(axis=1)
+        weights[left] = w
+        left = left[moved > SETTLED]
+        if not len(left):
+            break
+    return weights, noise
 
 
 def _knots(days: np.ndarray) -> np.ndarray:

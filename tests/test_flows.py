@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from demandloom.plans.jobs import run
 from demandloom.plans.planner import Planner
 from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, Shock, split_skus
 from demandloom.session import cut_lineage
@@ -254,9 +255,11 @@ def test_every_sku_is_forecast_without_a_list(planner):
 
 
 def test_training_run_is_logged(planner):
-    planner.train()
-    planner.train()
+    run("train", planner)
+    run("retrain", planner)
     runs = planner.store.table("runs").collect()
     assert len({r.run_id for r in runs}) == len(runs) == 2
     assert runs[0].model_type == "naive_mean" and runs[0].artifact.startswith("baseline_mean=") and runs[0].value > 0
     assert planner.monitor() == {"metric": "naive_mape", "value": runs[0].value}
+    with pytest.raises(ValueError):
+        run("dance", planner)
