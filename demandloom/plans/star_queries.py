@@ -448,7 +448,10 @@ def scenario_base_plan(v: StarViews) -> DataFrame:
 
 @query
 def scenario_kpis(v: StarViews) -> DataFrame:
-    return rounded(_scenario_kpis(v).select("scenario_id", "base_plan_id", "kpi", "factor", "base", "scenario", "delta", "unit"))
+    # Mean factors of few shocks end in exact halves at fewer digits.
+    kpis = _scenario_kpis(v).withColumn("factor", F.round("factor", 8).cast("decimal(12,8)"))
+    kept = kpis.select("scenario_id", "base_plan_id", "kpi", "factor", "base", "scenario", "delta", "unit")
+    return rounded(kept).withColumn("factor", F.col("factor").cast("double"))
 
 
 @query

@@ -261,7 +261,7 @@ RAW_SQL = {
     "latest_plan": "SELECT plan_id, forecast_id, seq FROM plans ORDER BY seq DESC LIMIT 1",
     "scenario_base_plan": """SELECT scenario_id, base_plan_id, CASE WHEN base_plan_id IS NOT NULL THEN 'ok'
         WHEN coalesce(plan_id, '') <> '' THEN 'plan_not_found' ELSE 'no_base_plan' END AS status FROM based""",
-    "scenario_kpis": f"""SELECT scenario_id, base_plan_id, 'Total Volume' AS kpi, {_rounded('factor base scenario delta')}, 'units' AS unit FROM outcome""",
+    "scenario_kpis": f"""SELECT scenario_id, base_plan_id, 'Total Volume' AS kpi, {_rounded('factor', 8)}, {_rounded('base scenario delta')}, 'units' AS unit FROM outcome""",
     "delta_percent": "SELECT scenario_id, round(100 * delta / nullif(base, 0), 4) AS delta_percent FROM outcome",
     "scenario_narrative": "SELECT scenario_id, narrative FROM told",
     "scenario_list": "SELECT scenario_id, forecast_id, plan_id, name FROM scenarios WHERE forecast_id = 'FC-Brand#7'",
