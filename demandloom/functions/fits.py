@@ -174,6 +174,16 @@ def _seasonal_chunk(days: list[np.ndarray], values: list[np.ndarray], at: list[n
     ]
 
 
+def _seasonal_or_none(days: list[np.ndarray], values: list[np.ndarray], at: list[np.ndarray]) -> list:
+    try:
+        return _seasonal_chunk(days, values, at)
+    except np.linalg.LinAlgError:
+        if len(values) == 1:
+            return [np.array([np.nan])]
+        # One series without a solution must not cost the others theirs.
+        return [_seasonal_or_none([d], [v], [a])[0] for d, v, a in zip(days, values, at)]
+
+
 def seasonal_paths(days, series, at) -> list:
     out: list = [None] * len(series)
     steps = [None if a is None else len(a) for a in at]
@@ -189,7 +199,7 @@ def seasonal_paths(days, series, at) -> list:
     for group in groups.values():
         for chunk in _chunks(group):
             picked = ([np.asarray(col[i], dtype=float) for i in chunk] for col in (days, series, at))
-            for i, path in zip(chunk, _seasonal_chunk(*picked)):
+            for i, path in zip(chunk, _seasonal_or_none(*map(list, picked))):
                 out[i] = path if np.isfinite(path).all() else None
     return out
 

@@ -54,7 +54,7 @@ def forecast_fits(
     return forecast.fit_models(series, steps, request.forced_model), requested
 
 
-class Planner:
+class PlanningFlow:
     def __init__(self, spark: SparkSession, data_root: str, result_root: str):
         self.spark = spark
         self.datasets = Datasets(spark, data_root)

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import sys
 
-from demandloom.plans.planner import Planner
+from demandloom.plans.flow import PlanningFlow
 from demandloom.session import get_session
 
 
-def run(job: str, planner: Planner) -> None:
+def run(job: str, flow: PlanningFlow) -> None:
     if job == "monitor":
-        print(planner.monitor())
+        print(flow.monitor())
     elif job in ("train", "retrain"):
-        planner.train()
+        flow.train()
     else:
         raise ValueError(f"unknown job {job!r}")
 
 
 if __name__ == "__main__":
     name, data, results = sys.argv[1:]
-    run(name, Planner(get_session(f"demandloom-{name}"), data, results))
+    run(name, PlanningFlow(get_session(f"demandloom-{name}"), data, results))

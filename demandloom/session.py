@@ -1,10 +1,8 @@
-"""Session settings that suit the operators, and a checkpoint folder."""
+"""Session settings that suit the operators."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Splitting of hot join keys and run-time choice of broadcast joins are left to AQE,
 # which measures the real shuffle sizes.
@@ -28,16 +26,6 @@ def get_session(app: str = "demandloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="demandloom-"))
-    return df.checkpoint()
-
-
 def fit_partitions(spark: SparkSession) -> int:
     """Number of tasks that share out the model fits.
 

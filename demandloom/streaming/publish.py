@@ -12,9 +12,11 @@ def as_events(df: DataFrame, topic: str) -> DataFrame:
     return df.select(F.lit(topic).alias("topic"), value.alias("value"))
 
 
-def publish(df: DataFrame, topic: str, sink: str = "kafka", **options: str):
+def publish(df: DataFrame, topic: str, sink: str = "kafka", every: str | None = None, **options: str):
     """Write a batch, or start a stream when `df` is one (give it a `checkpointLocation`).
 
+    A stream takes what is there and stops, or runs on in intervals of `every`.
+
     The `kafka` sink needs the Spark-Kafka connector and `kafka.bootstrap.servers`; file sinks
     get the JSON text only and need `path`.
     """
@@ -25,4 +27,5 @@ def publish(df: DataFrame, topic: str, sink: str = "kafka", **options: str):
         return events.write.format(sink).mode("append").options(**options).save()
     if "checkpointLocation" not in options:
         raise ValueError("a stream needs a checkpointLocation on shared storage")
-    return events.writeStream.format(sink).options(**options).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return events.writeStream.format(sink).options(**options).trigger(**trigger).start()

@@ -192,3 +192,26 @@ def test_missing_values_and_no_steps_have_no_fit():
     assert fits.arima_paths([np.array([1.0, np.nan, 2, 3, 4])], [3]) == [None]
     assert fits.boosted_paths([np.arange(9.0)], [0]) == [None]
     assert fits.arima_paths([None], [3]) == [None]
+
+
+def test_one_failed_fit_does_not_harm_the_others(monkeypatch):
+    real = fits._seasonal_chunk
+
+    def failing(days, values, at):
+        if any(v[0] == 99.0 for v in values):
+            raise np.linalg.LinAlgError
+        return real(days, values, at)
+
+    good, bad = rng(3).gamma(2.0, 9.0, size=12), np.arange(99.0, 111.0)
+    days, ahead = np.arange(12.0), np.arange(12.0, 15.0)
+    (alone,) = fits.seasonal_paths([days], [good], [ahead])
+    monkeypatch.setattr(fits, "_seasonal_chunk", failing)
+    paths = fits.seasonal_paths([days] * 2, [good, bad], [ahead] * 2)
+    assert paths[0] == pytest.approx(alone) and paths[1] is None
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_extreme_values_do_not_fail():
+    for size in (1e-300, 1e150, 1e308):
+        for paths in all_paths([rng(4).random(20) * size]).values():
+            assert paths[0] is None or np.isfinite(paths[0]).all()

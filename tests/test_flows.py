@@ -6,9 +6,8 @@ import json
 import pytest
 
 from demandloom.plans.jobs import run
-from demandloom.plans.planner import Planner
+from demandloom.plans.flow import PlanningFlow
 from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, Shock, split_skus
-from demandloom.session import cut_lineage
 from demandloom.sources.datasets import DatasetNotFound, Datasets
 from demandloom.sources.files import read_csv, typed, write_csv
 from demandloom.sources.jdbc import jdbc_options
@@ -96,10 +95,6 @@ def test_store_replaces_one_result_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(key" in plan
 
 
-def test_checkpoint_keeps_rows(spark):
-    assert cut_lineage(spark.range(5)).count() == 5
-
-
 # --- publishing
 
 
@@ -140,7 +135,7 @@ def test_requests_are_checked():
 
 
 @pytest.fixture(scope="module")
-def planner(spark, tmp_path_factory):
+def flow(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("flow")
     data = root / "data"
     data.mkdir()
@@ -153,91 +148,91 @@ def planner(spark, tmp_path_factory):
         data / "sample_external_signals.csv",
         "date,location,is_holiday,temperature,google_trends_index\n2024-12-20,WH-1,0,3.5,40\n2024-12-25,WH-1,1,-1.5,50\n",
     )
-    return Planner(spark, str(data), str(root / "results"))
+    return PlanningFlow(spark, str(data), str(root / "results"))
 
 
-def test_empty_session(planner):
-    if planner.store.table("forecasts") is None:
-        assert planner.forecast_summary() == "No forecasts are available in the current session."
-        assert planner.plan_summary() == "No plans are available in the current session."
-        assert planner.scenario_summary() == "No scenarios have been created yet."
-        assert {r.item: r["items"] for r in planner.session_counts().collect()} == {"forecasts": 0, "plans": 0, "scenarios": 0}
+def test_empty_session(flow):
+    if flow.store.table("forecasts") is None:
+        assert flow.forecast_summary() == "No forecasts are available in the current session."
+        assert flow.plan_summary() == "No plans are available in the current session."
+        assert flow.scenario_summary() == "No scenarios have been created yet."
+        assert {r.item: r["items"] for r in flow.session_counts().collect()} == {"forecasts": 0, "plans": 0, "scenarios": 0}
     with pytest.raises(ResultNotFound):
-        planner.points("nothing")
+        flow.points("nothing")
 
 
-def test_forecast_plan_scenario_and_explanation(planner):
+def test_forecast_plan_scenario_and_explanation(flow):
     start, end = dt.date(2025, 1, 1), dt.date(2025, 1, 7)
-    forecast_id = planner.create_forecast(ForecastRequest(start, end, ["SKU-001", "SKU-002", "SKU-404"], location="WH-1"))
-    points = planner.points(forecast_id).collect()
+    forecast_id = flow.create_forecast(ForecastRequest(start, end, ["SKU-001", "SKU-002", "SKU-404"], location="WH-1"))
+    points = flow.points(forecast_id).collect()
     assert len(points) == 21 and {p.date for p in points} == {start + dt.timedelta(days=i) for i in range(7)}
-    models = {r.sku: r.model for r in planner.fits(forecast_id).collect()}
+    models = {r.sku: r.model for r in flow.fits(forecast_id).collect()}
     assert models["SKU-404"] == "stub" and models["SKU-001"] in ("arima", "prophet", "xgboost")
-    metrics = {r.key: r.value for r in planner.metrics(forecast_id).collect()}
+    metrics = {r.key: r.value for r in flow.metrics(forecast_id).collect()}
     assert metrics["SKU-404.chosen_model"] == 0.0 and "SKU-001.arima_mape" in metrics
 
-    plan_id = planner.create_plan(PlanRequest(forecast_id, 0.95, 10, "WH-1"))
+    plan_id = flow.create_plan(PlanRequest(forecast_id, 0.95, 10, "WH-1"))
     demand = sum(p["mean"] for p in points if p.sku == "SKU-001")
-    orders = {r.sku: r for r in planner.plan_table("orders", plan_id).collect()}
+    orders = {r.sku: r for r in flow.plan_table("orders", plan_id).collect()}
     assert orders["SKU-001"].quantity == pytest.approx(0.4 * demand * (1 + 1.65 * 10 / 7))
     assert orders["SKU-001"].location == "WH-1" and orders["SKU-001"].order_date == start
 
     shock = Shock("demand", start, end, 1.2)
-    scenario_id = planner.run_scenario(ScenarioRequest(forecast_id, plan_id, "Demand x1.2", [shock]))
-    result = planner.scenario(scenario_id).first()
-    total = planner.plan_table("plan_kpis", plan_id).where("name = 'Total Volume'").first().value
+    scenario_id = flow.run_scenario(ScenarioRequest(forecast_id, plan_id, "Demand x1.2", [shock]))
+    result = flow.scenario(scenario_id).first()
+    total = flow.plan_table("plan_kpis", plan_id).where("name = 'Total Volume'").first().value
     assert result.base == pytest.approx(total) and result.scenario == pytest.approx(1.2 * total)
     assert result.narrative.startswith("Demand x1.2: Total volume increase from ")
-    calm = planner.run_scenario(ScenarioRequest(forecast_id))
-    assert planner.scenario(calm).first().plan_id == plan_id
-    assert planner.scenarios(forecast_id).count() == 2 and planner.scenarios("other").count() == 0
+    calm = flow.run_scenario(ScenarioRequest(forecast_id))
+    assert flow.scenario(calm).first().plan_id == plan_id
+    assert flow.scenarios(forecast_id).count() == 2 and flow.scenarios("other").count() == 0
 
-    explained = planner.explain(forecast_id)
+    explained = flow.explain(forecast_id)
     assert explained["global_importance"].count() == 6 and explained["by_sku"].count() == 18
     assert explained["external_summary"].first().summary == (
         "Google search interest moved from 40 to 50 over the last 14 days (+25.0% change). "
         "Observed temperature range in the same window: -1.5–3.5°C. Recent days include holidays, which may drive demand peaks."
     )
 
-    text = planner.forecast_summary("unknown")
+    text = flow.forecast_summary("unknown")
     assert text.startswith(f"Forecast {forecast_id} uses model arima_prophet_xgb_ensemble v1.0.0. Top SKUs by volume: SKU-404")
-    assert planner.plan_summary().startswith(f"Plan {plan_id} is linked to forecast {forecast_id}. Key KPIs: Total Volume: ")
-    assert planner.scenario_summary(scenario_id).startswith(f"Selected scenario Demand x1.2 ({scenario_id}) for forecast")
-    assert planner.scenario_summary().startswith("There are 2 scenarios in the current session. Examples: Demand x1.2 (")
-    assert planner.dataset_summary("sales").startswith("Dataset sales currently loaded from sample_sales.csv has 80 rows and 4 columns.")
-    assert planner.dataset_summary("production") == "Dataset production is not available."
-    assert {r.item: r["items"] for r in planner.session_counts().collect()} == {"forecasts": 1, "plans": 1, "scenarios": 2}
+    assert flow.plan_summary().startswith(f"Plan {plan_id} is linked to forecast {forecast_id}. Key KPIs: Total Volume: ")
+    assert flow.scenario_summary(scenario_id).startswith(f"Selected scenario Demand x1.2 ({scenario_id}) for forecast")
+    assert flow.scenario_summary().startswith("There are 2 scenarios in the current session. Examples: Demand x1.2 (")
+    assert flow.dataset_summary("sales").startswith("Dataset sales currently loaded from sample_sales.csv has 80 rows and 4 columns.")
+    assert flow.dataset_summary("production") == "Dataset production is not available."
+    assert {r.item: r["items"] for r in flow.session_counts().collect()} == {"forecasts": 1, "plans": 1, "scenarios": 2}
 
 
-def test_preview_and_default_request(planner):
-    shown = planner.preview("sales", 3, ["Order_Date", "Product"])
+def test_preview_and_default_request(flow):
+    shown = flow.preview("sales", 3, ["Order_Date", "Product"])
     assert shown["rows"] == 80 and shown["warnings"] == [] and shown["columns"][0] == "Order_Date"
     assert [r.Product for r in shown["preview"].collect()] == ["SKU-001", "SKU-002", "SKU-001"]
     assert {r.name: r.role for r in shown["schema"].collect()}["Qty"] == "numeric"
-    request = planner.default_request(["Order_Date", "Product"])
+    request = flow.default_request(["Order_Date", "Product"])
     assert request.skus == ["SKU-001", "SKU-002"]
     assert (request.start_date, request.end_date) == (dt.date(2024, 11, 20), dt.date(2024, 12, 29))
 
 
-def test_missing_plans_are_told_apart(planner):
+def test_missing_plans_are_told_apart(flow):
     with pytest.raises(ResultNotFound):
-        planner.run_scenario(ScenarioRequest("any", plan_id="missing"))
+        flow.run_scenario(ScenarioRequest("any", plan_id="missing"))
     with pytest.raises(ValueError):
-        planner.run_scenario(ScenarioRequest("no such forecast"))
+        flow.run_scenario(ScenarioRequest("no such forecast"))
     with pytest.raises(ResultNotFound):
-        planner.create_plan(PlanRequest("no such forecast"))
+        flow.create_plan(PlanRequest("no such forecast"))
 
 
-def test_empty_horizon_still_makes_a_forecast_and_a_plan(planner):
-    forecast_id = planner.create_forecast(ForecastRequest(dt.date(2025, 1, 2), dt.date(2025, 1, 1), ["SKU-001"]))
-    assert planner.points(forecast_id).count() == 0 and planner.fits(forecast_id).count() == 1
-    plan_id = planner.create_plan(PlanRequest(forecast_id))
-    kpis = planner.plan_table("plan_kpis", plan_id)
+def test_empty_horizon_still_makes_a_forecast_and_a_plan(flow):
+    forecast_id = flow.create_forecast(ForecastRequest(dt.date(2025, 1, 2), dt.date(2025, 1, 1), ["SKU-001"]))
+    assert flow.points(forecast_id).count() == 0 and flow.fits(forecast_id).count() == 1
+    plan_id = flow.create_plan(PlanRequest(forecast_id))
+    kpis = flow.plan_table("plan_kpis", plan_id)
     assert kpis is None or kpis.count() == 0
 
 
-def test_first_result_may_be_empty(spark, planner, tmp_path):
-    fresh = Planner(spark, planner.datasets.root, str(tmp_path / "fresh"))
+def test_first_result_may_be_empty(spark, flow, tmp_path):
+    fresh = PlanningFlow(spark, flow.datasets.root, str(tmp_path / "fresh"))
     day = dt.date(2025, 1, 1)
     forecast_id = fresh.create_forecast(ForecastRequest(day + dt.timedelta(days=1), day, ["SKU-001"]))
     assert fresh.points(forecast_id).count() == 0
@@ -248,18 +243,18 @@ def test_first_result_may_be_empty(spark, planner, tmp_path):
     assert fresh.plan_summary() == f"Plan {plan_id} is linked to forecast {forecast_id}."
 
 
-def test_every_sku_is_forecast_without_a_list(planner):
-    forecast_id = planner.create_forecast(ForecastRequest(dt.date(2025, 1, 1), dt.date(2025, 1, 31), granularity="W", forced_model="prophet"))
-    assert {(r.sku, r.model) for r in planner.fits(forecast_id).collect()} == {("SKU-001", "prophet"), ("SKU-002", "prophet")}
-    assert planner.points(forecast_id).count() == 8
+def test_every_sku_is_forecast_without_a_list(flow):
+    forecast_id = flow.create_forecast(ForecastRequest(dt.date(2025, 1, 1), dt.date(2025, 1, 31), granularity="W", forced_model="prophet"))
+    assert {(r.sku, r.model) for r in flow.fits(forecast_id).collect()} == {("SKU-001", "prophet"), ("SKU-002", "prophet")}
+    assert flow.points(forecast_id).count() == 8
 
 
-def test_training_run_is_logged(planner):
-    run("train", planner)
-    run("retrain", planner)
-    runs = planner.store.table("runs").collect()
+def test_training_run_is_logged(flow):
+    run("train", flow)
+    run("retrain", flow)
+    runs = flow.store.table("runs").collect()
     assert len({r.run_id for r in runs}) == len(runs) == 2
     assert runs[0].model_type == "naive_mean" and runs[0].artifact.startswith("baseline_mean=") and runs[0].value > 0
-    assert planner.monitor() == {"metric": "naive_mape", "value": runs[0].value}
+    assert flow.monitor() == {"metric": "naive_mape", "value": runs[0].value}
     with pytest.raises(ValueError):
-        run("dance", planner)
+        run("dance", flow)
