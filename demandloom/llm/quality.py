@@ -32,7 +32,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2, 14),
     Rule("symbols", "n_symbols", "n_words", 0, 0.3),
     Rule("stop_words", "n_stop_words", "n_words", 0.04, 0.9),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 0, 0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 0, 0.5),
     Rule("line_length", "n_words", "n_lines", 2, 20_000),
 )
 
