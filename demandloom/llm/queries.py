@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm.language import identify
+from demandloom.llm.mixing import mix
+from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
+from demandloom.llm.pseudonyms import replace_personal_data
 from demandloom.llm.quality import quality
 from demandloom.llm.secrets import find_secrets
+from demandloom.llm.spots import fingerprint
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), width=4)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
@@ -26,14 +34,30 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(_documents(spark, sf_dir))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(_documents(spark, sf_dir))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op8_source_mixing": op8_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
