@@ -10,6 +10,7 @@ from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pseudonyms import replace_personal_data
 from demandloom.llm.quality import quality
+from demandloom.llm.repeats import remove_repeats
 from demandloom.llm.secrets import find_secrets
 from demandloom.llm.spots import fingerprint
 
@@ -42,6 +43,10 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(_documents(spark, sf_dir))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_source_mixing": op8_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
