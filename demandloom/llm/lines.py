@@ -1,14 +1,219 @@
-"""Near-duplicate lines: an exact set-similarity join with prefix, length and positional filters."""
+"""Near-duplicate lines: an exact set-similarity join with prefix, positional and length filters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import WORD, pick, settle
+from demandloom.llm.common import SPACES, let, pick, settle, words
 
-#: Jaccard of 4/5 or more, kept as whole numbers so that the tests are exact.
-NUM, DEN = 4, 5
-#: The rarity order rests on token counts in so many hash buckets; any order gives the same
-#: result, a finer one only fewer candidates. One array of this length reaches every task.
-SKETCH_BITS = 18
+#: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
+#: Rarity is measured in so many hash buckets of words; any order gives the same result, a
+#: finer one only fewer candidates. What reaches the driver and the tasks is one byte per bucket.
+SKETCH_BITS = 16
+NO_ID = -(1 << 63)
+PART = 1 << 32  # a place is part * PART + line number
+TOKEN_BITS = 58
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """doc, part, text: part tells apart different texts with the same id."""
+    return pick(docs, "doc_id", "text").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.pmod(F.hash("text"), F.lit(1 << 15))).cast("int").alias("part"),
+        "text",
+    )
+
+
+def _has_word(line: Column) -> Column:
+    return F.length(F.translate(line, SPACES, "")) > 0
+
+
+def _tokens(line: Column) -> Column:
+    """Distinct words of a line in lower case, as 64-bit hashes."""
+    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+
+
+def _rarity(base: DataFrame) -> Column:
+    """Levels of the hash buckets of words, rarer words first: the bits of a bucket's count, 31 at most."""
+    size = 1 << SKETCH_BITS
+    tokens = base.select(F.explode(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))).alias("t"))
+    counts = tokens.groupBy(F.col("t").bitwiseAND(size - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    levels = bytearray(size)
+    for r in counts.collect():  # at most one row per bucket
+        levels[r.b] = min(31, r.n.bit_length())
+    return F.lit(bytes(levels))
+
+
+def _copies(base: DataFrame) -> DataFrame:
+    """doc, part, skip: numbers of the lines whose text also stands earlier."""
+    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_word(F.col("line")))
+    place = F.col("part") * F.lit(PART) + F.col("at")
+    keyed = lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "doc", place.alias("place"))
+    firsts = keyed.groupBy("h", "g").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = keyed.join(firsts, ["h", "g"]).where(F.struct("doc", "place") > F.col("first"))
+    return _by_doc(later, "skip")
+
+
+def _by_doc(places: DataFrame, name: str) -> DataFrame:
+    number = F.pmod(F.col("place"), F.lit(PART)).cast("int")
+    part = F.floor(F.col("place") / F.lit(PART)).cast("int")
+    return places.select("doc", part.alias("part"), number.alias("at")).groupBy("doc", "part").agg(F.collect_set("at").alias(name))
+
+
+def _prefix_rows(base: DataFrame, skip: DataFrame) -> DataFrame:
+    """One row per prefix word of each line that is no copy: token, at, n, bits, doc, place."""
+    levels = _rarity(base)
+    size = 1 << SKETCH_BITS
+
+    def ranked(t: Column) -> Column:
+        level = F.ascii(F.substring(levels, t.bitwiseAND(size - 1).cast("int") + 1, 1).cast("string")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
+
+    def kept(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        left = F.when(F.col("skip").isNull(), numbers).otherwise(F.array_except(numbers, "skip"))
+        return F.transform(left, lambda i: F.struct(i.alias("at"), lines[i].alias("line")))
+
+    split = base.join(skip.hint("shuffle_hash"), ["doc", "part"], "left").where("text IS NOT NULL")
+    lines = split.select("doc", "part", F.explode(let(F.split("text", "\n"), kept)).alias("l")).where(_has_word(F.col("l.line")))
+    place = (F.col("part") * F.lit(PART) + F.col("l.at")).alias("place")
+    sets = lines.select("doc", place, F.sort_array(F.transform(_tokens(F.col("l.line")), ranked)).alias("tokens"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    signed = sets.select(
+        "doc", "place", "tokens", F.size("tokens").alias("n"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias("bits"),
+    )
+    # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
+    length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
+    return signed.select("doc", "place", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+
+
+def _may_match(a: str, b: str) -> Column:
+    """Length, positional and bitmap filters for two rows that share a prefix word.
+
+    The positional bound holds for the first word that two lines share, which has a row of its own.
+    The bitmaps differ in at most one bit for each word that only one line has.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    least = F.floor((4 * (n + m) + 8) / 9)  # common words needed
+    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (rest >= least) & (differ <= n + m - 2 * least)
+
+
+LINE = ("doc", "place", "n", "at", "bits")
+
+
+def _line(*more: str) -> Column:
+    return F.struct(*LINE, *more)
+
+
+def _before(a: str, b: str) -> Column:
+    return F.struct(f"{a}.doc", f"{a}.place") < F.struct(f"{b}.doc", f"{b}.place")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    """The later line of the two first."""
+    swap = _before(a, b)
+    pick_ = lambda c, x, y: F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
+    return [
+        pick_("doc", a, b).alias("doc"), pick_("place", a, b).alias("place"),
+        pick_("doc", b, a).alias("to_doc"), pick_("place", b, a).alias("to_place"),
+    ]
+
+
+def _crowd(rows: DataFrame) -> DataFrame:
+    """Rows whose word is in the prefix of several lines, as `a`, with the first of these lines as `hub`.
+
+    The rows are dealt by word once; the sums and joins that follow reuse that.
+    """
+    groups = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub_doc")).where("c > 1")
+    crowd = rows.join(groups.hint("shuffle_hash"), "token")
+    hubs = crowd.where("doc = hub_doc").groupBy("token").agg(F.min(_line()).alias("hub"))
+    return crowd.select("token", "c", _line().alias("a")).join(hubs.hint("shuffle_hash"), "token")
+
+
+def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with whether their full sets of words match."""
+    ends = pairs.select("doc", "place").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place")))
+    wanted = _by_doc(ends, "wanted")
+    found = base.join(wanted.hint("shuffle_hash"), ["doc", "part"])
+    pick_ = lambda lines: F.transform("wanted", lambda i: F.struct(i.alias("at"), lines[i].alias("line")))
+    lines = found.select("doc", "part", F.explode(let(F.split("text", "\n"), pick_)).alias("l"))
+    texts = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("l.at")).alias("place"), F.col("l.line").alias("line")).distinct()
+    texts = settle(texts, "lines")
+    other = texts.select(F.col("doc").alias("to_doc"), F.col("place").alias("to_place"), F.col("line").alias("to_line"))
+    both = pairs.join(texts, ["doc", "place"]).join(other, ["to_doc", "to_place"])
+    sets = both.select(
+        "doc", "place", "to_doc", "to_place",
+        F.array_distinct(words(F.lower("line"))).alias("x"), F.array_distinct(words(F.lower("to_line"))).alias("y"),
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    return sets.select("doc", "place", "to_doc", "to_place", (5 * common >= 4 * (F.size("x") + F.size("y") - common)).alias("ok"))
+
+
+def repeated_lines(base: DataFrame) -> DataFrame:
+    """doc, part, gone: line numbers of every line that matches an earlier line.
+
+    1. Lines with the text of an earlier line go; only first lines take part in what follows.
+    2. Their words, rarest first, are cut to the prefix; lines that share a prefix word and pass the
+       filters are candidates. Each line meets the hub of the word, which is its first line. A line that
+       the filters keep apart from the hub meets all others of the word.
+    3. Candidates are confirmed on their full sets of words. A line that was only compared with
+       hubs and matched none meets all others of its words, so no match is missed.
+    """
+    skip = settle(_copies(base), "copies")
+    rows = _prefix_rows(base, skip).repartition("token")
+    crowd = _crowd(rows)
+    not_hub = F.struct("a.doc", "a.place") != F.struct("hub.doc", "hub.place")
+    to_hub = crowd.where(not_hub & _may_match("a", "hub")).select(*_pair("a", "hub"), F.lit(True).alias("of_hub"))
+    apart = crowd.where((F.col("c") > 2) & not_hub & ~_may_match("a", "hub")).select("token", "a")
+    others = crowd.where("c > 2").select("token", F.col("a").alias("b"))
+    different = F.struct("a.doc", "a.place") != F.struct("b.doc", "b.place")
+    met = apart.join(others, "token").where(different & _may_match("a", "b"))
+    pairs = settle(
+        to_hub.unionByName(met.select(*_pair("a", "b"), F.lit(False).alias("of_hub")))
+        .groupBy("doc", "place", "to_doc", "to_place").agg(F.bool_and("of_hub").alias("of_hub")),
+        "pairs",
+    )
+    judged = settle(_confirmed(base, pairs.drop("of_hub")), "judged")
+    gone = judged.where("ok").select("doc", "place")
+
+    # Lines that failed against a hub and have matched nothing yet.
+    failed = judged.where("NOT ok")
+    ends = failed.select("doc", "place").unionByName(failed.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place"))).distinct()
+    open_lines = settle(ends.join(gone, ["doc", "place"], "left_anti"), "open")
+    if not open_lines.isEmpty():
+        marked = crowd.select("token", "a", F.col("a.doc").alias("doc"), F.col("a.place").alias("place"))
+        asks = marked.join(open_lines, ["doc", "place"], "left_semi").select("token", "a")
+        again = asks.join(crowd.select("token", F.col("a").alias("b")), "token").where(different & _may_match("a", "b"))
+        left = again.select(*_pair("a", "b")).distinct().join(judged, ["doc", "place", "to_doc", "to_place"], "left_anti")
+        gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select("doc", "place"))
+    copies = skip.select("doc", "part", F.explode("skip").alias("at")).select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"))
+    return _by_doc(gone.unionByName(copies), "gone")
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(numbers, lambda i: lines[i]), "\n")
+
+
+def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text without repeated lines, n_lines, n_removed; one row per input row.
+
+    Needs doc_id and text; other columns are ignored. Lines are split at line feeds. A line goes if an
+    earlier line (smaller doc_id, or further up in the same text) has the same text, or a set of
+    lower-cased words with a Jaccard likeness of 0.8 or more, whether or not that line stays. Lines
+    without words stay. A NULL text stays NULL and has no lines; a NULL id stands before all others.
+    Texts with the same id are ordered by a hash; equal rows count as one document and get equal results.
+    """
+    base = _base(docs)
+    judged = base.join(repeated_lines(base).hint("shuffle_hash"), ["doc", "part"], "left")
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda x: _kept(x, F.col("gone"))))
+    return judged.select(
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
+        left.alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from demandloom.llm.language import identify
+from demandloom.llm.lines import remove_repeated_lines
 from demandloom.llm.mixing import mix
 from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
@@ -51,6 +53,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
@@ -64,6 +71,7 @@ QUERIES = {
     "op6_pseudonyms": op6_pseudonyms,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_source_mixing": op8_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

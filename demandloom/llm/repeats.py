@@ -346,14 +346,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     One exchange of the texts serves both joins: with the repeated symbols, and with the repeated windows.
     """
     bound_batches(docs.sparkSession)
+    no_id = F.lit(-(1 << 63))
     base = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc"),
         F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("part"),
         "text",
     )
-    symbols = _repeated_symbols(_symbol_rows(base.select("doc", "part", "text")))
-    with_symbols = base.join(symbols, ["doc", "part"], "left")
-    windows = _repeated_windows(_candidates(with_symbols.select("doc", "part", "text", "starts")))
+    # The small side is hashed, so the texts are not sorted; both joins read the same columns.
+    symbols = _repeated_symbols(_symbol_rows(base)).hint("shuffle_hash")
+    windows = _repeated_windows(_candidates(base.join(symbols, ["doc", "part"], "left"))).hint("shuffle_hash")
     judged = base.join(windows, ["doc", "part"], "left")
-    return _remove(judged.select("doc_id", "text", "starts"))
+    return _remove(judged.select(F.when(F.col("doc") != no_id, F.col("doc")).alias("doc_id"), "text", "starts"))
