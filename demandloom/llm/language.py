@@ -212,3 +212,25 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """`predict` with a model fitted on the same table."""
     return predict(docs, fit(docs, fit_rows))
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents, with all their columns, whose language is clear.
+
+    Texts that are NULL or have no letters, and texts whose prediction is ambiguous, are rejected.
+    """
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            clear = np.zeros(len(texts), bool)
+            usable = [i for i, t in enumerate(texts) if model.languages and t and LETTER.search(t)]
+            for start in range(0, len(usable), 64):
+                part = usable[start : start + 64]
+                clear[part] = ~model.decode(model.margins([texts[i] for i in part]))[2]
+            yield batch.filter(pa.array(clear))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -16,12 +16,14 @@ PART = 1 << 32  # a place is part * PART + line number
 TOKEN_BITS = 58
 
 
+def _part(text: Column) -> Column:
+    """Tells apart different texts with the same id."""
+    return F.pmod(F.hash(text), F.lit(1 << 15)).cast("int")
+
+
 def _base(docs: DataFrame) -> DataFrame:
-    """doc, part, text: part tells apart different texts with the same id."""
     return pick(docs, "doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.pmod(F.hash("text"), F.lit(1 << 15))).cast("int").alias("part"),
-        "text",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), _part(F.col("text")).alias("part"), "text"
     )
 
 
@@ -217,3 +219,22 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, texts without repeated lines, and n_chars to match.
+
+    Matches are those of `remove_repeated_lines`. A document goes if it had words and keeps none.
+    """
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text", "n_chars") if name in docs.columns}
+    gone = settle(repeated_lines(_base(docs)), "gone")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keyed = numbered.withColumn("doc", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID))).withColumn("part", _part(F.col(at["text"])))
+    judged = keyed.join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
+    text = F.col(at["text"])
+    left = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda x: _kept(x, F.col("gone"))))
+    kept = judged.withColumn("left", left).where(F.col("gone").isNull() | _has_word(F.col("left")))
+    new = {at["text"]: F.col("left")}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.length("left").cast(dict(numbered.dtypes)[at["n_chars"]])
+    return kept.select([new.get(c, F.col(c)).alias(c) for c in numbered.columns]).toDF(*docs.columns)

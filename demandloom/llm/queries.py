@@ -15,6 +15,7 @@ from demandloom.llm.quality import quality
 from demandloom.llm.repeats import remove_repeats
 from demandloom.llm.secrets import find_secrets
 from demandloom.llm.spots import fingerprint
+from demandloom.llm.sql import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
