@@ -28,8 +28,7 @@ WINDOW, ROUNDS = 20, 4
 #: Shorter symbols tell little: they are not counted and rule nothing out.
 LEAST_WORDS = 3
 
-_RANDOM = np.random.default_rng(20240611)
-_POWERS = _RANDOM.integers(1, 1 << 63, (2, 1), dtype=np.uint64) | np.uint64(1)
+POWER = np.uint64(0x9FB21C651E98DF25)
 ONE = np.uint64(1)
 
 
@@ -159,29 +158,24 @@ class Texts:
         """Number of the text that holds each word."""
         return np.searchsorted(self.starts + self.lengths, at, side="right")
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start of every window that lies in one text, and two hashes of its words."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start of every window that lies in one text, and a hash of its words."""
         n = len(self.word)
         if n < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        two = []
-        for step in _POWERS[:, 0]:
-            # Horner over blocks of 1, 2, 4, 8, 16 words, joined to 20.
-            block, size, total, done = mixed(self.word * step), 1, None, 0
-            power = step
-            while size <= WINDOW:
-                if WINDOW & size:
-                    part = block if total is None else total[: len(block) - done] * power + block[done:] if done else block
-                    total, done = (part, size) if total is None else (part, done + size)
-                block = block[:-size] * power + block[size:]
-                power = np.uint64(int(power) ** 2 % (1 << 64))
-                size *= 2
-            two.append(mixed(total[: n - WINDOW + 1]))
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        # Horner over blocks of 1, 2, 4, 8, 16 words, joined to 20.
+        block, size, total, done, power = mixed(self.word), 1, None, 0, POWER
+        while size <= WINDOW:
+            if WINDOW & size:
+                total = block if total is None else total[: len(block) - done] * power + block[done:]
+                done += size
+            block = block[:-size] * power + block[size:]
+            power = np.uint64(int(power) ** 2 % (1 << 64))
+            size *= 2
         ends = np.repeat(self.starts + self.lengths, self.lengths)
         at = np.arange(n - WINDOW + 1)
-        inside = at + WINDOW <= ends[: n - WINDOW + 1]
-        at = at[inside]
-        return at, two[0][at], (two[1][at] >> np.uint64(32)).astype(np.int64)
+        at = at[at + WINDOW <= ends[: n - WINDOW + 1]]
+        return at, mixed(total)[at]
 
 
 def _tag(part: np.ndarray, at: np.ndarray, sure: np.ndarray) -> np.ndarray:
@@ -189,12 +183,11 @@ def _tag(part: np.ndarray, at: np.ndarray, sure: np.ndarray) -> np.ndarray:
     return (part.astype(np.int64) << 32) | (at.astype(np.int64) << 1) | sure.astype(np.int64)
 
 
-def _first_in_batch(keys: list[np.ndarray], rank: np.ndarray) -> np.ndarray:
+def _first_in_batch(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Marks, for every distinct key, the entry with the least rank."""
-    order = np.lexsort((rank, *keys))
+    order = np.lexsort((rank, key))
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    new[1:] = key[order][1:] != key[order][:-1]
     out = np.zeros(len(order), bool)
     out[order[new]] = True
     return out
@@ -223,7 +216,7 @@ def _symbol_rows(docs: DataFrame) -> DataFrame:
             owner = texts.owner(start)
             _, back, times = np.unique(name, return_inverse=True, return_counts=True)
             sure = times[back] > 1
-            probe = _first_in_batch([name], start)
+            probe = _first_in_batch(name, start)
             doc = batch.column("doc").to_numpy()[owner]
             tag = _tag(batch.column("part").to_numpy()[owner], start - texts.starts[owner], sure)
             route = np.where(probe, name.astype(np.int64), _spread(doc, tag))
@@ -232,8 +225,8 @@ def _symbol_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, COUNTED)
 
 
-def _repeated_symbols(rows: DataFrame) -> DataFrame:
-    """doc, part, starts: where each text holds symbols that occur again somewhere in the corpus."""
+def _repeated_symbols(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The document's keys, starts: where each text holds symbols that occur again somewhere in the corpus."""
     met = Window.partitionBy("route")
     sure = F.col("tag").bitwiseAND(F.lit(1))
     counted = rows.select("doc", "tag", sure.alias("sure"), F.count(F.lit(1)).over(met).alias("times"), F.max(sure).over(met).alias("any"))
@@ -242,11 +235,19 @@ def _repeated_symbols(rows: DataFrame) -> DataFrame:
         "doc",
         F.shiftright("tag", 32).cast("int").alias("part"),
         F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("at"),
-    ).groupBy("doc", "part").agg(F.collect_list("at").alias("starts"))
+    ).groupBy(*keys).agg(F.collect_list("at").alias("starts"))
+
+
+PACKED = "route long, doc long, tag long, n int, checks array<long>"
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Windows that no unique symbol rules out: route, check, doc, tag (part, start, surely a repeat)."""
+    """Windows that no unique symbol rules out, packed: route, doc, tag, n, checks.
+
+    Equal windows hold equal telling symbols, so neighbouring windows go to the name of the first
+    symbol that they hold together, as one row with a 64-bit hash per window. Windows that repeat an
+    earlier one of the same batch need no meeting: they go as spans without hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -256,7 +257,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
             if s is None:
                 continue
             use = telling(s)
-            start, low, high = s.start[use], s.low[use], s.high[use]
+            name, start, low, high = s.name[use], s.start[use], s.low[use], s.high[use]
             listed = batch.column("starts")
             found = [np.asarray(x.values.to_numpy(), np.int64) + at for x, at in zip(listed, texts.starts) if x.is_valid]
             again = np.zeros(len(texts.word) + 1, bool)
@@ -268,43 +269,60 @@ def _candidates(docs: DataFrame) -> DataFrame:
             np.add.at(change, np.maximum(high[once] - WINDOW, 0), 1)
             np.add.at(change, low[once] + 1, -1)
             ruled_out = np.cumsum(change) > 0
-            at, one, two = texts.windows()
+            at, hash_ = texts.windows()
             left = ~ruled_out[at]
-            at, one, two = at[left], one[left], two[left]
+            at, hash_ = at[left], hash_[left]
+            if not len(at):
+                continue
             owner = texts.owner(at)
             doc, part = batch.column("doc").to_numpy()[owner], batch.column("part").to_numpy()[owner]
-            start = at - texts.starts[owner]
+            place = at - texts.starts[owner]
+
             rank = np.empty(len(at), np.int64)
-            rank[np.lexsort((start, part, doc))] = np.arange(len(at))
-            probe = _first_in_batch([one, two], rank)
-            # A repeated row is the same document: its windows are no earlier ones.
-            first = np.full(len(at), -1)
-            _, back = np.unique(np.stack([one, two.astype(np.uint64)]), axis=1, return_inverse=True) if len(at) else (None, first)
-            first[back[probe]] = np.flatnonzero(probe)
-            lead = first[back]
-            sure = ~probe & ((doc != doc[lead]) | (part != part[lead]) | (start != start[lead]))
+            rank[np.lexsort((place, part, doc))] = np.arange(len(at))
+            probe = _first_in_batch(hash_, rank)
+            lead = np.empty(len(at), np.int64)
+            _, back = np.unique(hash_, return_inverse=True)
+            lead[back[probe]] = np.flatnonzero(probe)
+            lead = lead[back]
+            # A repeated row is the same document: its windows are no later ones.
+            sure = ~probe & ((doc != doc[lead]) | (part != part[lead]) | (place != place[lead]))
+
+            # Contexts ascend with the symbols, so the first that begins inside is found by search.
+            symbol = np.searchsorted(low, at)
+            inside = np.minimum(symbol, len(high) - 1)
+            holds = (symbol < len(high)) & (high[inside] <= at + WINDOW) if len(high) else np.zeros(len(at), bool)
+            route = np.where(holds, name[inside], hash_) if len(high) else hash_
             keep = probe | sure
-            tag = _tag(part, start, sure)
-            route = np.where(probe, one.astype(np.int64), _spread(doc, tag))
+            at, hash_, doc, part, place, sure, route, owner = (x[keep] for x in (at, hash_, doc, part, place, sure, route, owner))
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (sure[1:] != sure[:-1]) | (~sure[1:] & (route[1:] != route[:-1]))
+            heads = np.flatnonzero(new)
+            n = np.diff(np.append(heads, len(at)))
+            tag = _tag(part[heads], place[heads], sure[heads])
+            route = np.where(sure[heads], _spread(doc[heads], tag), route[heads].astype(np.int64))
+            sizes = np.where(sure[heads], 0, n)
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            checks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hash_[~sure].astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (route, two, doc, tag)], names=["route", "check", "doc", "tag"]
+                [pa.array(route), pa.array(doc[heads]), pa.array(tag), pa.array(n.astype(np.int32)), checks],
+                names=["route", "doc", "tag", "n", "checks"],
             )
 
-    return docs.mapInArrow(run, "route long, check long, doc long, tag long")
+    return docs.mapInArrow(run, PACKED)
 
 
-def _repeated_windows(rows: DataFrame) -> DataFrame:
-    """doc, part, starts: windows whose words also start earlier."""
-    met = Window.partitionBy("route", "check")
-    clean = F.shiftright("tag", 1)
-    first = F.min(F.struct("doc", clean.alias("place"))).over(met)
-    sure = F.col("tag").bitwiseAND(F.lit(1)) == 1
-    judged = rows.select("doc", "tag", sure.alias("sure"), (F.struct("doc", clean.alias("place")) > first).alias("later"))
-    return judged.where("sure OR later").select(
-        "doc",
-        F.shiftright("tag", 32).cast("int").alias("part"),
-        F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("at"),
-    ).groupBy("doc", "part").agg(F.collect_set("at").alias("starts"))
+def _repeated_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The document's keys, spans (start, n): windows whose words also start earlier."""
+    dealt = rows.repartition("route")
+    part = F.shiftright("tag", 32).cast("int").alias("part")
+    start = F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    sure = dealt.where("tag & 1 = 1").select("doc", part, start.alias("at"), "n")
+    windows = dealt.where("tag & 1 = 0").select("route", "doc", part, start.alias("first"), F.posexplode("checks").alias("k", "check"))
+    placed = windows.select("route", "check", F.struct("doc", "part", (F.col("first") + F.col("k")).alias("at")).alias("place"))
+    met = placed.withColumn("earliest", F.min("place").over(Window.partitionBy("route", "check")))
+    later = met.where("place > earliest").select("place.doc", "place.part", "place.at", F.lit(1).alias("n"))
+    return sure.unionByName(later).groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
@@ -314,14 +332,14 @@ def _remove(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, starts in zip(*(batch.column(c) for c in ("doc_id", "text", "starts"))):
+            for doc_id, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans"))):
                 tokens = (text.as_py() or "").encode("utf-8", "replace").split()
                 n = len(tokens)
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
+                if spans.is_valid:
+                    at, many = (spans.values.field(i).to_numpy() for i in (0, 1))
                     change = np.zeros(n + 1, np.int64)
                     np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
+                    np.add.at(change, at + many - 1 + WINDOW, -1)
                     kept = np.flatnonzero(np.cumsum(change)[:n] == 0)
                     tokens = [tokens[i] for i in kept]
                 left = b" ".join(tokens)
@@ -347,13 +365,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     no_id = F.lit(-(1 << 63))
-    base = pick(docs, "doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc"),
-        F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("part"),
-        "text",
-    )
+    named = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc"), "text")
+    # A part tells apart different texts with the same id, where there are any.
+    unique = named.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    keys = ["doc"] if unique else ["doc", "part"]
+    part = F.lit(0) if unique else F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    base = named.select("doc", part.alias("part"), "text")
     # The small side is hashed, so the texts are not sorted; both joins read the same columns.
-    symbols = _repeated_symbols(_symbol_rows(base)).hint("shuffle_hash")
-    windows = _repeated_windows(_candidates(base.join(symbols, ["doc", "part"], "left"))).hint("shuffle_hash")
-    judged = base.join(windows, ["doc", "part"], "left")
-    return _remove(judged.select(F.when(F.col("doc") != no_id, F.col("doc")).alias("doc_id"), "text", "starts"))
+    symbols = _repeated_symbols(_symbol_rows(base), keys).hint("shuffle_hash")
+    windows = _repeated_windows(_candidates(base.join(symbols, keys, "left")), keys).hint("shuffle_hash")
+    judged = base.join(windows, keys, "left")
+    return _remove(judged.select(F.when(F.col("doc") != no_id, F.col("doc")).alias("doc_id"), "text", "spans"))
