@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import SPACES, let, pick, settle, words
 
 #: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
-#: Rarity is measured in so many hash buckets of words; any order gives the same result, a
-#: finer one only fewer candidates. What reaches the driver and the tasks is one byte per bucket.
-SKETCH_BITS = 16
+#: Rarity is measured in so many hash buckets of words. Any order gives the same result, a finer
+#: one fewer candidates; raise the bits with the vocabulary. One byte per bucket reaches every task.
+SKETCH_BITS = 20
+#: Size of the filter that picks the lines to be read again, 6 bits to the byte. It may pick too
+#: many lines, never too few.
+FILTER_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 PART = 1 << 32  # a place is part * PART + line number
 TOKEN_BITS = 58
@@ -31,66 +34,64 @@ def _has_word(line: Column) -> Column:
     return F.length(F.translate(line, SPACES, "")) > 0
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct words of a line in lower case, as 64-bit hashes."""
-    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+def _hashes(text: Column) -> Column:
+    """64-bit hashes of the lower-cased words, and of the empty text between neighbouring blanks."""
+    return F.transform(F.split(F.translate(F.lower(text), SPACES, " " * len(SPACES)), " "), lambda w: F.xxhash64(w))
 
 
-def _rarity(base: DataFrame) -> Column:
-    """Levels of the hash buckets of words, rarer words first: the bits of a bucket's count, 31 at most."""
-    size = 1 << SKETCH_BITS
-    tokens = base.select(F.explode(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))).alias("t"))
-    counts = tokens.groupBy(F.col("t").bitwiseAND(size - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    levels = bytearray(size)
-    for r in counts.collect():  # at most one row per bucket
-        levels[r.b] = min(31, r.n.bit_length())
-    return F.lit(bytes(levels))
+def _byte(table: Column, at: Column) -> Column:
+    """Byte of a literal that holds ASCII only."""
+    return F.ascii(F.substring(table, at + 1, 1).cast("string"))
 
 
-def _copies(base: DataFrame) -> DataFrame:
-    """doc, part, skip: numbers of the lines whose text also stands earlier."""
-    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_word(F.col("line")))
-    place = F.col("part") * F.lit(PART) + F.col("at")
-    keyed = lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "doc", place.alias("place"))
-    firsts = keyed.groupBy("h", "g").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = keyed.join(firsts, ["h", "g"]).where(F.struct("doc", "place") > F.col("first"))
-    return _by_doc(later, "skip")
+def _flag(place: Column, width: int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int") * width)
 
 
-def _by_doc(places: DataFrame, name: str) -> DataFrame:
-    number = F.pmod(F.col("place"), F.lit(PART)).cast("int")
-    part = F.floor(F.col("place") / F.lit(PART)).cast("int")
-    return places.select("doc", part.alias("part"), number.alias("at")).groupBy("doc", "part").agg(F.collect_set("at").alias(name))
+def _rarity(base: DataFrame) -> Column:
+    """Levels of the hash buckets of words, rarer words first: the bits of a bucket's count, 31 at most."""
+    bucket = lambda h: h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")
+    counts = base.select(F.explode(F.transform(_hashes(F.col("text")), bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    level = F.least(F.lit(31), F.floor(F.log2("n")).cast("int") + 1).cast("long")
+    # Twelve levels of five bits to a row: 2^20 buckets are 87,382 rows for the driver.
+    packed = counts.groupBy(F.floor(F.col("b") / 12).cast("int").alias("r")).agg(
+        F.bit_or(F.call_function("shiftleft", level, (F.col("b") % 12) * 5)).alias("levels")
+    )
+    levels = bytearray(12 * ((1 << SKETCH_BITS) // 12 + 1))
+    for r, value in packed.collect():
+        for i in range(12):
+            levels[12 * r + i] = value >> (5 * i) & 31
+    return F.lit(bytes(levels))
 
 
-def _prefix_rows(base: DataFrame, skip: DataFrame) -> DataFrame:
-    """One row per prefix word of each line that is no copy: token, at, n, bits, doc, place."""
+def _prefix_rows(base: DataFrame) -> DataFrame:
+    """One row per prefix word of each line with words: token, at, n, bits, doc, place."""
     levels = _rarity(base)
     size = 1 << SKETCH_BITS
+    blank = F.xxhash64(F.lit(""))
 
     def ranked(t: Column) -> Column:
-        level = F.ascii(F.substring(levels, t.bitwiseAND(size - 1).cast("int") + 1, 1).cast("string")).cast("long")
+        level = _byte(levels, t.bitwiseAND(size - 1).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
 
-    def kept(lines: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-        left = F.when(F.col("skip").isNull(), numbers).otherwise(F.array_except(numbers, "skip"))
-        return F.transform(left, lambda i: F.struct(i.alias("at"), lines[i].alias("line")))
-
-    split = base.join(skip.hint("shuffle_hash"), ["doc", "part"], "left").where("text IS NOT NULL")
-    lines = split.select("doc", "part", F.explode(let(F.split("text", "\n"), kept)).alias("l")).where(_has_word(F.col("l.line")))
-    place = (F.col("part") * F.lit(PART) + F.col("l.at")).alias("place")
-    sets = lines.select("doc", place, F.sort_array(F.transform(_tokens(F.col("l.line")), ranked)).alias("tokens"))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_word(F.col("line")))
+    tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
+    sets = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), tokens.alias("tokens"))
     signed = sets.select(
         "doc", "place", "tokens", F.size("tokens").alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias("bits"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1))).alias("bits"),
     )
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     return signed.select("doc", "place", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
 
 
+def _by_doc(places: DataFrame, name: str) -> DataFrame:
+    number = F.pmod(F.col("place"), F.lit(PART)).cast("int")
+    part = F.floor(F.col("place") / F.lit(PART)).cast("int")
+    return places.select("doc", part.alias("part"), number.alias("at")).groupBy("doc", "part").agg(F.collect_set("at").alias(name))
+
+
 def _may_match(a: str, b: str) -> Column:
     """Length, positional and bitmap filters for two rows that share a prefix word.
 
@@ -126,27 +127,32 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _crowd(rows: DataFrame) -> DataFrame:
-    """Rows whose word is in the prefix of several lines, as `a`, with the first of these lines as `hub`.
+    """Rows whose word is in the prefix of several lines, as `a`, with the first of these lines as `hub`."""
+    word = Window.partitionBy("token")
+    lines = rows.select("token", _line().alias("a"))
+    return lines.select("token", "a", F.count("*").over(word).alias("c"), F.min("a").over(word).alias("hub")).where("c > 1")
 
-    The rows are dealt by word once; the sums and joins that follow reuse that.
-    """
-    groups = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub_doc")).where("c > 1")
-    crowd = rows.join(groups.hint("shuffle_hash"), "token")
-    hubs = crowd.where("doc = hub_doc").groupBy("token").agg(F.min(_line()).alias("hub"))
-    return crowd.select("token", "c", _line().alias("a")).join(hubs.hint("shuffle_hash"), "token")
+
+def _wanted_filter(ends: DataFrame) -> Column:
+    """A test on (doc, place) that holds for all of the ends, and for few other lines."""
+    place = F.pmod(F.xxhash64("doc", "place"), F.lit(6 * FILTER_BYTES))
+    rows = ends.select(place.alias("p")).groupBy(F.floor(F.col("p") / 60).cast("int").alias("r")).agg(F.bit_or(_flag(F.col("p") % 60, 1)).alias("bits"))
+    table = bytearray(b" " * (10 * (6 * FILTER_BYTES // 60 + 1)))
+    for r, bits in rows.collect():  # bounded by the size of the filter
+        for i in range(10):
+            table[10 * r + i] = 32 + (bits >> (6 * i) & 63)
+    byte = _byte(F.lit(bytes(table)), F.floor(place / 6).cast("int")) - 32
+    return F.call_function("shiftright", byte, (place % 6).cast("int")).bitwiseAND(1) == 1
 
 
 def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with whether their full sets of words match."""
+    """The pairs with whether their full sets of words match. Only lines that the filter picks are shuffled."""
     ends = pairs.select("doc", "place").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place")))
-    wanted = _by_doc(ends, "wanted")
-    found = base.join(wanted.hint("shuffle_hash"), ["doc", "part"])
-    pick_ = lambda lines: F.transform("wanted", lambda i: F.struct(i.alias("at"), lines[i].alias("line")))
-    lines = found.select("doc", "part", F.explode(let(F.split("text", "\n"), pick_)).alias("l"))
-    texts = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("l.at")).alias("place"), F.col("l.line").alias("line")).distinct()
-    texts = settle(texts, "lines")
-    other = texts.select(F.col("doc").alias("to_doc"), F.col("place").alias("to_place"), F.col("line").alias("to_line"))
-    both = pairs.join(texts, ["doc", "place"]).join(other, ["to_doc", "to_place"])
+    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), "line").where(_wanted_filter(ends))
+    # Equal rows of the table hold equal lines; one of them is enough.
+    other = lines.select(F.col("doc").alias("to_doc"), F.col("place").alias("to_place"), F.col("line").alias("to_line"))
+    both = pairs.join(lines, ["doc", "place"]).join(other, ["to_doc", "to_place"])
     sets = both.select(
         "doc", "place", "to_doc", "to_place",
         F.array_distinct(words(F.lower("line"))).alias("x"), F.array_distinct(words(F.lower("to_line"))).alias("y"),
@@ -158,28 +164,22 @@ def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
 def repeated_lines(base: DataFrame) -> DataFrame:
     """doc, part, gone: line numbers of every line that matches an earlier line.
 
-    1. Lines with the text of an earlier line go; only first lines take part in what follows.
-    2. Their words, rarest first, are cut to the prefix; lines that share a prefix word and pass the
-       filters are candidates. Each line meets the hub of the word, which is its first line. A line that
-       the filters keep apart from the hub meets all others of the word.
-    3. Candidates are confirmed on their full sets of words. A line that was only compared with
+    1. The words of each line, rarest first, are cut to the prefix; lines that share a prefix word and
+       pass the filters are candidates. Each line meets the hub of the word, which is its first line,
+       so copies cost one comparison each. A line that the filters keep apart from the hub meets
+       all others of the word.
+    2. Candidates are confirmed on their full sets of words. A line that was only compared with
        hubs and matched none meets all others of its words, so no match is missed.
     """
-    skip = settle(_copies(base), "copies")
-    rows = _prefix_rows(base, skip).repartition("token")
-    crowd = _crowd(rows)
+    crowd = settle(_crowd(_prefix_rows(base)), "crowd")
     not_hub = F.struct("a.doc", "a.place") != F.struct("hub.doc", "hub.place")
-    to_hub = crowd.where(not_hub & _may_match("a", "hub")).select(*_pair("a", "hub"), F.lit(True).alias("of_hub"))
+    near_hub = crowd.where(not_hub & _may_match("a", "hub")).select(*_pair("a", "hub"))
     apart = crowd.where((F.col("c") > 2) & not_hub & ~_may_match("a", "hub")).select("token", "a")
     others = crowd.where("c > 2").select("token", F.col("a").alias("b"))
     different = F.struct("a.doc", "a.place") != F.struct("b.doc", "b.place")
-    met = apart.join(others, "token").where(different & _may_match("a", "b"))
-    pairs = settle(
-        to_hub.unionByName(met.select(*_pair("a", "b"), F.lit(False).alias("of_hub")))
-        .groupBy("doc", "place", "to_doc", "to_place").agg(F.bool_and("of_hub").alias("of_hub")),
-        "pairs",
-    )
-    judged = settle(_confirmed(base, pairs.drop("of_hub")), "judged")
+    met = apart.join(others, "token").where(different & _may_match("a", "b")).select(*_pair("a", "b"))
+    pairs = settle(near_hub.unionByName(met).distinct(), "pairs")
+    judged = settle(_confirmed(base, pairs).distinct(), "judged")
     gone = judged.where("ok").select("doc", "place")
 
     # Lines that failed against a hub and have matched nothing yet.
@@ -192,8 +192,22 @@ def repeated_lines(base: DataFrame) -> DataFrame:
         again = asks.join(crowd.select("token", F.col("a").alias("b")), "token").where(different & _may_match("a", "b"))
         left = again.select(*_pair("a", "b")).distinct().join(judged, ["doc", "place", "to_doc", "to_place"], "left_anti")
         gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select("doc", "place"))
-    copies = skip.select("doc", "part", F.explode("skip").alias("at")).select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"))
-    return _by_doc(gone.unionByName(copies), "gone")
+    return _by_doc(gone, "gone")
+
+
+def find_repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (ascending line numbers from 0); one row per input row.
+
+    The lines are those that `remove_repeated_lines` removes; no text is shuffled to list them.
+    """
+    base = _base(docs)
+    counted = base.select("doc", "part", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    judged = counted.join(repeated_lines(base), ["doc", "part"], "left")
+    removed = F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))
+    return judged.select(
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_lines",
+        F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"),
+    )
 
 
 def _kept(lines: Column, gone: Column) -> Column:

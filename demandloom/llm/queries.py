@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from demandloom.llm.language import identify
-from demandloom.llm.lines import remove_repeated_lines
+from demandloom.llm.lines import find_repeated_lines
 from demandloom.llm.mixing import mix
 from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
@@ -55,8 +54,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_lines(_documents(spark, sf_dir))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return find_repeated_lines(_documents(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
