@@ -10,7 +10,7 @@ from demandloom.llm.common import SPACES, let, pick, settle, words
 #: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
 #: Rarity is measured in so many hash buckets of words. Any order gives the same result, a finer
 #: one fewer candidates; raise the bits with the vocabulary. One byte per bucket reaches every task.
-SKETCH_BITS = 20
+SKETCH_BITS = 19
 #: Size of the filter that picks the lines to be read again, 6 bits to the byte. It may pick too
 #: many lines, never too few.
 FILTER_BYTES = 1 << 19
@@ -53,7 +53,7 @@ def _rarity(base: DataFrame) -> Column:
     bucket = lambda h: h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")
     counts = base.select(F.explode(F.transform(_hashes(F.col("text")), bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     level = F.least(F.lit(31), F.floor(F.log2("n")).cast("int") + 1).cast("long")
-    # Twelve levels of five bits to a row: 2^20 buckets are 87,382 rows for the driver.
+    # Twelve levels of five bits to a row: 2^19 buckets are 43,691 rows for the driver.
     packed = counts.groupBy(F.floor(F.col("b") / 12).cast("int").alias("r")).agg(
         F.bit_or(F.call_function("shiftleft", level, (F.col("b") % 12) * 5)).alias("levels")
     )
@@ -65,7 +65,7 @@ def _rarity(base: DataFrame) -> Column:
 
 
 def _prefix_rows(base: DataFrame) -> DataFrame:
-    """One row per prefix word of each line with words: token, at, n, bits, doc, place."""
+    """One row per prefix word of each line with words: token, set (hash of all words), at, n, bits, doc, place."""
     levels = _rarity(base)
     size = 1 << SKETCH_BITS
     blank = F.xxhash64(F.lit(""))
@@ -78,12 +78,12 @@ def _prefix_rows(base: DataFrame) -> DataFrame:
     tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
     sets = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), tokens.alias("tokens"))
     signed = sets.select(
-        "doc", "place", "tokens", F.size("tokens").alias("n"),
+        "doc", "place", "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1))).alias("bits"),
     )
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    return signed.select("doc", "place", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+    return signed.select("doc", "place", "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
 
 
 def _by_doc(places: DataFrame, name: str) -> DataFrame:
@@ -127,15 +127,20 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _crowd(rows: DataFrame) -> DataFrame:
-    """Rows whose word is in the prefix of several lines, as `a`, with the first of these lines as `hub`."""
+    """Rows by word: line `a`, its `copy` number among lines with the same words, lines `c`, first line `hub`.
+
+    A line travels as one struct, so that all uses of the crowd share a single exchange.
+    """
+    lines = rows.select("token", "set", _line().alias("a")).repartition("token")
+    nth = F.row_number().over(Window.partitionBy("token", "set").orderBy("a"))
     word = Window.partitionBy("token")
-    lines = rows.select("token", _line().alias("a"))
-    return lines.select("token", "a", F.count("*").over(word).alias("c"), F.min("a").over(word).alias("hub")).where("c > 1")
+    counted = lines.withColumn("copy", nth)
+    return counted.withColumns({"c": F.count_if(F.col("copy") == 1).over(word), "hub": F.min("a").over(word)})
 
 
-def _wanted_filter(ends: DataFrame) -> Column:
-    """A test on (doc, place) that holds for all of the ends, and for few other lines."""
-    place = F.pmod(F.xxhash64("doc", "place"), F.lit(6 * FILTER_BYTES))
+def _wanted_filter(ends: DataFrame, *key: str) -> Column:
+    """A test on the key that holds for all rows of the ends, and for few other rows."""
+    place = F.pmod(F.xxhash64(*key), F.lit(6 * FILTER_BYTES))
     rows = ends.select(place.alias("p")).groupBy(F.floor(F.col("p") / 60).cast("int").alias("r")).agg(F.bit_or(_flag(F.col("p") % 60, 1)).alias("bits"))
     table = bytearray(b" " * (10 * (6 * FILTER_BYTES // 60 + 1)))
     for r, bits in rows.collect():  # bounded by the size of the filter
@@ -149,7 +154,7 @@ def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs with whether their full sets of words match. Only lines that the filter picks are shuffled."""
     ends = pairs.select("doc", "place").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place")))
     lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), "line").where(_wanted_filter(ends))
+    lines = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), "line").where(_wanted_filter(ends, "doc", "place"))
     # Equal rows of the table hold equal lines; one of them is enough.
     other = lines.select(F.col("doc").alias("to_doc"), F.col("place").alias("to_place"), F.col("line").alias("to_line"))
     both = pairs.join(lines, ["doc", "place"]).join(other, ["to_doc", "to_place"])
@@ -164,21 +169,28 @@ def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
 def repeated_lines(base: DataFrame) -> DataFrame:
     """doc, part, gone: line numbers of every line that matches an earlier line.
 
-    1. The words of each line, rarest first, are cut to the prefix; lines that share a prefix word and
-       pass the filters are candidates. Each line meets the hub of the word, which is its first line,
-       so copies cost one comparison each. A line that the filters keep apart from the hub meets
-       all others of the word.
-    2. Candidates are confirmed on their full sets of words. A line that was only compared with
+    1. The words of each line, rarest first, are cut to the prefix. Lines with the same set of words
+       meet in the rows of their first word: all but the first go. Only the first takes part in
+       what follows.
+    2. Lines that share a prefix word and pass the filters are candidates. Each line meets the hub of
+       the word, which is its first line. A line that the filters keep apart from the hub meets all
+       others of the word.
+    3. Candidates are confirmed on their full sets of words. A line that was only compared with
        hubs and matched none meets all others of its words, so no match is missed.
     """
-    crowd = settle(_crowd(_prefix_rows(base)), "crowd")
+    crowd = _crowd(_prefix_rows(base))
+    first = F.col("copy") == 1
+    near = _may_match("a", "hub")
     not_hub = F.struct("a.doc", "a.place") != F.struct("hub.doc", "hub.place")
-    near_hub = crowd.where(not_hub & _may_match("a", "hub")).select(*_pair("a", "hub"))
-    apart = crowd.where((F.col("c") > 2) & not_hub & ~_may_match("a", "hub")).select("token", "a")
-    others = crowd.where("c > 2").select("token", F.col("a").alias("b"))
     different = F.struct("a.doc", "a.place") != F.struct("b.doc", "b.place")
+    none = F.lit(None).cast("long")
+    copies = crowd.where((F.col("copy") > 1) & (F.col("a.at") == 0)).select("a.doc", "a.place", none.alias("to_doc"), none.alias("to_place"))
+    near_hub = crowd.where(first & not_hub & near).select(*_pair("a", "hub"))
+    apart = crowd.where(first & (F.col("c") > 2) & not_hub & ~near).select("token", "a")
+    others = crowd.where(first & (F.col("c") > 2)).select("token", F.col("a").alias("b"))
     met = apart.join(others, "token").where(different & _may_match("a", "b")).select(*_pair("a", "b"))
-    pairs = settle(near_hub.unionByName(met).distinct(), "pairs")
+    found = settle(copies.unionByName(near_hub).unionByName(met).distinct(), "pairs")
+    copies, pairs = found.where("to_doc IS NULL").select("doc", "place"), found.where("to_doc IS NOT NULL")
     judged = settle(_confirmed(base, pairs).distinct(), "judged")
     gone = judged.where("ok").select("doc", "place")
 
@@ -187,12 +199,12 @@ def repeated_lines(base: DataFrame) -> DataFrame:
     ends = failed.select("doc", "place").unionByName(failed.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place"))).distinct()
     open_lines = settle(ends.join(gone, ["doc", "place"], "left_anti"), "open")
     if not open_lines.isEmpty():
-        marked = crowd.select("token", "a", F.col("a.doc").alias("doc"), F.col("a.place").alias("place"))
+        marked = crowd.where(first & (F.col("c") > 2)).select("token", "a", F.col("a.doc").alias("doc"), F.col("a.place").alias("place"))
         asks = marked.join(open_lines, ["doc", "place"], "left_semi").select("token", "a")
-        again = asks.join(crowd.select("token", F.col("a").alias("b")), "token").where(different & _may_match("a", "b"))
+        again = asks.join(others, "token").where(different & _may_match("a", "b"))
         left = again.select(*_pair("a", "b")).distinct().join(judged, ["doc", "place", "to_doc", "to_place"], "left_anti")
         gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select("doc", "place"))
-    return _by_doc(gone, "gone")
+    return _by_doc(gone.unionByName(copies), "gone")
 
 
 def find_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -243,12 +255,15 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text", "n_chars") if name in docs.columns}
     gone = settle(repeated_lines(_base(docs)), "gone")
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    keyed = numbered.withColumn("doc", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID))).withColumn("part", _part(F.col(at["text"])))
-    judged = keyed.join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
     text = F.col(at["text"])
+    keyed = numbered.withColumns({"doc": F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID)), "part": _part(text)})
+    # Only documents that the filter picks are shuffled; the others are surely whole.
+    picked = _wanted_filter(gone, "doc", "part")
+    judged = keyed.where(picked).join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
     left = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda x: _kept(x, F.col("gone"))))
     kept = judged.withColumn("left", left).where(F.col("gone").isNull() | _has_word(F.col("left")))
     new = {at["text"]: F.col("left")}
     if "n_chars" in at:
         new[at["n_chars"]] = F.length("left").cast(dict(numbered.dtypes)[at["n_chars"]])
-    return kept.select([new.get(c, F.col(c)).alias(c) for c in numbered.columns]).toDF(*docs.columns)
+    changed = kept.select([new.get(c, F.col(c)).alias(c) for c in numbered.columns])
+    return keyed.where(~picked).select(*numbered.columns).unionByName(changed).toDF(*docs.columns)
