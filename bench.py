@@ -22,7 +22,7 @@ HEADLINE = [
     "baseline_forecast", "requested_forecast", "holdout_split", "naive_scores", "model_select",
     "auto_forecast", "auto_forecast_parts", "auto_metrics", "auto_plan", "supply_plan", "plan_kpis",
     "scenario_base_plan", "scenario_narrative", "drivers_by_sku", "signal_summary", "top_skus", "demand_pivot",
-    "naive_mape", "guess_columns", "dataset_kind", "column_roles", "harmonized_sales", "purchase_events",
+    "naive_mape", "guess_columns", "dataset_kind", "column_roles", "harmonized_sales", "published_events",
 ]
 
 

@@ -10,14 +10,38 @@ from pyspark.sql import functions as F
 
 GRANULARITIES = ("D", "W", "M")
 
-# Tried in turn after the ISO cast. Slash dates are read month first; give `formats` for others.
-DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm", "d-MMM-yyyy", "d MMM yyyy")
+# Tried in turn after the ISO cast. Slash and hyphen dates are read month first, dotted ones day
+# first; give `formats` for others.
+DATE_FORMATS = (
+    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "yyyy/M/d", "yyyy/M/d H:mm",
+    "M/d/yy", "M/d/yy H:mm", "M-d-yyyy", "M-d-yy", "d.M.yyyy", "d.M.yy", "yyyyMMdd", "yyyy.M.d",
+    "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy",
+)
+# Two-digit years above this one are of the century before.
+LAST_SHORT_YEAR = 2068
+
+_PARTS = {
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+    "H": r"\d{1,2}", "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "a": "[AaPp][Mm]",
+}
 
 
 def _shape(date_format: str) -> str:
     """Regular expression of the texts a format can read."""
-    parts = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}"}
-    return "^" + re.sub("|".join(parts), lambda m: parts[m.group()], date_format) + "$"
+    pieces = re.findall("|".join(_PARTS) + "|.", date_format)
+    return "^" + "".join(_PARTS.get(p, re.escape(p)) for p in pieces) + "$"
+
+
+def _read(text: Column, date_format: str) -> Column:
+    """Date of a text of the format's shape; NULL for days that do not exist."""
+    if "MMM" in date_format:
+        text = F.initcap(text)
+    if "a" in date_format:
+        text = F.upper(text)
+    day = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+    if "yy" in date_format and "yyyy" not in date_format:
+        day = F.when(F.year(day) > LAST_SHORT_YEAR, F.add_months(day, -1200)).otherwise(day)
+    return F.when(text.rlike(_shape(date_format)), day)
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
@@ -26,10 +50,7 @@ def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     The formats are only tried on texts of their shape, as a failed try is slow.
     """
     trimmed = F.trim(text)
-    tries = [
-        F.when(trimmed.rlike(_shape(f)), F.try_to_timestamp(trimmed, F.lit(f)).cast("date")) for f in formats
-    ]
-    return F.coalesce(trimmed.try_cast("date"), *tries)
+    return F.coalesce(trimmed.try_cast("date"), *[_read(trimmed, f) for f in formats])
 
 
 def horizon(start: Column | date | str, end: Column | date | str, granularity: str = "D") -> Column:

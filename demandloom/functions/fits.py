@@ -294,15 +294,15 @@ def _boosted_udf(values: pd.Series, steps: pd.Series) -> pd.Series:
     return pd.Series(boosted_paths(list(values), _steps(steps)), dtype=object)
 
 
-def model_path(model: str, days: Column, values: Column, at_days: Column) -> Column:
-    """Forecast array of one model at `at_days` (days since 1970), NULL where it has no fit.
+def model_path(model: str, days: Column, values: Column, at_days: Column, steps: Column) -> Column:
+    """Forecast array of one model at the `steps` days `at_days` (since 1970), NULL where it has no fit.
 
     A NULL `values` skips the row, so `when(chosen, values)` fits only the chosen model.
     """
     if model == "arima":
-        return _arima_udf(values, F.size(at_days))
+        return _arima_udf(values, steps)
     if model == "prophet":
         return _seasonal_udf(days, values, at_days)
     if model == "xgboost":
-        return _boosted_udf(values, F.size(at_days))
+        return _boosted_udf(values, steps)
     raise ValueError(f"unknown model {model!r}")

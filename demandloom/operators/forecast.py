@@ -63,7 +63,7 @@ def score_paths(split: DataFrame, paths: dict[str, Column]) -> DataFrame:
     return named.withColumns(scores).drop(*[f"_{model}" for model in paths])
 
 
-def best_model() -> Column:
+def best_model(models: dict[str, str] = MODELS) -> Column:
     """Struct (mape, rank, model, mae) of the least MAPE; ties go to the earlier model."""
     ranked = [
         F.when(
@@ -73,7 +73,7 @@ def best_model() -> Column:
                 F.lit(model).alias("model"), F.col(f"{prefix}_mae").alias("mae"),
             ),
         )
-        for i, (model, prefix) in enumerate(MODELS.items())
+        for i, (model, prefix) in enumerate(models.items())
     ]
     return F.array_min(F.array(*ranked))
 
@@ -101,9 +101,11 @@ def fit_models(
     days, values = _days(F.col("train_dates")), F.when(has_steps, F.col("train"))
     at = _days(F.col("holdout_dates"))
     if not true_holdout:
-        start = F.element_at(days, -F.col("n_val"))
+        start = F.unix_date(F.element_at("train_dates", -F.col("n_val"))).cast("double")
         at = F.transform(F.sequence(F.lit(0), F.col("n_val") - 1), lambda i: start + i)
-    scored = score_paths(split_holdout(series), {m: model_path(m, days, values, at) for m in MODELS})
+    scored = score_paths(
+        split_holdout(series), {m: model_path(m, days, values, at, F.col("n_val")) for m in MODELS}
+    )
 
     wanted = F.lit(forced) if forced else F.coalesce(best_model()["model"], F.lit("stub"))
     scored = scored.withColumn(
@@ -111,7 +113,7 @@ def fit_models(
     )
     # Each model gets values only on the rows that chose it, so every row is fitted once more.
     paths = {
-        m: model_path(m, _days(F.col("dates")), F.when(F.col("wanted") == m, F.col("quantities")), _days(horizon))
+        m: model_path(m, _days(F.col("dates")), F.when(F.col("wanted") == m, F.col("quantities")), _days(horizon), F.size(horizon))
         for m in MODELS
         if forced in (None, m)
     }
@@ -160,18 +162,18 @@ def baseline_points(daily: DataFrame, horizon: Column) -> DataFrame:
     return steps.select("sku", "date", mean.alias("mean")).select("sku", "date", "mean", *band(F.col("mean")))
 
 
-def model_code(model: Column) -> Column:
+def model_code(model: Column, codes: dict[str, float] = MODEL_CODES) -> Column:
     code = F.lit(-1.0)
-    for name, value in MODEL_CODES.items():
+    for name, value in codes.items():
         code = F.when(model == name, F.lit(value)).otherwise(code)
     return code
 
 
-def metrics(fits: DataFrame) -> DataFrame:
+def metrics(fits: DataFrame, models: dict[str, str] = MODELS, codes: dict[str, float] = MODEL_CODES) -> DataFrame:
     """(sku, key, value), keyed `<sku>.<metric>`: scores that exist, and the model's code."""
-    names = [f"{prefix}_{kind}" for prefix in MODELS.values() for kind in ("mape", "mae")]
+    names = [f"{prefix}_{kind}" for prefix in models.values() for kind in ("mape", "mae")]
     pairs = [F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names]
-    pairs.append(F.struct(F.lit("chosen_model").alias("name"), model_code(F.col("model")).alias("value")))
+    pairs.append(F.struct(F.lit("chosen_model").alias("name"), model_code(F.col("model"), codes).alias("value")))
     return (
         fits.select("sku", F.inline(F.array(*pairs)))
         .where(F.col("value").isNotNull())

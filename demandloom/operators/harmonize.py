@@ -11,6 +11,10 @@ from demandloom.schemas import NO_LOCATION, NO_SKU, SALES_ROLES
 from demandloom.sources.files import quoted
 
 
+class UnreadableSales(ValueError):
+    """Sales with dates or quantities that cannot be read."""
+
+
 def sales_columns(names: list[str]) -> dict[str, str]:
     """Role of each chosen column, `{column: role}`.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions.dates import parse_date
@@ -35,8 +35,8 @@ def _role(name: str, dtype: Column) -> Column:
     return F.when(starts(DATE_TYPES), "date").when(starts(NUMBER_TYPES), "numeric").otherwise("categorical")
 
 
-def column_roles(df: DataFrame, infer_text: bool = True) -> DataFrame:
-    """(pos, name, dtype, role) of each column.
+def column_roles(df: DataFrame, infer_text: bool = True, with_rows: bool = False) -> DataFrame:
+    """(pos, name, dtype, role) of each column, and on demand `rows`, the size of the table.
 
     With `infer_text`, a text column whose values all read as numbers counts as numeric; all
     columns are judged in one pass. A column without values is numeric, as it has no text.
@@ -59,7 +59,8 @@ def column_roles(df: DataFrame, infer_text: bool = True) -> DataFrame:
                 shown.alias("dtype"), _role(name, shown).alias("role"),
             )
         )
-    return df.agg(*facts).select(F.inline(F.array(*rows)))
+    size = [F.col("n").alias("rows")] if with_rows else []
+    return df.agg(*facts).select(F.inline(F.array(*rows)), *size)
 
 
 def schema_warnings(columns: list[str], kind: str) -> list[str]:
@@ -77,26 +78,37 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """One row: size, first six columns, distinct keys and date range, in one pass.
 
-    The date range is left out if any date cannot be read.
+    Rows are first summed by (sku, location), so each is read and shuffled once however many keys
+    are counted. The date range is left out if any date cannot be read.
     """
     names = df.columns
-    date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(0)
+    date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(False)
     if dict(df.dtypes).get("date") == "string":
         date = parse_date(quoted("date"))
-        unreadable = F.count_if(quoted("date").isNotNull() & date.isNull())
+        unreadable = quoted("date").isNotNull() & date.isNull()
+    keys = [c for c in ("sku", "location") if c in names]
+    pairs = df.groupBy(*[quoted(c).alias(c) for c in keys]).agg(
+        F.count("*").alias("n"), F.count_if(unreadable).alias("unreadable"),
+        F.min(date.cast("date")).alias("first"), F.max(date.cast("date")).alias("last"),
+    )
+    # A key's value counts in the first of its pairs.
+    for c in keys:
+        nth = F.row_number().over(Window.partitionBy(c).orderBy(*[k for k in keys if k != c] or [F.lit(1)]))
+        pairs = pairs.withColumn(f"new_{c}", F.col(c).isNotNull() & (nth == 1))
 
     def distinct(name: str) -> Column:
-        return F.count_distinct(quoted(name)) if name in names else F.lit(None).cast("bigint")
+        return F.count_if(F.col(f"new_{name}")) if name in keys else F.lit(None).cast("bigint")
 
     shown = ", ".join(names[:6]) + (f" (+{len(names) - 6} more columns)" if len(names) > 6 else "")
-    return df.agg(
-        F.count("*").alias("rows"),
+    readable = F.coalesce(F.sum("unreadable"), F.lit(0)) == 0
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.lit(len(names)).alias("columns"),
         F.lit(shown).alias("column_text"),
         distinct("sku").alias("skus"),
         distinct("location").alias("locations"),
-        F.when(unreadable == 0, F.min(date.cast("date"))).alias("first_date"),
-        F.when(unreadable == 0, F.max(date.cast("date"))).alias("last_date"),
+        F.when(readable, F.min("first")).alias("first_date"),
+        F.when(readable, F.max("last")).alias("last_date"),
     )
 
 

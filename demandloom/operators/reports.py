@@ -12,6 +12,8 @@ from demandloom.operators.forecast import MODELS
 
 TOP = 5
 PERIODS_SHOWN = 30
+# SKUs that a pivot may have as columns.
+PIVOT_COLUMNS = 1000
 KPIS_SHOWN = 6
 SCENARIOS_SHOWN = 5
 NONE = "—"
@@ -44,11 +46,26 @@ def first_periods(by_date: DataFrame, limit: int = PERIODS_SHOWN) -> DataFrame:
     return by_date.orderBy("date").limit(limit)
 
 
-def pivot_by_sku(points: DataFrame, skus: list[str]) -> DataFrame:
+def mean_by_sku_and_date(points: DataFrame) -> DataFrame:
+    """(date, sku, mean): the pivot in long form, for any number of SKUs."""
+    return points.groupBy("date", "sku").agg(F.avg("mean").alias("mean"))
+
+
+def pivot_by_sku(points: DataFrame, skus: list[str] | None = None, most: int = PIVOT_COLUMNS) -> DataFrame:
     """One row per date and one column per SKU with its average mean.
 
-    The SKUs are named by the caller, so no extra job looks for them.
+    Without a list, a job of its own finds the SKUs; more than `most` raise, as a table that wide is
+    no table (use `mean_by_sku_and_date`). A list must name every SKU, or other SKUs would be lost.
     """
+    known = points.select("sku").distinct()
+    if skus is None:
+        skus = [r.sku for r in known.orderBy("sku").limit(most + 1).collect()]
+        if len(skus) > most:
+            raise ValueError(f"more than {most} SKUs; use mean_by_sku_and_date")
+    else:
+        others = known.where(F.col("sku").isNull() | ~F.col("sku").isin(skus)).limit(3).collect()
+        if others:
+            raise ValueError(f"SKUs not in the list: {[r.sku for r in others]}, and perhaps more")
     return points.groupBy("date").pivot("sku", skus).agg(F.avg("mean"))
 
 
@@ -96,7 +113,7 @@ def _finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def best_scores(fits: DataFrame) -> DataFrame:
+def best_scores(fits: DataFrame, models: dict[str, str] = MODELS) -> DataFrame:
     """(sku, model, mape, mae): least finite MAPE and its MAE, beside the chosen model."""
     ranked = [
         F.when(
@@ -105,7 +122,7 @@ def best_scores(fits: DataFrame) -> DataFrame:
                 F.col(f"{prefix}_mape").alias("mape"), F.lit(i).alias("rank"), F.col(f"{prefix}_mae").alias("mae")
             ),
         )
-        for i, prefix in enumerate(MODELS.values())
+        for i, prefix in enumerate(models.values())
     ]
     best = fits.withColumn("best", F.array_min(F.array(*ranked)))
     return best.select("sku", "model", F.col("best.mape").alias("mape"), F.col("best.mae").alias("mae"))

@@ -6,12 +6,12 @@ never computed twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions.dates import horizon
 from demandloom.operators import explain, forecast, monitor, reports, scenario, supply
-from demandloom.operators.harmonize import harmonize_sales
+from demandloom.operators.harmonize import UnreadableSales, harmonize_sales, unreadable_sales
 from demandloom.operators.history import daily_demand, pack_series, requested_skus
 from demandloom.operators.profile import (
     column_roles,
@@ -28,7 +28,10 @@ from demandloom.sources.datasets import DatasetNotFound, Datasets
 from demandloom.sources.store import ResultNotFound, ResultStore, new_id
 
 HEADERS = {
-    "forecasts": "model_name string, model_version string, components array<string>, notes string, created_at timestamp, forecast_id string",
+    "forecasts": (
+        "model_name string, model_version string, components array<string>, notes string, sales_rows bigint, "
+        "unreadable_dates bigint, unreadable_quantities bigint, created_at timestamp, forecast_id string"
+    ),
     "plans": "forecast_id string, location string, created_at timestamp, plan_id string",
     "scenarios": (
         "forecast_id string, plan_id string, name string, kpi string, base double, scenario double, delta double, "
@@ -65,18 +68,36 @@ class PlanningFlow:
     def sales(self) -> DataFrame:
         return harmonize_sales(self.datasets.read("sales"))
 
+    def checked_sales(self, on_unreadable: str = "raise") -> tuple[DataFrame, Row]:
+        """Sales, and the counts (rows, bad_dates, bad_quantities) from a scan of their own.
+
+        Rows that cannot be read would be missing from every series, so they raise unless the
+        caller accepts them with `keep`.
+        """
+        if on_unreadable not in ("raise", "keep"):
+            raise ValueError(f"on_unreadable must be 'raise' or 'keep', not {on_unreadable!r}")
+        raw = self.datasets.read("sales")
+        counts = unreadable_sales(raw).first()
+        if on_unreadable == "raise" and counts.bad_dates + counts.bad_quantities > 0:
+            raise UnreadableSales(
+                f"{counts.bad_dates} dates and {counts.bad_quantities} quantities of {counts.rows} sales cannot be read"
+            )
+        return harmonize_sales(raw), counts
+
     def signals(self) -> DataFrame:
         return self.datasets.read("external_signals")
 
     def preview(self, kind: str, limit: int = 20, order_by: list[str] | None = None) -> dict:
         """First rows of a dataset with its size, columns, roles and warnings."""
         df = self.datasets.read(kind)
+        roles = column_roles(df, with_rows=True).collect()  # a row per column, and one scan for both facts
+        fields = "pos int, name string, dtype string, role string"
         return {
             "dataset_type": kind,
-            "rows": df.count(),
+            "rows": roles[0]["rows"] if roles else 0,
             "columns": df.columns,
             "preview": preview(df, order_by or df.columns, limit),
-            "schema": column_roles(df),
+            "schema": self.spark.createDataFrame([tuple(r)[:4] for r in roles], fields),
             "warnings": schema_warnings(df.columns, kind),
         }
 
@@ -91,9 +112,11 @@ class PlanningFlow:
 
     # --- forecast
 
-    def create_forecast(self, request: ForecastRequest) -> str:
+    def create_forecast(self, request: ForecastRequest, on_unreadable: str = "raise") -> str:
+        """Id of the stored forecast; see `checked_sales` for sales that cannot be read."""
+        sales, counts = self.checked_sales(on_unreadable)
         forecast_id = new_id()
-        fits, requested = forecast_fits(self.sales(), request, self.signals())
+        fits, requested = forecast_fits(sales, request, self.signals())
         self.store.save("fits", fits, "forecast_id", forecast_id)
         fits = self._rows("fits", "forecast_id", forecast_id)
         if fits is not None:
@@ -104,6 +127,8 @@ class PlanningFlow:
         header = self.spark.range(1).select(
             F.lit(meta["model_name"]).alias("model_name"), F.lit(meta["model_version"]).alias("model_version"),
             F.array(*map(F.lit, meta["components"])).alias("components"), F.lit(meta["notes"]).alias("notes"),
+            F.lit(counts.rows).cast("bigint").alias("sales_rows"), F.lit(counts.bad_dates).cast("bigint").alias("unreadable_dates"),
+            F.lit(counts.bad_quantities).cast("bigint").alias("unreadable_quantities"),
             F.current_timestamp().alias("created_at"),
         )
         self.store.save("forecasts", header, "forecast_id", forecast_id)
@@ -236,12 +261,14 @@ class PlanningFlow:
 
     # --- monitoring and training
 
-    def monitor(self) -> dict:
-        return {"metric": "naive_mape", "value": monitor.naive_mape(self.sales(), self.signals()).first().mape}
+    def monitor(self, on_unreadable: str = "raise") -> dict:
+        sales, _ = self.checked_sales(on_unreadable)
+        return {"metric": "naive_mape", "value": monitor.naive_mape(sales, self.signals()).first().mape}
 
-    def train(self) -> None:
+    def train(self, on_unreadable: str = "raise") -> None:
         """Fit the naive mean and log its error; a retraining job calls this again."""
-        self.store.log_run(monitor.train_naive_mean(self.sales(), self.signals()))
+        sales, _ = self.checked_sales(on_unreadable)
+        self.store.log_run(monitor.train_naive_mean(sales, self.signals()))
 
     # --- helpers
 

@@ -15,7 +15,8 @@ from demandloom.operators import catalog as cat
 from demandloom.operators import enrich, explain, forecast, history, monitor, profile, reports, scenario, supply
 from demandloom.operators.harmonize import harmonize_sales, unreadable_sales
 from demandloom.schemas import KINDS
-from demandloom.sources.star_views import BRANDS, StarViews, part_sku
+from demandloom.sources.files import typed
+from demandloom.sources.star_views import StarViews, part_sku
 from demandloom.streaming.publish import as_events
 
 START, END = "2001-11-05", "2001-12-04"
@@ -33,6 +34,9 @@ FILE_WORDS = [
 ]
 PLAN_TYPES = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE", "NONE"]
 SCORE_DIGITS = 6
+# Closed-form predictors that stand in for the fitted models, with their metric prefix and code.
+STAND_INS = {"mean": "mean", "last": "last", "max": "max"}
+STAND_IN_CODES = {"stub": 0.0, "mean": 1.0, "last": 2.0, "max": 3.0}
 
 QUERIES: dict = {}
 
@@ -156,6 +160,18 @@ def default_dates(v: StarViews) -> DataFrame:
 # --- signals
 
 
+def _text_signals(v: StarViews) -> DataFrame:
+    """Signals as a file holds them: all as text, holidays as True and False."""
+    signals = v.signals()
+    holiday = F.when(F.col("is_holiday") == 1, "True").otherwise("False").alias("is_holiday")
+    return signals.select(F.col("date").cast("string").alias("date"), "location", holiday, *[F.col(c).cast("string").alias(c) for c in signals.columns[3:]])
+
+
+@query
+def typed_signals(v: StarViews) -> DataFrame:
+    return _rounded_signals(typed(_text_signals(v), "external_signals"))
+
+
 @query
 def sales_with_signals(v: StarViews) -> DataFrame:
     return _rounded_signals(enrich.attach_signals(v.sales(), v.signals()))
@@ -250,10 +266,10 @@ def requested_forecast(v: StarViews) -> DataFrame:
 
 
 def _standin_fits(v: StarViews) -> DataFrame:
-    """Scores of three closed-form predictors, in the places of the three fitted models.
+    """Scores of three closed-form predictors: the training part's mean, last value and maximum.
 
-    The split, the scores and the choice are those of `fit_models`; only the predictors are
-    simple enough for SQL: the mean of the training part, its last value, and its maximum.
+    The split, the scores and the choice are those of `fit_models`; the predictors stand in for
+    the fitted models, as SQL can state them.
     """
     split = forecast.split_holdout(history.pack_series(history.daily_demand(v.part_sales())))
 
@@ -265,11 +281,11 @@ def _standin_fits(v: StarViews) -> DataFrame:
     return forecast.score_paths(
         split,
         {
-            "arima": repeat(F.col("p_mean")),
-            "prophet": repeat(F.col("p_last")),
-            "xgboost": repeat(F.col("p_max")),
+            "mean": repeat(F.col("p_mean")),
+            "last": repeat(F.col("p_last")),
+            "max": repeat(F.col("p_max")),
         },
-    ).withColumn("model", F.coalesce(forecast.best_model()["model"], F.lit("stub")))
+    ).withColumn("model", F.coalesce(forecast.best_model(STAND_INS)["model"], F.lit("stub")))
 
 
 @query
@@ -285,23 +301,23 @@ def holdout_split(v: StarViews) -> DataFrame:
 
 @query
 def naive_scores(v: StarViews) -> DataFrame:
-    names = ["arima_mape", "arima_mae", "prophet_mape", "prophet_mae", "xgb_mape", "xgb_mae"]
+    names = [f"{m}_{kind}" for m in STAND_INS for kind in ("mape", "mae")]
     return rounded(_standin_fits(v).select("sku", *names), SCORE_DIGITS)
 
 
 @query
 def model_select(v: StarViews) -> DataFrame:
-    return _standin_fits(v).select("sku", "model", forecast.model_code(F.col("model")).alias("code"))
+    return _standin_fits(v).select("sku", "model", forecast.model_code(F.col("model"), STAND_IN_CODES).alias("code"))
 
 
 @query
 def metric_map(v: StarViews) -> DataFrame:
-    return rounded(forecast.metrics(_standin_fits(v)), SCORE_DIGITS)
+    return rounded(forecast.metrics(_standin_fits(v), STAND_INS, STAND_IN_CODES), SCORE_DIGITS)
 
 
 @query
 def best_score(v: StarViews) -> DataFrame:
-    return rounded(reports.best_scores(_standin_fits(v)), SCORE_DIGITS)
+    return rounded(reports.best_scores(_standin_fits(v), STAND_INS), SCORE_DIGITS)
 
 
 @query
@@ -309,6 +325,47 @@ def model_counts(v: StarViews) -> DataFrame:
     return reports.model_counts(_standin_fits(v))
 
 
+@query
+def forced_stub_forecast(v: StarViews) -> DataFrame:
+    """Forcing the baseline on every brand."""
+    series = history.pack_series(history.daily_demand(v.brand_sales()))
+    return rounded(forecast.forecast_points(forecast.fit_models(series, _steps(), "baseline")))
+
+
+def _short_sales(v: StarViews) -> DataFrame:
+    """Sales by part and nation of the supplier: many series of fewer than four days."""
+    supplied = v._sold().join(v.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sku = F.concat_ws("-", part_sku(F.col("l_partkey")), "s_nationkey").alias("sku")
+    return supplied.select("date", sku, "quantity")
+
+
+@query
+def fallback_forecast(v: StarViews) -> DataFrame:
+    """First and last day of the series that are too short for any model, under the automatic choice."""
+    series = history.pack_series(history.daily_demand(_short_sales(v))).where(F.size("quantities") < forecast.LEAST_HISTORY)
+    points = forecast.forecast_points(forecast.fit_models(series, _steps()))
+    ends = points.groupBy("sku").agg(F.min_by("mean", "date").alias("first_mean"), F.max_by("mean", "date").alias("last_mean"))
+    return rounded(ends)
+
+
+@query
+def fit_contract(v: StarViews) -> DataFrame:
+    """What holds for the fits of every brand, whatever the models say."""
+    fits = _auto_fits(v, v.brand_sales())
+    mapes = [F.col(f"{prefix}_mape") for prefix in forecast.MODELS.values()]
+    scores = [F.col(f"{prefix}_{kind}").isNotNull().cast("int") for prefix in forecast.MODELS.values() for kind in ("mape", "mae")]
+    of_chosen = F.coalesce(*[F.when(F.col("model") == m, F.col(f"{prefix}_mape")) for m, prefix in forecast.MODELS.items()])
+    checked = fits.select(
+        "sku", "history", F.size("horizon").alias("steps"), sum(scores, F.lit(0)).alias("scores"),
+        (of_chosen == F.least(*mapes)).alias("least_mape"), (F.size("path") == F.size("horizon")).alias("whole_path"),
+    )
+    bands = forecast.forecast_points(fits).groupBy("sku").agg(
+        F.bool_and((F.abs(F.col("q10") - 0.8 * F.col("mean")) < 1e-9) & (F.abs(F.col("q90") - 1.2 * F.col("mean")) < 1e-9)).alias("band"),
+        F.count("*").alias("points"),
+    )
+    return checked.join(bands, "sku")
+
+
 def _auto_fits(v: StarViews, sales: DataFrame) -> DataFrame:
     return forecast.fit_models(history.pack_series(history.daily_demand(sales)), _steps())
 
@@ -511,7 +568,13 @@ def first_periods(v: StarViews) -> DataFrame:
 
 @query
 def demand_pivot(v: StarViews) -> DataFrame:
-    return rounded(reports.pivot_by_sku(_brand_points(v), BRANDS))
+    return rounded(reports.pivot_by_sku(_brand_points(v)))
+
+
+@query
+def demand_long(v: StarViews) -> DataFrame:
+    """The pivot in long form, over every part."""
+    return rounded(reports.mean_by_sku_and_date(_part_points(v)))
 
 
 @query
@@ -548,8 +611,7 @@ def naive_mape_repeated_signals(v: StarViews) -> DataFrame:
 
 
 @query
-def purchase_events(v: StarViews) -> DataFrame:
-    """Purchase events as JSON messages."""
-    bought = v.table("events").where(F.col("event_type") == "purchase")
+def published_events(v: StarViews) -> DataFrame:
+    """Every event as a JSON message."""
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    return as_events(bought.select("event_id", "user_id", day, F.when(F.col("value") > 5, F.col("value")).alias("value")), "sales")
+    return as_events(v.table("events").select("event_id", "user_id", "event_type", day, "value"), "events")

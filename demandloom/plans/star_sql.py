@@ -4,11 +4,40 @@ from __future__ import annotations
 
 import re
 
-from demandloom.operators.catalog import KIND_WORDS
-from demandloom.operators.explain import DRIVERS
 from demandloom.plans.star_queries import END, FILE_WORDS, HEADERS, LOCATION, PLAN_TYPES, START
-from demandloom.schemas import KINDS, REQUIRED_COLUMNS, SALES_ROLES
-from demandloom.sources.star_views import BRANDS
+
+# What the operators must look for, written out here so that the check is its own.
+KINDS = "sales inventory production purchase_orders master_data external_signals".split()
+KIND_WORDS = {
+    "sales": "quantity qty units order product sku customer totalprice date amount volume sales".split(),
+    "inventory": "stock onhand inventory warehouse location sku reorder quantity".split(),
+    "production": "production line capacity machine shift schedule quantity".split(),
+    "purchase_orders": "po purchase supplier eta orderdate quantity location vendor".split(),
+    "master_data": "description category uom segment attribute name id".split(),
+    "external_signals": "signal trend index score weather holiday sentiment date".split(),
+}
+SALES_ROLES = {
+    "date": "date order_date orderdate".split(),
+    "sku": "sku product item product_id productid".split(),
+    "location": "location region store warehouse country".split(),
+    "quantity": "quantity qty units orderquantity order_qty".split(),
+}
+REQUIRED_COLUMNS = {
+    "sales": "".split(),
+    "inventory": "date sku location stock_level".split(),
+    "production": "date line_id sku capacity".split(),
+    "purchase_orders": "po_id sku supplier location order_date eta_date".split(),
+    "master_data": "sku description category uom".split(),
+    "external_signals": "date location".split(),
+}
+DRIVERS = [
+    ("trend", 0.3, "positive"),
+    ("seasonality", 0.25, "positive"),
+    ("promotion", 0.2, "positive"),
+    ("holiday", 0.1, "positive"),
+    ("price", 0.1, "negative"),
+    ("weather", 0.05, "negative"),
+]
 
 
 def _list(words) -> str:
@@ -91,16 +120,16 @@ BLOCKS = {
         avg(quantity) FILTER (WHERE i <= n - n_val) AS p_mean, max(quantity) FILTER (WHERE i <= n - n_val) AS p_max,
         max(quantity) FILTER (WHERE i = n - n_val) AS p_last FROM parted GROUP BY sku""",
     "scores": """SELECT sku,
-        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_mean) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS arima_mape,
-        avg(abs(quantity - p_mean)) AS arima_mae,
-        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_last) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS prophet_mape,
-        avg(abs(quantity - p_last)) AS prophet_mae,
-        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_max) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS xgb_mape,
-        avg(abs(quantity - p_max)) AS xgb_mae
+        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_mean) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS mean_mape,
+        avg(abs(quantity - p_mean)) AS mean_mae,
+        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_last) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS last_mape,
+        avg(abs(quantity - p_last)) AS last_mae,
+        CASE WHEN t.n >= 4 THEN coalesce(avg(abs(quantity - p_max) / quantity) FILTER (WHERE quantity > 0), 'inf'::DOUBLE) END AS max_mape,
+        avg(abs(quantity - p_max)) AS max_mae
         FROM trained t LEFT JOIN (SELECT sku, quantity FROM parted WHERE i > n - n_val) h USING (sku) GROUP BY sku, t.n""",
-    "chosen": """SELECT *, CASE WHEN arima_mape IS NULL THEN 'stub'
-        WHEN arima_mape <= prophet_mape AND arima_mape <= xgb_mape THEN 'arima'
-        WHEN prophet_mape <= xgb_mape THEN 'prophet' ELSE 'xgboost' END AS model FROM scores""",
+    "chosen": """SELECT *, CASE WHEN mean_mape IS NULL THEN 'stub'
+        WHEN mean_mape <= last_mape AND mean_mape <= max_mape THEN 'mean'
+        WHEN last_mape <= max_mape THEN 'last' ELSE 'max' END AS model FROM scores""",
     "by_date": """SELECT date, strftime(date, '%m-%d') AS label, sum(mean) AS mean, sum(mean * 0.8::DOUBLE) AS q10,
         sum(mean * 1.2::DOUBLE) AS q90 FROM part_points GROUP BY date""",
 }
@@ -139,7 +168,7 @@ _CANDIDATES = _values(
 _WORDS = _values((i, kind, w) for i, (kind, words) in enumerate(KIND_WORDS.items()) for w in words)
 _REQUIRED = _values((kind, c, c.replace("_", "")) for kind, names in REQUIRED_COLUMNS.items() for c in names)
 _FILE_NAME = f"({_list(FILE_WORDS)})[p_partkey % {len(FILE_WORDS)} + 1] || '_' || replace(p_name, ' ', '-') || '_2024.csv'"
-_SCORE_COLUMNS = "arima_mape arima_mae prophet_mape prophet_mae xgb_mape xgb_mae"
+_SCORE_COLUMNS = "mean_mape mean_mae last_mape last_mae max_mape max_mae"
 
 
 def _horizon(keep: str) -> str:
@@ -235,14 +264,14 @@ RAW_SQL = {
         max(date) FILTER (WHERE i <= n - n_val) AS train_end, min(date) FILTER (WHERE i > n - n_val) AS holdout_start,
         sum(quantity) FILTER (WHERE i > n - n_val) AS holdout_total FROM parted GROUP BY sku""",
     "naive_scores": f"SELECT sku, {_rounded(_SCORE_COLUMNS, 6)} FROM scores",
-    "model_select": """SELECT sku, model, CASE model WHEN 'stub' THEN 0.0::DOUBLE WHEN 'arima' THEN 1.0::DOUBLE
-        WHEN 'prophet' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS code FROM chosen""",
+    "model_select": """SELECT sku, model, CASE model WHEN 'stub' THEN 0.0::DOUBLE WHEN 'mean' THEN 1.0::DOUBLE
+        WHEN 'last' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS code FROM chosen""",
     "metric_map": "SELECT sku, key, value FROM ("
     + " UNION ALL ".join(f"SELECT sku, sku || '.{c}' AS key, round({c}, 6) AS value FROM scores" for c in _SCORE_COLUMNS.split())
-    + """ UNION ALL SELECT sku, sku || '.chosen_model', CASE model WHEN 'stub' THEN 0.0::DOUBLE WHEN 'arima' THEN 1.0::DOUBLE
-        WHEN 'prophet' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END FROM chosen) WHERE value IS NOT NULL""",
-    "best_score": """SELECT sku, model, round(CASE model WHEN 'arima' THEN arima_mape WHEN 'prophet' THEN prophet_mape WHEN 'xgboost' THEN xgb_mape END, 6) AS mape,
-        round(CASE model WHEN 'arima' THEN arima_mae WHEN 'prophet' THEN prophet_mae WHEN 'xgboost' THEN xgb_mae END, 6) AS mae FROM chosen""",
+    + """ UNION ALL SELECT sku, sku || '.chosen_model', CASE model WHEN 'stub' THEN 0.0::DOUBLE WHEN 'mean' THEN 1.0::DOUBLE
+        WHEN 'last' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END FROM chosen) WHERE value IS NOT NULL""",
+    "best_score": """SELECT sku, model, round(CASE model WHEN 'mean' THEN mean_mape WHEN 'last' THEN last_mape WHEN 'max' THEN max_mape END, 6) AS mape,
+        round(CASE model WHEN 'mean' THEN mean_mae WHEN 'last' THEN last_mae WHEN 'max' THEN max_mae END, 6) AS mae FROM chosen""",
     "model_counts": "SELECT model, count(*) AS skus FROM chosen GROUP BY model",
     "demand_summary": f"""SELECT sku, round(demand, 4) AS demand, (SELECT min(date) FROM part_points) AS first_date,
         CAST((SELECT max(date) - min(date) + 1 FROM part_points) AS INTEGER) AS horizon_days FROM demand""",
@@ -283,9 +312,8 @@ RAW_SQL = {
     "demand_by_date": f"SELECT date, label, {_rounded('mean q10 q90', 2)} FROM by_date",
     "first_periods": """SELECT date, strftime(date, '%m-%d') AS label, sum(quantity) AS mean, sum(quantity) AS q10, sum(quantity) AS q90
         FROM part_sales GROUP BY date ORDER BY date LIMIT 30""",
-    "demand_pivot": "SELECT date, "
-    + ", ".join(f"""round(avg(mean) FILTER (WHERE sku = '{b}'), 4) AS "{b}\"""" for b in BRANDS)
-    + " FROM brand_points GROUP BY date",
+    "demand_pivot": "PIVOT (SELECT date, sku, mean FROM brand_points) ON sku USING round(avg(mean), 4) GROUP BY date",
+    "demand_long": "SELECT date, sku, round(avg(mean), 4) AS mean FROM part_points GROUP BY date, sku",
     "band_limits": """SELECT round(hi, 2) AS max_band, round(lo, 2) AS min_band, CAST(greatest(0, floor(lo * 0.9::DOUBLE)) AS BIGINT) AS axis_low,
         CAST(ceil(hi * 1.1::DOUBLE) AS BIGINT) AS axis_high FROM (
         SELECT max(greatest(coalesce(nullif(q90, 0), mean), mean)) AS hi, min(least(coalesce(nullif(q10, 0), mean), mean)) AS lo FROM by_date)""",
@@ -303,9 +331,20 @@ RAW_SQL = {
         """SELECT s.date, sum(quantity) AS total FROM sales s
         LEFT JOIN ordered o ON s.date = o.date AND s.location = o.location GROUP BY s.date"""
     ),
-    "purchase_events": """SELECT 'sales' AS topic, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"day":"' || strftime(ts, '%Y-%m-%d')
-        || '","value":' || coalesce(CASE WHEN value > 5 THEN CAST(value AS VARCHAR) END, 'null') || '}' AS value
-        FROM events WHERE event_type = 'purchase'""",
+    "published_events": """SELECT 'events' AS topic, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type
+        || '","day":"' || strftime(ts, '%Y-%m-%d') || '","value":' || CAST(value AS VARCHAR) || '}' AS value FROM events""",
+    "typed_signals": f"SELECT date, location, is_holiday, {_rounded('temperature', 8)}, {_rounded(' '.join(_SIGNALS[2:]), 6)} FROM signals",
+    "forced_stub_forecast": """SELECT sku, date, round(mean, 4) AS mean, round(mean * 0.8::DOUBLE, 4) AS q10, round(mean, 4) AS q50,
+        round(mean * 1.2::DOUBLE, 4) AS q90 FROM brand_points""",
+    "fallback_forecast": f"""WITH short_daily AS (SELECT 'SKU-' || l_partkey || '-' || s_nationkey AS sku, CAST(l_shipdate AS DATE) AS date,
+            sum(l_quantity) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+        short_base AS (SELECT sku, avg(quantity) AS base FROM short_daily GROUP BY sku HAVING count(*) < 4),
+        ends AS (SELECT sku, date, greatest(base * body + base * ripple, 0) AS mean FROM short_base CROSS JOIN shape)
+        SELECT sku, round(max(mean) FILTER (WHERE date = DATE '{START}'), 4) AS first_mean,
+            round(max(mean) FILTER (WHERE date = DATE '{END}'), 4) AS last_mean FROM ends GROUP BY sku""",
+    "fit_contract": f"""SELECT sku, CAST(count(DISTINCT date) AS INTEGER) AS history, DATE '{END}' - DATE '{START}' + 1 AS steps, 6 AS scores,
+        true AS least_mape, true AS whole_path, true AS band, CAST(DATE '{END}' - DATE '{START}' + 1 AS BIGINT) AS points
+        FROM brand_sales GROUP BY sku""",
 }
 
 ORACLES = {name: with_blocks(sql) for name, sql in RAW_SQL.items()}

@@ -39,12 +39,13 @@ class Datasets:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def upload(self, kind: str, path: str) -> DataFrame:
+    def upload(self, kind: str, path: str, multi_line: bool = False) -> DataFrame:
+        """Stores a CSV file; `multi_line` allows line breaks inside quotes."""
         if kind not in KINDS:
             raise ValueError(f"dataset kind must be one of {KINDS}, not {kind!r}")
         if not path.lower().endswith(".csv"):
             raise ValueError("only .csv files can be uploaded")
-        raw = read_csv(self.spark, path)
+        raw = read_csv(self.spark, path, multi_line)
         if not raw.columns:
             raise ValueError(f"{path} has no columns")
         version = uuid.uuid4().hex

@@ -30,7 +30,10 @@ def quoted(name: str):
 
 
 def typed(df: DataFrame, kind: str) -> DataFrame:
-    """Known text columns of a dataset kind cast to their types; bad values become NULL."""
+    """Known text columns of a dataset kind cast to their types; bad values become NULL.
+
+    `true` and `false` in any case count as 1 and 0 where a number is wanted.
+    """
     types = COLUMN_TYPES.get(kind, {})
     text = {name for name, dtype in df.dtypes if dtype == "string"}
 
@@ -40,7 +43,9 @@ def typed(df: DataFrame, kind: str) -> DataFrame:
             return quoted(name)
         if wanted == "date":
             return parse_date(quoted(name)).alias(name)
-        number = F.nanvl(quoted(name).try_cast("double"), F.lit(None).cast("double"))
+        said = F.lower(F.trim(quoted(name)))
+        text_number = F.when(said == "true", "1").when(said == "false", "0").otherwise(quoted(name))
+        number = F.nanvl(text_number.try_cast("double"), F.lit(None).cast("double"))
         return number.cast(wanted).alias(name)
 
     return df.select([cast(c) for c in df.columns])

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+# Ways in which a file may write its dates, dealt out by line number.
+RAW_DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "M/d/yy", "yyyyMMdd", "M-d-yyyy", "d.M.yyyy", "MMM d, yyyy"]
 
 
 class StarViews:
@@ -64,9 +65,13 @@ class StarViews:
         )
 
     def raw_sales(self) -> DataFrame:
-        """Sales as a file might name them, all as text."""
+        """Sales as a file might name them, all as text, with dates in mixed formats."""
+        way = F.pmod("l_linenumber", F.lit(len(RAW_DATE_FORMATS)))
+        written = F.lit(None).cast("string")
+        for i, date_format in enumerate(RAW_DATE_FORMATS):
+            written = F.when(way == i, F.date_format("date", date_format)).otherwise(written)
         return self._supplied(self._sold()).select(
-            F.date_format("date", "M/d/yyyy").alias("Order_Date"),
+            written.alias("Order_Date"),
             part_sku(F.col("l_partkey")).alias("Product ID"),
             F.col("location").alias("Region"),
             F.col("quantity").cast("string").alias("Order Qty"),
