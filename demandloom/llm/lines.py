@@ -16,7 +16,9 @@ SKETCH_BITS = 19
 FILTER_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 PART = 1 << 32  # a place is part * PART + line number
-TOKEN_BITS = 58
+#: Bits of a word's hash beside its level, and how many of them the join leaves out: words that then
+#: look alike only add candidates, which are confirmed.
+TOKEN_BITS, LEFT_OUT = 58, 19
 
 
 def _part(text: Column) -> Column:
@@ -83,7 +85,8 @@ def _prefix_rows(base: DataFrame) -> DataFrame:
     )
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    return signed.select("doc", "place", "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+    rows = signed.select("doc", "place", "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+    return rows.withColumn("token", F.shiftright("token", LEFT_OUT))
 
 
 def _by_doc(places: DataFrame, name: str) -> DataFrame:
