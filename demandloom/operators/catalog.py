@@ -46,9 +46,10 @@ def guess_columns(
     )
     order = F.struct("pos", "column")
     spelling = F.min_by("column", order) if by_candidate else F.max_by("column", order)
-    names = catalog.groupBy("dataset", clean_name_col(F.col("column"), style).alias("cleaned")).agg(
-        F.min(order).alias("place"), spelling.alias("column")
-    )
+    # Names that fit no role are left out before anything is shuffled.
+    cleaned = catalog.withColumn("cleaned", clean_name_col(F.col("column"), style))
+    fitting = cleaned.where(F.exists(keys, lambda k: F.contains(F.col("cleaned"), k["key"])))
+    names = fitting.groupBy("dataset", "cleaned").agg(F.min(order).alias("place"), spelling.alias("column"))
     hits = names.select(
         "dataset", "place", "column", "cleaned",
         F.inline(F.filter(keys, lambda k: F.contains(F.col("cleaned"), k["key"]))),

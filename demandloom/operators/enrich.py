@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from demandloom.schemas import HOLIDAY, MEAN_SIGNALS
 from demandloom.sources.files import quoted
 
 KEYS = ["date", "location"]
+SIZE = re.compile(r"^(-?\d+)\s*([a-zA-Z]*)$")
+UNITS = {"": 1, "b": 1, **{u + tail: 1 << 10 * i for i, u in enumerate("kmgt", 1) for tail in ("", "b")}}
 
 
 def _part_names(sales: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,9 +45,22 @@ def join_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, match, "left").drop("_date", "_location")
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if its counted size is within the session's threshold.
+
+    The count is a job of its own. It spares the far larger side a shuffle that Spark would have
+    begun before it knows the size of an aggregated table.
+    """
+    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    least = int(SIZE.match(setting)[1]) * UNITS[SIZE.match(setting)[2].lower()]
+    width = 16 + sum(64 if t == "string" else 16 for _, t in df.dtypes)
+    return F.broadcast(df) if least > 0 and df.count() * width <= least else df
+
+
 def attach_signals(sales: DataFrame, signals: DataFrame) -> DataFrame:
     """All sales with the signals of their date and location."""
-    return join_by_key(*_part_names(sales, signals))
+    left, right = _part_names(sales, signals)
+    return join_by_key(left, broadcast_if_small(right))
 
 
 def signal_means(sales: DataFrame, signals: DataFrame) -> DataFrame:

@@ -36,26 +36,37 @@ def global_drivers(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(_drivers()))
 
 
-def ranked_skus(points: DataFrame, ranges: int = 256) -> DataFrame:
+def ranked_skus(points: DataFrame, per_range: int = 50_000) -> DataFrame:
     """(sku, rank): 0-based place of each distinct SKU in sort order.
 
-    A global window would sort all SKUs in one task. Instead some SKUs, picked by hash so that
-    every run picks the same, cut the sort order into ranges; each range is ranked on its own
-    and shifted by the sizes of the ranges before it.
+    A global window would sort all SKUs in one task. Instead about one SKU in `per_range`, picked by
+    hash so that every run picks the same, cuts the sort order into ranges, whose number thus follows
+    the number of SKUs. Each range is ranked on its own and shifted by the sizes of those before it.
     """
     skus = points.select("sku").distinct()
-    few = skus.orderBy(F.xxhash64("sku"), "sku").limit(ranges)
+    few = skus.where(F.pmod(F.xxhash64("sku"), F.lit(per_range)) == 0)
     splitters = few.agg(F.array_sort(F.collect_list("sku"))).scalar()
-    ranged = skus.withColumn("splitters", splitters).select(
-        "sku", F.size(F.filter("splitters", lambda s: s <= F.col("sku"))).alias("range")
-    )
-    # One entry per range.
+    # Binary search: how many splitters stand at or before the SKU. 2^20 splitters are enough.
+    steps = F.lit([1 << i for i in reversed(range(20))])
+
+    def step(low: Column, by: Column) -> Column:
+        return F.when(F.get("splitters", low + by - 1) <= F.col("sku"), low + by).otherwise(low)
+
+    ranged = skus.withColumn("splitters", splitters).select("sku", F.aggregate(steps, F.lit(0), step).alias("range"))
+    # One entry per range; their running sums are added up once.
     counts = ranged.groupBy("range").agg(F.count("*").alias("size"))
-    sizes = counts.agg(F.collect_list(F.struct("range", "size"))).scalar()
+    sizes = counts.agg(F.array_sort(F.collect_list(F.struct("range", "size"))).alias("sizes"))
+    running = F.aggregate(
+        "sizes",
+        F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<at:int,before:bigint>>").alias("rows")),
+        lambda acc, r: F.struct(
+            (acc["total"] + r["size"]).alias("total"),
+            F.concat(acc["rows"], F.array(F.struct(r["range"].alias("at"), acc["total"].alias("before")))).alias("rows"),
+        ),
+    )
+    before = sizes.select(F.inline(running["rows"]))
     placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("sku")))
-    earlier = F.filter("sizes", lambda r: r["range"] < F.col("range"))
-    before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, r: total + r["size"])
-    return placed.withColumn("sizes", sizes).select("sku", (before + F.col("place") - 1).alias("rank"))
+    return placed.join(before, F.col("range") == F.col("at")).select("sku", (F.col("before") + F.col("place") - 1).alias("rank"))
 
 
 def drivers_by_sku(points: DataFrame) -> DataFrame:

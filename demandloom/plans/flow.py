@@ -118,7 +118,7 @@ class PlanningFlow:
         forecast_id = new_id()
         fits, requested = forecast_fits(sales, request, self.signals())
         self.store.save("fits", fits, "forecast_id", forecast_id)
-        fits = self._rows("fits", "forecast_id", forecast_id)
+        fits = self.store.rows("fits", "forecast_id", forecast_id)
         if fits is not None:
             points = forecast.forecast_points(fits, requested)
             self.store.save("points", points, "forecast_id", forecast_id)
@@ -136,7 +136,7 @@ class PlanningFlow:
 
     def points(self, forecast_id: str) -> DataFrame:
         self.store.one("forecasts", "forecast_id", forecast_id)
-        rows = self._rows("points", "forecast_id", forecast_id)
+        rows = self.store.rows("points", "forecast_id", forecast_id)
         if rows is None:
             return self.spark.createDataFrame([], FORECAST_POINT)
         return rows.select(*FORECAST_POINT.fieldNames())
@@ -169,7 +169,7 @@ class PlanningFlow:
     def plan_table(self, table: str, plan_id: str) -> DataFrame | None:
         """`orders`, `production` or `plan_kpis` of a plan; None if no plan has such rows."""
         self.store.one("plans", "plan_id", plan_id)
-        return self._rows(table, "plan_id", plan_id)
+        return self.store.rows(table, "plan_id", plan_id)
 
     # --- scenario
 
@@ -186,7 +186,7 @@ class PlanningFlow:
             raise ResultNotFound(f"plan {request.plan_id!r} not found")
         if status == "no_base_plan":
             raise ValueError("no base plan available for the scenario")
-        lines = [self._rows(t, "plan_id", base_plan) for t in ("orders", "production")]
+        lines = [self.store.rows(t, "plan_id", base_plan) for t in ("orders", "production")]
         empty = self.spark.createDataFrame([], "plan_id string, quantity double")
         volumes = scenario.plan_volumes(*[empty if part is None else part for part in lines])
         shocks = shock_table(self.spark, scenario_id, request.shocks)
@@ -226,7 +226,7 @@ class PlanningFlow:
         row = header.first()
         if row is None:
             return "No forecasts are available in the current session."
-        fits = self._rows("fits", "forecast_id", row.forecast_id)
+        fits = self.store.rows("fits", "forecast_id", row.forecast_id)
         models = self.spark.createDataFrame([], "sku string, model string, seq string")
         if fits is not None:
             models = fits.select("sku", "model", F.col("sku").alias("seq"))
@@ -237,7 +237,7 @@ class PlanningFlow:
         if row is None:
             return "No plans are available in the current session."
         text = f"Plan {row.plan_id} is linked to forecast {row.forecast_id}."
-        kpis = self._rows("plan_kpis", "plan_id", row.plan_id)
+        kpis = self.store.rows("plan_kpis", "plan_id", row.plan_id)
         line = None if kpis is None else reports.plan_kpi_text(kpis).first()
         return text if line is None else f"{text} {line.text}"
 
@@ -269,9 +269,3 @@ class PlanningFlow:
         """Fit the naive mean and log its error; a retraining job calls this again."""
         sales, _ = self.checked_sales(on_unreadable)
         self.store.log_run(monitor.train_naive_mean(sales, self.signals()))
-
-    # --- helpers
-
-    def _rows(self, table: str, id_column: str, result_id: str) -> DataFrame | None:
-        saved = self.store.table(table)
-        return None if saved is None else saved.where(F.col(id_column) == result_id)

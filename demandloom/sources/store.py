@@ -34,17 +34,25 @@ class ResultStore:
     def table(self, table: str) -> DataFrame | None:
         return read_or_none(lambda: self.spark.read.parquet(f"{self.root}/{table}"))
 
+    def rows(self, table: str, id_column: str, result_id: str) -> DataFrame | None:
+        """Rows of one result, read from its folder alone; None if it has no rows."""
+        base = f"{self.root}/{table}"
+        return read_or_none(lambda: self.spark.read.option("basePath", base).parquet(f"{base}/{id_column}={result_id}"))
+
     def load(self, table: str, id_column: str, result_id: str) -> DataFrame:
         """Rows of one result; they may be none if the result was saved without rows."""
+        found = self.rows(table, id_column, result_id)
+        if found is not None:
+            return found
         saved = self.table(table)
         if saved is None:
             raise ResultNotFound(f"no {table} saved yet")
-        return saved.where(F.col(id_column) == result_id)
+        return saved.where(F.lit(False))
 
     def one(self, table: str, id_column: str, result_id: str) -> DataFrame:
         """The header row of one result."""
-        row = self.load(table, id_column, result_id)
-        if row.isEmpty():
+        row = self.rows(table, id_column, result_id)
+        if row is None:
             raise ResultNotFound(f"{result_id!r} is not in {table}")
         return row
 

@@ -5,6 +5,9 @@ import json
 
 import pytest
 
+from demandloom.operators.enrich import sales_with_signals
+from demandloom.operators.explain import signal_summary
+from demandloom.operators.harmonize import UnreadableSales
 from demandloom.plans.jobs import run
 from demandloom.plans.flow import PlanningFlow
 from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, Shock, split_skus
@@ -41,6 +44,15 @@ def test_multi_line_cells(spark, tmp_path):
     assert read_csv(spark, path, multi_line=True).first().a == "one\ntwo"
 
 
+def test_text_booleans_count_as_numbers(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "date,location,is_holiday\n2024-01-02,W,True\n2024-01-03,W,FALSE\n2024-01-04,W,maybe\n2024-01-05,W,1\n")
+    signals = typed(read_csv(spark, path), "external_signals")
+    assert [r.is_holiday for r in signals.orderBy("date").collect()] == [1, 0, None, 1]
+    sales = spark.createDataFrame([(dt.date(2024, 1, d), "a", "W", 1.0) for d in (2, 3, 4)], "date date, sku string, location string, quantity double")
+    assert [r.is_holiday for r in sales_with_signals(sales, signals).orderBy("date").collect()] == [1, 0, 0]
+    assert signal_summary(signals).first().summary == "Recent days include holidays, which may drive demand peaks."
+
+
 # --- datasets
 
 
@@ -69,6 +81,13 @@ def test_bad_uploads_leave_the_good_one(spark, tmp_path):
     assert tuple(data.read("inventory").first()) == (dt.date(2024, 1, 1), "1", "W", 5.0)
 
 
+def test_upload_with_line_breaks_in_cells(spark, tmp_path):
+    data = Datasets(spark, str(tmp_path / "data"))
+    path = write(tmp_path / "m.csv", 'sku,description\n1,"two\nlines"\n')
+    assert data.upload("master_data", path, multi_line=True).first().description == "two\nlines"
+    assert data.read("master_data").count() == 1
+
+
 # --- other sources
 
 
@@ -91,8 +110,15 @@ def test_store_replaces_one_result_only(spark, tmp_path):
     assert store.load("t", "key", "a").count() == 2 and store.load("t", "key", "b").count() == 2
     with pytest.raises(ResultNotFound):
         store.one("t", "key", "c")
-    plan = store.load("t", "key", "a")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(key" in plan
+
+
+def test_a_lookup_reads_its_own_folder_only(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path))
+    for i in range(200):
+        (tmp_path / "t" / f"key=r{i}").mkdir(parents=True)
+    spark.range(3).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t" / "key=r7"))
+    for found in (store.load("t", "key", "r7"), store.one("t", "key", "r7")):
+        assert len(found.inputFiles()) == 1 and {r.key for r in found.collect()} == {"r7"} and found.count() == 3
 
 
 # --- publishing
@@ -151,6 +177,36 @@ def flow(spark, tmp_path_factory):
     return PlanningFlow(spark, str(data), str(root / "results"))
 
 
+def _flow_of(spark, tmp_path, lines):
+    data = tmp_path / "data"
+    data.mkdir()
+    write(data / "sample_sales.csv", "Order_Date,Product,Region,Qty\n" + "\n".join(lines) + "\n")
+    write(data / "sample_external_signals.csv", "date,location\n2024-01-01,L\n")
+    return PlanningFlow(spark, str(data), str(tmp_path / "results"))
+
+
+def test_two_digit_years_are_history(spark, tmp_path):
+    flow = _flow_of(spark, tmp_path, [f"1/{d}/24,A,L,{1000 + d}" for d in range(1, 11)])
+    request = ForecastRequest(dt.date(2024, 1, 11), dt.date(2024, 1, 13))
+    points = flow.points(flow.create_forecast(request)).collect()
+    assert len(points) == 3 and all(700 < p["mean"] < 1300 for p in points)
+    assert tuple(flow.headers("forecasts").select("sales_rows", "unreadable_dates", "unreadable_quantities").first()) == (10, 0, 0)
+
+
+def test_unreadable_sales_raise_unless_they_are_kept(spark, tmp_path):
+    flow = _flow_of(spark, tmp_path, ["2024-01-01,A,L,5", "soon,A,L,5", "2024-01-02,A,L,many"])
+    request = ForecastRequest(dt.date(2024, 1, 11), dt.date(2024, 1, 12))
+    for call in (lambda: flow.create_forecast(request), flow.monitor, flow.train):
+        with pytest.raises(UnreadableSales, match="1 dates and 1 quantities of 3"):
+            call()
+    assert flow.headers("forecasts").isEmpty()
+    flow.create_forecast(request, on_unreadable="keep")
+    assert tuple(flow.headers("forecasts").select("sales_rows", "unreadable_dates", "unreadable_quantities").first()) == (3, 1, 1)
+    assert flow.monitor("keep")["metric"] == "naive_mape"
+    with pytest.raises(ValueError):
+        flow.monitor("ignore")
+
+
 def test_empty_session(flow):
     if flow.store.table("forecasts") is None:
         assert flow.forecast_summary() == "No forecasts are available in the current session."

@@ -110,6 +110,9 @@ def test_horizon_checks_granularity():
     "text, wanted",
     [("2024-03-04", (2024, 3, 4)), ("2024-03-04 10:11:12", (2024, 3, 4)), ("2024-03-04T10:11:12", (2024, 3, 4)),
      ("3/4/2024", (2024, 3, 4)), ("03/04/2024 0:00", (2024, 3, 4)), ("2024/3/4", (2024, 3, 4)), ("4-Mar-2024", (2024, 3, 4)),
+     ("3/4/24", (2024, 3, 4)), ("3/4/99", (1999, 3, 4)), ("12/31/68", (2068, 12, 31)), ("20240304", (2024, 3, 4)), ("3-4-2024", (2024, 3, 4)),
+     ("4.3.2024", (2024, 3, 4)), ("4.3.24", (2024, 3, 4)), ("Mar 4, 2024", (2024, 3, 4)), ("MAR 4, 2024", (2024, 3, 4)), ("4-mar-24", (2024, 3, 4)),
+     ("3/4/2024 1:05 PM", (2024, 3, 4)), ("3/4/2024 1:05:09 am", (2024, 3, 4)), ("20241340", None), ("31.02.2024", None), ("123", None),
      ("13/14/2024", None), ("n/a", None), (" 2024-03-04 ", (2024, 3, 4))],
 )
 def test_parse_date(spark, text, wanted):

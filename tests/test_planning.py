@@ -202,8 +202,17 @@ def test_totals_by_date_and_limits(points, nothing):
 
 
 def test_pivot(points):
-    rows = {r.date: r for r in reports.pivot_by_sku(points, ["a", "b"]).collect()}
-    assert rows[D1]["a"] == 30.0 and rows[D1]["b"] is None and rows[D3]["b"] == 60.0
+    names = [r.sku for r in points.select("sku").distinct().orderBy("sku").collect()]
+    for table in (reports.pivot_by_sku(points), reports.pivot_by_sku(points, names)):
+        assert table.columns == ["date", *names]
+        rows = {r.date: r for r in table.collect()}
+        assert rows[D1]["a"] == 30.0 and rows[D1]["b"] is None and rows[D3]["b"] == 60.0
+    with pytest.raises(ValueError, match="not in the list"):
+        reports.pivot_by_sku(points, names[1:])
+    with pytest.raises(ValueError, match="more than 1"):
+        reports.pivot_by_sku(points, most=1)
+    long = {(r.date, r.sku): r["mean"] for r in reports.mean_by_sku_and_date(points).collect()}
+    assert long[D1, "a"] == 30.0 and (D1, "b") not in long
 
 
 def test_forecast_totals(points, nothing):

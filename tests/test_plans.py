@@ -49,3 +49,33 @@ def test_signals_meet_sales_as_sums_per_key(spark, small):
     join = plan.index("LeftOuter")
     below = plan[join:]
     assert "sum(quantity" in below and "count(1)" in below
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit, shuffled", [("10485760", False), ("-1", True)])
+def test_small_signals_spare_the_sales_a_shuffle(spark, small, limit, shuffled):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, limit)
+    try:
+        df = entry.queries()["sales_with_signals"](spark, small)
+        plan = final_plan(df).split("== Initial Plan ==")[0]
+        rows = df.count()
+    finally:
+        spark.conf.set(setting, before)
+    outer = plan[: plan.index("l_shipdate")]
+    assert ("SortMergeJoin" in outer or "Exchange hashpartitioning" in outer) == shuffled
+    assert rows == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_profile_counts_keys_without_repeating_rows(spark, small):
+    assert "Expand" not in plan_of(spark, small, "dataset_profile")
+
+
+def test_names_that_fit_no_role_are_not_shuffled(spark, small):
+    plan = plan_of(spark, small, "guess_columns")
+    assert "exists(" in plan[plan.rindex("Exchange") :]
