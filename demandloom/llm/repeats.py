@@ -314,15 +314,19 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 def _repeated_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The document's keys, spans (start, n): windows whose words also start earlier."""
-    dealt = rows.repartition("route")
+    sure = F.col("tag").bitwiseAND(F.lit(1)) == 1
     part = F.shiftright("tag", 32).cast("int").alias("part")
-    start = F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
-    sure = dealt.where("tag & 1 = 1").select("doc", part, start.alias("at"), "n")
-    windows = dealt.where("tag & 1 = 0").select("route", "doc", part, start.alias("first"), F.posexplode("checks").alias("k", "check"))
-    placed = windows.select("route", "check", F.struct("doc", "part", (F.col("first") + F.col("k")).alias("at")).alias("place"))
+    start = F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("first")
+    # Sure spans have no hashes, meet nobody, and pass through as they are.
+    windows = rows.repartition("route").select(
+        "route", "doc", part, start, "n", sure.alias("sure"), F.posexplode_outer("checks").alias("k", "check")
+    )
+    placed = windows.select("route", "check", "sure", "n", F.struct("doc", "part", (F.col("first") + F.coalesce("k", F.lit(0))).alias("at")).alias("place"))
     met = placed.withColumn("earliest", F.min("place").over(Window.partitionBy("route", "check")))
-    later = met.where("place > earliest").select("place.doc", "place.part", "place.at", F.lit(1).alias("n"))
-    return sure.unionByName(later).groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    later = met.where("sure OR place > earliest").select(
+        "place.doc", "place.part", "place.at", F.when(F.col("sure"), F.col("n")).otherwise(1).alias("n")
+    )
+    return later.groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
