@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.baseline import DEFAULT_BASE, band, baseline_value
 from demandloom.functions.fits import model_path
 from demandloom.functions.scores import mae, mape
+from demandloom.session import bound_batches
 
 # Models in tie order with their metric prefix, and codes for the chosen one.
 MODELS = {"arima": "arima", "prophet": "prophet", "xgboost": "xgb"}
@@ -96,6 +97,7 @@ def fit_models(
     end of its own training part, as the original service does; `true_holdout` scores it on
     the hold-out days.
     """
+    bound_batches(series.sparkSession)
     forced = forced_name(model)
     has_steps = F.size(horizon) > 0
     days, values = _days(F.col("train_dates")), F.when(has_steps, F.col("train"))

@@ -26,6 +26,14 @@ def get_session(app: str = "demandloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession, rows: int = int(SETTINGS["spark.sql.execution.arrow.maxRecordsPerBatch"])) -> None:
+    """Limits the rows of a batch sent to Python, in sessions that were set up elsewhere too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def fit_partitions(spark: SparkSession) -> int:
     """Number of tasks that share out the model fits.
 
