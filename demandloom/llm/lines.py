@@ -197,13 +197,13 @@ def repeated_lines(base: DataFrame) -> DataFrame:
     judged = settle(_confirmed(base, pairs).distinct(), "judged")
     gone = judged.where("ok").select("doc", "place")
 
-    # Lines that failed against a hub and have matched nothing yet.
-    failed = judged.where("NOT ok")
-    ends = failed.select("doc", "place").unionByName(failed.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place"))).distinct()
-    open_lines = settle(ends.join(gone, ["doc", "place"], "left_anti"), "open")
+    # Lines that failed against a hub, which stands before them, and have matched nothing yet.
+    failed = judged.where("NOT ok").select("doc", "place").distinct()
+    open_lines = settle(failed.join(gone, ["doc", "place"], "left_anti"), "open")
     if not open_lines.isEmpty():
         marked = crowd.where(first & (F.col("c") > 2)).select("token", "a", F.col("a.doc").alias("doc"), F.col("a.place").alias("place"))
-        asks = marked.join(open_lines, ["doc", "place"], "left_semi").select("token", "a")
+        picked = marked.where(_wanted_filter(open_lines, "doc", "place"))
+        asks = picked.join(open_lines, ["doc", "place"], "left_semi").select("token", "a")
         again = asks.join(others, "token").where(different & _may_match("a", "b"))
         left = again.select(*_pair("a", "b")).distinct().join(judged, ["doc", "place", "to_doc", "to_place"], "left_anti")
         gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select("doc", "place"))
