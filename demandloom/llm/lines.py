@@ -132,12 +132,13 @@ def _pair(a: str, b: str) -> list[Column]:
 def _crowd(rows: DataFrame) -> DataFrame:
     """Rows by word: line `a`, its `copy` number among lines with the same words, lines `c`, first line `hub`.
 
+    `twin` numbers the places that hold these words: the same place of an equal row is no other line.
     A line travels as one struct, so that all uses of the crowd share a single exchange.
     """
     lines = rows.select("token", "set", _line().alias("a")).repartition("token")
-    nth = F.row_number().over(Window.partitionBy("token", "set").orderBy("a"))
+    same = Window.partitionBy("token", "set").orderBy("a")
     word = Window.partitionBy("token")
-    counted = lines.withColumn("copy", nth)
+    counted = lines.withColumns({"copy": F.row_number().over(same), "twin": F.dense_rank().over(same)})
     return counted.withColumns({"c": F.count_if(F.col("copy") == 1).over(word), "hub": F.min("a").over(word)})
 
 
@@ -187,7 +188,7 @@ def repeated_lines(base: DataFrame) -> DataFrame:
     not_hub = F.struct("a.doc", "a.place") != F.struct("hub.doc", "hub.place")
     different = F.struct("a.doc", "a.place") != F.struct("b.doc", "b.place")
     none = F.lit(None).cast("long")
-    copies = crowd.where((F.col("copy") > 1) & (F.col("a.at") == 0)).select("a.doc", "a.place", none.alias("to_doc"), none.alias("to_place"))
+    copies = crowd.where((F.col("twin") > 1) & (F.col("a.at") == 0)).select("a.doc", "a.place", none.alias("to_doc"), none.alias("to_place"))
     near_hub = crowd.where(first & not_hub & near).select(*_pair("a", "hub"))
     apart = crowd.where(first & (F.col("c") > 2) & not_hub & ~near).select("token", "a")
     others = crowd.where(first & (F.col("c") > 2)).select("token", F.col("a").alias("b"))

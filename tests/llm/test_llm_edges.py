@@ -5,7 +5,7 @@ from llm_data import SCHEMA, WIDE, awkward, corpus, widened
 
 import corpus_pipeline
 from demandloom.llm.language import fit, identify, predict
-from demandloom.llm.lines import remove_repeated_lines
+from demandloom.llm.lines import drop_repeated_lines, remove_repeated_lines
 from demandloom.llm.mixing import mix
 from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
@@ -85,6 +85,13 @@ def test_lines_rules(spark, plain):
     assert (rows[7].text, rows[8].text, rows[8].n_removed) == ("one", "", 1)
 
 
+def test_lines_of_repeated_rows_stay(spark):
+    rows = [(1, "alpha beta gamma\ndelta epsilon zeta"), (1, "alpha beta gamma\ndelta epsilon zeta"), (2, "delta epsilon zeta\neta theta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert listed(remove_repeated_lines(docs)) == [(1, rows[0][1], 2, 0)] * 2 + [(2, "eta theta", 2, 1)]
+    assert listed(drop_repeated_lines(docs)) == [rows[0], rows[0], (2, "eta theta")]
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_on_awkward_and_empty_tables(spark, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
