@@ -15,21 +15,30 @@ SKETCH_BITS = 19
 #: many lines, never too few.
 FILTER_BYTES = 1 << 19
 NO_ID = -(1 << 63)
-PART = 1 << 32  # a place is part * PART + line number
 #: Bits of a word's hash beside its level, and how many of them the join leaves out: words that then
 #: look alike only add candidates, which are confirmed.
 TOKEN_BITS, LEFT_OUT = 58, 19
 
 
-def _part(text: Column) -> Column:
-    """Tells apart different texts with the same id."""
-    return F.pmod(F.hash(text), F.lit(1 << 15)).cast("int")
+#: A document, and a line of one.
+DOC, KEY = ("doc", "part"), ("doc", "part", "place")
+TO_KEY = tuple(f"to_{c}" for c in KEY)
+
+
+def _doc(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def _part(docs: DataFrame, text: Column) -> Column:
+    """Tells apart different texts with the same id, where there are any; NULL ids are one id."""
+    ids = pick(docs, "doc_id").select(_doc(F.col("doc_id")).alias("doc"))
+    unique = ids.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return F.lit(0).cast("long") if unique else F.xxhash64(text)
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), _part(F.col("text")).alias("part"), "text"
-    )
+    part = _part(docs, F.col("text"))
+    return pick(docs, "doc_id", "text").select(_doc(F.col("doc_id")).alias("doc"), part.alias("part"), "text")
 
 
 def _has_word(line: Column) -> Column:
@@ -67,7 +76,7 @@ def _rarity(base: DataFrame) -> Column:
 
 
 def _prefix_rows(base: DataFrame) -> DataFrame:
-    """One row per prefix word of each line with words: token, set (hash of all words), at, n, bits, doc, place."""
+    """One row per prefix word of each line with words: token, set (hash of all words), at, n, bits, doc, part, place."""
     levels = _rarity(base)
     size = 1 << SKETCH_BITS
     blank = F.xxhash64(F.lit(""))
@@ -76,23 +85,21 @@ def _prefix_rows(base: DataFrame) -> DataFrame:
         level = _byte(levels, t.bitwiseAND(size - 1).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
 
-    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_word(F.col("line")))
+    lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
     tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
-    sets = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), tokens.alias("tokens"))
+    sets = lines.select(*KEY, tokens.alias("tokens"))
     signed = sets.select(
-        "doc", "place", "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"),
+        *KEY, "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1))).alias("bits"),
     )
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    rows = signed.select("doc", "place", "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+    rows = signed.select(*KEY, "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
     return rows.withColumn("token", F.shiftright("token", LEFT_OUT))
 
 
 def _by_doc(places: DataFrame, name: str) -> DataFrame:
-    number = F.pmod(F.col("place"), F.lit(PART)).cast("int")
-    part = F.floor(F.col("place") / F.lit(PART)).cast("int")
-    return places.select("doc", part.alias("part"), number.alias("at")).groupBy("doc", "part").agg(F.collect_set("at").alias(name))
+    return places.groupBy(*DOC).agg(F.collect_set("place").alias(name))
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -108,25 +115,22 @@ def _may_match(a: str, b: str) -> Column:
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (rest >= least) & (differ <= n + m - 2 * least)
 
 
-LINE = ("doc", "place", "n", "at", "bits")
+LINE = (*KEY, "n", "at", "bits")
 
 
 def _line(*more: str) -> Column:
     return F.struct(*LINE, *more)
 
 
-def _before(a: str, b: str) -> Column:
-    return F.struct(f"{a}.doc", f"{a}.place") < F.struct(f"{b}.doc", f"{b}.place")
+def _at(a: str) -> Column:
+    return F.struct(*[f"{a}.{c}" for c in KEY])
 
 
 def _pair(a: str, b: str) -> list[Column]:
     """The later line of the two first."""
-    swap = _before(a, b)
+    swap = _at(a) < _at(b)
     pick_ = lambda c, x, y: F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
-    return [
-        pick_("doc", a, b).alias("doc"), pick_("place", a, b).alias("place"),
-        pick_("doc", b, a).alias("to_doc"), pick_("place", b, a).alias("to_place"),
-    ]
+    return [pick_(c, a, b).alias(c) for c in KEY] + [pick_(c, b, a).alias(f"to_{c}") for c in KEY]
 
 
 def _crowd(rows: DataFrame) -> DataFrame:
@@ -156,18 +160,17 @@ def _wanted_filter(ends: DataFrame, *key: str) -> Column:
 
 def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs with whether their full sets of words match. Only lines that the filter picks are shuffled."""
-    ends = pairs.select("doc", "place").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_place").alias("place")))
-    lines = base.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc", (F.col("part") * F.lit(PART) + F.col("at")).alias("place"), "line").where(_wanted_filter(ends, "doc", "place"))
+    ends = pairs.select(*KEY).union(pairs.select(*TO_KEY))
+    lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_wanted_filter(ends, *KEY))
     # Equal rows of the table hold equal lines; one of them is enough.
-    other = lines.select(F.col("doc").alias("to_doc"), F.col("place").alias("to_place"), F.col("line").alias("to_line"))
-    both = pairs.join(lines, ["doc", "place"]).join(other, ["to_doc", "to_place"])
+    other = lines.toDF(*TO_KEY, "to_line")
+    both = pairs.join(lines, [*KEY]).join(other, [*TO_KEY])
     sets = both.select(
-        "doc", "place", "to_doc", "to_place",
+        *KEY, *TO_KEY,
         F.array_distinct(words(F.lower("line"))).alias("x"), F.array_distinct(words(F.lower("to_line"))).alias("y"),
     )
     common = F.size(F.array_intersect("x", "y"))
-    return sets.select("doc", "place", "to_doc", "to_place", (5 * common >= 4 * (F.size("x") + F.size("y") - common)).alias("ok"))
+    return sets.select(*KEY, *TO_KEY, (5 * common >= 4 * (F.size("x") + F.size("y") - common)).alias("ok"))
 
 
 def repeated_lines(base: DataFrame) -> DataFrame:
@@ -185,29 +188,29 @@ def repeated_lines(base: DataFrame) -> DataFrame:
     crowd = _crowd(_prefix_rows(base))
     first = F.col("copy") == 1
     near = _may_match("a", "hub")
-    not_hub = F.struct("a.doc", "a.place") != F.struct("hub.doc", "hub.place")
-    different = F.struct("a.doc", "a.place") != F.struct("b.doc", "b.place")
-    none = F.lit(None).cast("long")
-    copies = crowd.where((F.col("twin") > 1) & (F.col("a.at") == 0)).select("a.doc", "a.place", none.alias("to_doc"), none.alias("to_place"))
+    not_hub = _at("a") != _at("hub")
+    different = _at("a") != _at("b")
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(TO_KEY, ("long", "long", "int"))]
+    copies = crowd.where((F.col("twin") > 1) & (F.col("a.at") == 0)).select(*[f"a.{c}" for c in KEY], *none)
     near_hub = crowd.where(first & not_hub & near).select(*_pair("a", "hub"))
     apart = crowd.where(first & (F.col("c") > 2) & not_hub & ~near).select("token", "a")
     others = crowd.where(first & (F.col("c") > 2)).select("token", F.col("a").alias("b"))
     met = apart.join(others, "token").where(different & _may_match("a", "b")).select(*_pair("a", "b"))
     found = settle(copies.unionByName(near_hub).unionByName(met).distinct(), "pairs")
-    copies, pairs = found.where("to_doc IS NULL").select("doc", "place"), found.where("to_doc IS NOT NULL")
+    copies, pairs = found.where("to_doc IS NULL").select(*KEY), found.where("to_doc IS NOT NULL")
     judged = settle(_confirmed(base, pairs).distinct(), "judged")
-    gone = judged.where("ok").select("doc", "place")
+    gone = judged.where("ok").select(*KEY)
 
     # Lines that failed against a hub, which stands before them, and have matched nothing yet.
-    failed = judged.where("NOT ok").select("doc", "place").distinct()
-    open_lines = settle(failed.join(gone, ["doc", "place"], "left_anti"), "open")
+    failed = judged.where("NOT ok").select(*KEY).distinct()
+    open_lines = settle(failed.join(gone, [*KEY], "left_anti"), "open")
     if not open_lines.isEmpty():
-        marked = crowd.where(first & (F.col("c") > 2)).select("token", "a", F.col("a.doc").alias("doc"), F.col("a.place").alias("place"))
-        picked = marked.where(_wanted_filter(open_lines, "doc", "place"))
-        asks = picked.join(open_lines, ["doc", "place"], "left_semi").select("token", "a")
+        marked = crowd.where(first & (F.col("c") > 2)).select("token", "a", *[f"a.{c}" for c in KEY])
+        picked = marked.where(_wanted_filter(open_lines, *KEY))
+        asks = picked.join(open_lines, [*KEY], "left_semi").select("token", "a")
         again = asks.join(others, "token").where(different & _may_match("a", "b"))
-        left = again.select(*_pair("a", "b")).distinct().join(judged, ["doc", "place", "to_doc", "to_place"], "left_anti")
-        gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select("doc", "place"))
+        left = again.select(*_pair("a", "b")).distinct().join(judged, [*KEY, *TO_KEY], "left_anti")
+        gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select(*KEY))
     return _by_doc(gone.unionByName(copies), "gone")
 
 
@@ -217,8 +220,8 @@ def find_repeated_lines(docs: DataFrame) -> DataFrame:
     The lines are those that `remove_repeated_lines` removes; no text is shuffled to list them.
     """
     base = _base(docs)
-    counted = base.select("doc", "part", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    judged = counted.join(repeated_lines(base), ["doc", "part"], "left")
+    counted = base.select(*DOC, F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    judged = counted.join(repeated_lines(base), [*DOC], "left")
     removed = F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))
     return judged.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_lines",
@@ -241,7 +244,7 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     Texts with the same id are ordered by a hash; equal rows count as one document and get equal results.
     """
     base = _base(docs)
-    judged = base.join(repeated_lines(base).hint("shuffle_hash"), ["doc", "part"], "left")
+    judged = base.join(repeated_lines(base).hint("shuffle_hash"), [*DOC], "left")
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda x: _kept(x, F.col("gone"))))
     return judged.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
@@ -260,10 +263,10 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     gone = settle(repeated_lines(_base(docs)), "gone")
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = F.col(at["text"])
-    keyed = numbered.withColumns({"doc": F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID)), "part": _part(text)})
+    keyed = numbered.withColumns({"doc": _doc(F.col(at["doc_id"])), "part": _part(docs, text)})
     # Only documents that the filter picks are shuffled; the others are surely whole.
-    picked = _wanted_filter(gone, "doc", "part")
-    judged = keyed.where(picked).join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
+    picked = _wanted_filter(gone, *DOC)
+    judged = keyed.where(picked).join(gone.hint("shuffle_hash"), [*DOC], "left")
     left = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda x: _kept(x, F.col("gone"))))
     kept = judged.withColumn("left", left).where(F.col("gone").isNull() | _has_word(F.col("left")))
     new = {at["text"]: F.col("left")}

@@ -178,9 +178,9 @@ class Texts:
         return at, mixed(total)[at]
 
 
-def _tag(part: np.ndarray, at: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """part, position in the text and the flag in one number that orders like (part, position)."""
-    return (part.astype(np.int64) << 32) | (at.astype(np.int64) << 1) | sure.astype(np.int64)
+def _tag(at: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Position in the text and the flag in one number that orders like the position."""
+    return (at.astype(np.int64) << 1) | sure.astype(np.int64)
 
 
 def _first_in_batch(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -193,15 +193,19 @@ def _first_in_batch(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+def _spread(own: list[np.ndarray], tag: np.ndarray) -> np.ndarray:
     """Somewhere to go for rows that need to meet no others."""
-    return mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag.astype(np.uint64)).astype(np.int64)
+    name = tag.astype(np.uint64)
+    for key in own:
+        name = mixed(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + name)
+    return name.astype(np.int64)
 
 
-COUNTED = "route long, doc long, tag long"
+def _schema(keys: list[str], *more: str) -> str:
+    return ", ".join(["route long", *[f"{k} long" for k in keys], "tag long", *more])
 
 
-def _symbol_rows(docs: DataFrame) -> DataFrame:
+def _symbol_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Every telling symbol: once per batch under its name, further ones of the batch marked as sure to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,32 +221,25 @@ def _symbol_rows(docs: DataFrame) -> DataFrame:
             _, back, times = np.unique(name, return_inverse=True, return_counts=True)
             sure = times[back] > 1
             probe = _first_in_batch(name, start)
-            doc = batch.column("doc").to_numpy()[owner]
-            tag = _tag(batch.column("part").to_numpy()[owner], start - texts.starts[owner], sure)
-            route = np.where(probe, name.astype(np.int64), _spread(doc, tag))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, doc, tag)], names=["route", "doc", "tag"])
+            own = [batch.column(k).to_numpy()[owner] for k in keys]
+            tag = _tag(start - texts.starts[owner], sure)
+            route = np.where(probe, name.astype(np.int64), _spread(own, tag))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, *own, tag)], names=["route", *keys, "tag"])
 
-    return docs.mapInArrow(run, COUNTED)
+    return docs.mapInArrow(run, _schema(keys))
 
 
 def _repeated_symbols(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The document's keys, starts: where each text holds symbols that occur again somewhere in the corpus."""
     met = Window.partitionBy("route")
     sure = F.col("tag").bitwiseAND(F.lit(1))
-    counted = rows.select("doc", "tag", sure.alias("sure"), F.count(F.lit(1)).over(met).alias("times"), F.max(sure).over(met).alias("any"))
+    counted = rows.select(*keys, "tag", sure.alias("sure"), F.count(F.lit(1)).over(met).alias("times"), F.max(sure).over(met).alias("any"))
     again = counted.where("times > 1 OR any = 1 OR sure = 1")
-    return again.select(
-        "doc",
-        F.shiftright("tag", 32).cast("int").alias("part"),
-        F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("at"),
-    ).groupBy(*keys).agg(F.collect_list("at").alias("starts"))
+    return again.select(*keys, F.shiftright("tag", 1).cast("int").alias("at")).groupBy(*keys).agg(F.collect_list("at").alias("starts"))
 
 
-PACKED = "route long, doc long, tag long, n int, checks array<long>"
-
-
-def _candidates(docs: DataFrame) -> DataFrame:
-    """Windows that no unique symbol rules out, packed: route, doc, tag, n, checks.
+def _candidates(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows that no unique symbol rules out, packed: route, the document's keys, tag, n, checks.
 
     Equal windows hold equal telling symbols, so neighbouring windows go to the name of the first
     symbol that they hold together, as one row with a 64-bit hash per window. Windows that repeat an
@@ -275,18 +272,18 @@ def _candidates(docs: DataFrame) -> DataFrame:
             if not len(at):
                 continue
             owner = texts.owner(at)
-            doc, part = batch.column("doc").to_numpy()[owner], batch.column("part").to_numpy()[owner]
+            own = [batch.column(k).to_numpy()[owner] for k in keys]
             place = at - texts.starts[owner]
 
             rank = np.empty(len(at), np.int64)
-            rank[np.lexsort((place, part, doc))] = np.arange(len(at))
+            rank[np.lexsort((place, *reversed(own)))] = np.arange(len(at))
             probe = _first_in_batch(hash_, rank)
             lead = np.empty(len(at), np.int64)
             _, back = np.unique(hash_, return_inverse=True)
             lead[back[probe]] = np.flatnonzero(probe)
             lead = lead[back]
             # A repeated row is the same document: its windows are no later ones.
-            sure = ~probe & ((doc != doc[lead]) | (part != part[lead]) | (place != place[lead]))
+            sure = ~probe & np.logical_or.reduce([k != k[lead] for k in (*own, place)])
 
             # Contexts ascend with the symbols, so the first that begins inside is found by search.
             symbol = np.searchsorted(low, at)
@@ -294,37 +291,37 @@ def _candidates(docs: DataFrame) -> DataFrame:
             holds = (symbol < len(high)) & (high[inside] <= at + WINDOW) if len(high) else np.zeros(len(at), bool)
             route = np.where(holds, name[inside], hash_) if len(high) else hash_
             keep = probe | sure
-            at, hash_, doc, part, place, sure, route, owner = (x[keep] for x in (at, hash_, doc, part, place, sure, route, owner))
+            at, hash_, place, sure, route, owner, *own = (x[keep] for x in (at, hash_, place, sure, route, owner, *own))
             new = np.ones(len(at), bool)
             new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (sure[1:] != sure[:-1]) | (~sure[1:] & (route[1:] != route[:-1]))
             heads = np.flatnonzero(new)
             n = np.diff(np.append(heads, len(at)))
-            tag = _tag(part[heads], place[heads], sure[heads])
-            route = np.where(sure[heads], _spread(doc[heads], tag), route[heads].astype(np.int64))
+            own = [k[heads] for k in own]
+            tag = _tag(place[heads], sure[heads])
+            route = np.where(sure[heads], _spread(own, tag), route[heads].astype(np.int64))
             sizes = np.where(sure[heads], 0, n)
             offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
             checks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hash_[~sure].astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(doc[heads]), pa.array(tag), pa.array(n.astype(np.int32)), checks],
-                names=["route", "doc", "tag", "n", "checks"],
+                [pa.array(route), *map(pa.array, own), pa.array(tag), pa.array(n.astype(np.int32)), checks],
+                names=["route", *keys, "tag", "n", "checks"],
             )
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, _schema(keys, "n int", "checks array<long>"))
 
 
 def _repeated_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The document's keys, spans (start, n): windows whose words also start earlier."""
     sure = F.col("tag").bitwiseAND(F.lit(1)) == 1
-    part = F.shiftright("tag", 32).cast("int").alias("part")
-    start = F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("first")
+    start = F.shiftright("tag", 1).cast("int").alias("first")
     # Sure spans have no hashes, meet nobody, and pass through as they are.
     windows = rows.repartition("route").select(
-        "route", "doc", part, start, "n", sure.alias("sure"), F.posexplode_outer("checks").alias("k", "check")
+        "route", *keys, start, "n", sure.alias("sure"), F.posexplode_outer("checks").alias("k", "check")
     )
-    placed = windows.select("route", "check", "sure", "n", F.struct("doc", "part", (F.col("first") + F.coalesce("k", F.lit(0))).alias("at")).alias("place"))
+    placed = windows.select("route", "check", "sure", "n", F.struct(*keys, (F.col("first") + F.coalesce("k", F.lit(0))).alias("at")).alias("place"))
     met = placed.withColumn("earliest", F.min("place").over(Window.partitionBy("route", "check")))
     later = met.where("sure OR place > earliest").select(
-        "place.doc", "place.part", "place.at", F.when(F.col("sure"), F.col("n")).otherwise(1).alias("n")
+        *[f"place.{k}" for k in keys], "place.at", F.when(F.col("sure"), F.col("n")).otherwise(1).alias("n")
     )
     return later.groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
@@ -373,10 +370,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # A part tells apart different texts with the same id, where there are any.
     unique = named.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     keys = ["doc"] if unique else ["doc", "part"]
-    part = F.lit(0) if unique else F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    part = F.lit(0).cast("long") if unique else F.xxhash64("text")
     base = named.select("doc", part.alias("part"), "text")
     # The small side is hashed, so the texts are not sorted; both joins read the same columns.
-    symbols = _repeated_symbols(_symbol_rows(base), keys).hint("shuffle_hash")
-    windows = _repeated_windows(_candidates(base.join(symbols, keys, "left")), keys).hint("shuffle_hash")
+    symbols = _repeated_symbols(_symbol_rows(base, keys), keys).hint("shuffle_hash")
+    windows = _repeated_windows(_candidates(base.join(symbols, keys, "left"), keys), keys).hint("shuffle_hash")
     judged = base.join(windows, keys, "left")
     return _remove(judged.select(F.when(F.col("doc") != no_id, F.col("doc")).alias("doc_id"), "text", "spans"))

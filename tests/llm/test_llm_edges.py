@@ -78,6 +78,16 @@ def test_repeats_rules_for_repeated_rows_and_missing_ids(spark, plain):
     assert next(r for r in rows if r.doc_id == 12).n_removed == 300 - 20 + 19
 
 
+def test_repeats_of_texts_with_one_id(spark):
+    # The upper 31 bits of the two texts' hashes agree.
+    passage = " ".join(f"p{k}" for k in range(25))
+    own, copy = " ".join(f"a23307w{k}" for k in range(25)), f"{passage} b31914"
+    for i in (5, None):
+        docs = spark.createDataFrame([(i, own), (i, copy), (-(1 << 62) if i else None, passage)], "doc_id long, text string")
+        got = {r.text: r.n_removed for r in remove_repeats(docs).collect()}
+        assert got[own] == 0 and sum(got.values()) == 25
+
+
 def test_lines_rules(spark, plain):
     rows = {r.doc_id: r for r in remove_repeated_lines(plain).collect()}
     assert rows[1].text is None and rows[1].n_lines == 0
@@ -92,6 +102,16 @@ def test_lines_of_repeated_rows_stay(spark):
     assert listed(drop_repeated_lines(docs)) == [rows[0], rows[0], (2, "eta theta")]
 
 
+def test_lines_of_many_texts_without_ids(spark):
+    line = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(4))
+    texts = [f"{'one line in every other text' if i % 2 else line(i, 0)}\n{line(i, 1)}" for i in range(1000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    whole, cut = set(texts), {t.split("\n")[1] for t in texts[1::2]}
+    for out in (remove_repeated_lines(docs), drop_repeated_lines(docs)):
+        got = [r.text for r in out.collect()]
+        assert len(got) == len(set(got)) == 1000 and len(whole & set(got)) == 501 and len(cut & set(got)) == 499
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_on_awkward_and_empty_tables(spark, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
