@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -200,55 +201,129 @@ def _date(text: str, f: Feistel, back: bool) -> str | None:
     return None
 
 
+#: Characters of an IBAN by country, and digits after the country code of a phone where all numbers have as many.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+IBAN_LENGTHS = {country: n for n, countries in IBAN_COUNTRIES.items() for country in countries.split()}
+PHONE_DIGITS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "44": 10, "48": 9, "61": 9, "91": 10, "351": 9}
+
+
+def _stops(text: str, m: re.Match, follows: str) -> list[int]:
+    """Ends of words in a match, the last first; none of the characters that `follows` names stands behind."""
+    behind = re.compile(follows, re.ASCII)
+    return [e for e in range(m.end(), m.start(), -1) if text[e - 1].isalnum() and not behind.match(text, e)]
+
+
+def _whole(text: str, m: re.Match) -> list[int]:
+    return [m.end()]
+
+
+def _card_ends(text: str, m: re.Match) -> list[int]:
+    return [e for e in _stops(text, m, r"\d") if len(_only_digits(text[m.start() : e])) >= 13]
+
+
+def _iban_ends(text: str, m: re.Match) -> list[int]:
+    """The length of the country first."""
+    ends = {e: len(text[m.start() : e].replace(" ", "")) for e in _stops(text, m, "[A-Za-z0-9]")}
+    own = IBAN_LENGTHS.get(m[0][:2])
+    return sorted((e for e, n in ends.items() if n >= 15), key=lambda e: (ends[e] != own, -e))
+
+
+def _phone_ends(text: str, m: re.Match) -> list[int]:
+    """The country's own length first, or all of a number written without separators."""
+    code = re.match(r"\+(\d{1,3})[ ().-]", m[0])
+    plain = re.match(r"\+\d{7,15}(?!\d)", m[0])
+    own = len(plain[0]) - 1 if plain else len(code[1]) + PHONE_DIGITS.get(code[1], 15) if code else 0
+    ends = {e: len(_only_digits(text[m.start() : e])) for e in _stops(text, m, r"\w")}
+    return sorted((e for e, n in ends.items() if n == own or text[e : e + 1] != "-"), key=lambda e: (ends[e] != own, -e))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
     pattern: str
     change: Callable[[str, Feistel, bool], str | None]
+    #: Where a match may end, in the order to try.
+    ends: Callable[[str, re.Match], list[int]] = _whole
 
 
-#: Tried at each position in this order; a match that fails validation is left to the next kind.
+#: Tried in this order; where no end of a match is valid, the search goes on one character after its start.
+#: Cards in the usual groups go before other numbers of as many digits.
 RULES = (
     Kind("email", r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])", _email),
     Kind("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d)", _date),
     Kind("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ip),
     Kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
-    Kind("card", r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
-    Kind("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])", _phone),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, _iban_ends),
+    Kind("card", r"(?<![\d+])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -]?)\d{6}\2\d{4,5})(?!\d)", _card, _card_ends),
+    Kind("card", r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)", _card, _card_ends),
+    Kind("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])", _phone, _phone_ends),
     Kind("phone", r"(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])", _phone),
 )
 FINDERS = tuple((k, re.compile(k.pattern, re.ASCII)) for k in RULES)
 MAY_HOLD = re.compile(r"[0-9@]")
 
 
+Match = tuple[int, int, Kind]
+
+
+def _matches(text: str, f: Feistel, back: bool) -> tuple[list[Match], list[Match]]:
+    """The valid matches in order of their starts, and those that were tried and are not valid."""
+    found: list[Match] = []
+    refused: list[Match] = []
+    taken = bytearray(len(text))
+    for kind, finder in FINDERS:
+        at = 0
+        while m := finder.search(text, at):
+            start = m.start()
+            at = start + 1
+            for end in kind.ends(text, m):
+                if taken.find(1, start, end) >= 0:
+                    continue
+                if kind.change(text[start:end], f, back) is None:
+                    refused.append((start, end, kind))
+                    continue
+                found.append((start, end, kind))
+                taken[start:end] = b"\1" * (end - start)
+                at = end
+                break
+    return sorted(found, key=lambda x: x[0]), sorted(refused, key=lambda x: x[0])
+
+
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with every valid match replaced, and (start, end, kind) of the matches in the input."""
+    """The text with every valid match replaced, and (start, end, kind) of the matches in the input.
+
+    A pseudonym must not make a refused match valid, or the way back would find other values. It is
+    replaced by its own pseudonym until it does not; the way back takes the same steps from the last
+    match to the first, so each sees the neighbours that it was chosen beside.
+    """
     if not MAY_HOLD.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for kind, finder in FINDERS:
-        for m in finder.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            new = kind.change(m[0], f, back)
-            if new is not None:
-                found.append((m.start(), m.end(), kind.name, new))
-        taken = [(a, b) for a, b, _, _ in found]
-    found.sort()
-    out, at = [], 0
-    for start, end, _, new in found:
-        out += [text[at:start], new]
-        at = end
-    return "".join(out) + text[at:], [(a, b, k) for a, b, k, _ in found]
+    found, refused = _matches(text, f, back)
+    starts, longest = [a for a, _, _ in refused], max((b - a for a, b, _ in refused), default=0)
+    out = list(text)
+    for start, end, kind in reversed(found) if back else found:
+        beside = refused[bisect_left(starts, start - longest) : bisect_left(starts, end)]
+        rivals = [x for x in beside if x[1] > start]
+        while True:
+            new = kind.change("".join(out[start:end]), f, back)
+            # An address may change its length; no other match cuts it.
+            out[start:end] = new if len(new) == end - start else [new] + [""] * (end - start - 1)
+            if all(k.change("".join(out[a:b]), f, back) is None for a, b, k in rivals):
+                break
+    return "".join(out), [(a, b, k.name) for a, b, k in found]
 
 
 def replace_personal_data(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False) -> DataFrame:
     """Whole texts with personal data replaced, spans in the input (`start:end:kind`), and counts by kind.
 
     Numbers and dates are replaced only if valid (check digits, ranges, calendar). Equal values get
-    equal pseudonyms in every document, and `back` with the same key restores the input. Needs
+    equal pseudonyms in every document, but for values whose pseudonym would read otherwise beside
+    the numbers next to them; `back` with the same key restores the input. Needs
     doc_id and text; other columns are ignored. NULL stays NULL and finds nothing; repeated rows
     give repeated results.
     """
