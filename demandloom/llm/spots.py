@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,36 @@ from demandloom.llm.common import STOP_WORDS, bound_batches, pick, settle
 #: Content words per chain.
 CHAIN = 2
 ANCHORS = frozenset(w.encode() for group in STOP_WORDS.values() for w in group)
-EDGES = b""".,;:!?()[]{}"'"""
+#: A word chosen by its hash opens a chain if no common word stands within so many words of it, and
+#: if none of so many words on either side has a smaller hash.
+BARREN, CHOSEN = 8, 2
 RANGE_ROWS = 4000
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots int, length_band int"
 
 
+def bare(word: str) -> str:
+    """The word without outer marks and symbols."""
+    start, end = 0, len(word)
+    while start < end and unicodedata.category(word[start])[0] in "PS":
+        start += 1
+    while start < end and unicodedata.category(word[end - 1])[0] in "PS":
+        end -= 1
+    return word[start:end]
+
+
+def _chosen(word: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Starts of chains of neighbouring words, where common words are missing; they depend on words nearby only."""
+    n = len(word)
+    counted = np.append(0, np.cumsum(anchor))
+    at = np.arange(n)
+    chosen = counted[np.minimum(at + BARREN + 1, n)] == counted[np.maximum(at - BARREN, 0)]
+    if chosen.any():
+        for i in range(1, CHOSEN + 1):
+            chosen[i:] &= word[i:] <= word[:-i]
+            chosen[:-i] &= word[:-i] <= word[i:]
+    return np.flatnonzero(chosen[: max(0, n - CHAIN)])
+
+
 class Spots:
     """Spot signatures of texts; remembers the hashes of words, up to a bound."""
 
@@ -30,31 +56,35 @@ class Spots:
         self.most = most_words
 
     def _word(self, word: bytes) -> int:
-        """Hash of a word without outer marks; the lowest bit tells anchors from content words."""
+        """Hash of a bare word, 0 for symbols alone; the lowest bit tells anchors from content words."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            bare = word.strip(EDGES)
-            found = xxhash.xxh3_64_intdigest(bare) & ~1 | (bare in ANCHORS)
+            kept = bare(word.decode()).encode()
+            found = xxhash.xxh3_64_intdigest(kept) & ~1 | (kept in ANCHORS) if kept else 0
             self.known[word] = found
         return found
 
     def signatures(self, text: str) -> np.ndarray:
-        """Ascending 32-bit signatures. A text with words but no full chain gets one for all its words."""
+        """Ascending 32-bit signatures, also of chains after chosen words. A text with words but no full chain gets one for all its words."""
         tokens = text.lower().encode("utf-8", "replace").split()
         if not tokens:
             return np.empty(0, np.uint32)
         word = np.fromiter(map(self._word, tokens), np.uint64, len(tokens))
+        word = word[word != 0]
         anchor = (word & np.uint64(1)).astype(bool)
         content, at = word[~anchor], np.flatnonzero(anchor)
         first = at - np.arange(len(at))  # content words before the anchor
         full = first + CHAIN <= len(content)
-        if not full.any():
-            return np.array([xxhash.xxh3_64_intdigest(word.tobytes()) >> 32], np.uint32)
-        mixed = word[at[full]]
+        extra = _chosen(word, anchor if full.any() else np.zeros(len(word), bool))
+        if not full.any() and not len(extra):
+            whole = word.tobytes() if len(word) else b" ".join(tokens)
+            return np.array([xxhash.xxh3_64_intdigest(whole) >> 32], np.uint32)
+        mixed = np.append(word[at[full]], word[extra])
         for i in range(CHAIN):
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + content[first[full] + i]
+            follows = np.append(content[first[full] + i], word[extra + 1 + i])
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + follows
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
 

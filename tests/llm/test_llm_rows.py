@@ -195,6 +195,26 @@ def test_chains_follow_anchors():
     assert len(Spots().signatures("")) == 0 and len(Spots().signatures("cat")) == 1
 
 
+@pytest.mark.parametrize("between", [" | ", " ", "%%% ", " the "])
+def test_near_copies_without_common_words_stay_near(between):
+    rng, spots = random.Random(4), Spots()
+    said = [f"{rng.choice(['zib', 'kor', 'mux'])}{rng.randrange(500)}" for _ in range(160)]
+    if between == "%%% ":
+        said[::9] = ["the"] * len(said[::9])
+    own = spots.signatures(between.join(said))
+    assert len(own) > 10
+    for at in (0, 40, 80, 159):
+        assert jaccard(own, spots.signatures(between.join([*said[:at], "edit", *said[at + 1 :]]))) > 0.6
+    assert jaccard(own, spots.signatures(between.join([*said[:120], *[f"new{i}" for i in range(40)]]))) > 0.4
+    assert jaccard(own, spots.signatures(between.join(f"other{i}" for i in range(160)))) < 0.1
+
+
+def test_common_words_are_bare():
+    assert (Spots().signatures("The%%% cat*** \u00absaw\u00bb |") == Spots().signatures("the cat saw")).all()
+    few, edited = "of the and in to " * 20, "of the and in to " * 19 + "of the cat in to"
+    assert 0.3 < jaccard(Spots().signatures(few), Spots().signatures(edited)) < 1
+
+
 def test_similar_pairs_equal_all_pairs(spark):
     prints = {r.fingerprint for r in fingerprint(spark.createDataFrame(corpus(), SCHEMA)).collect()}
     want = {(a, b) for a in prints for b in prints if a < b and jaccard(read(a), read(b)) >= 0.8}
