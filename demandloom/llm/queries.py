@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm.language import identify
 from demandloom.llm.lines import find_repeated_lines
+from demandloom.llm.merkle import manifest
 from demandloom.llm.mixing import mix
 from demandloom.llm.near import near_duplicates
 from demandloom.llm.packing import pack_documents
@@ -61,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -122,9 +122,64 @@ def _mixing(rounds: int = 12) -> str:
     )
 
 
+def _tree_sql(name: str, levels: int) -> list[str]:
+    """Levels of trees over a table `name`0 (tree, p, d): next nodes, and the siblings of each node where its tree goes on."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"{name}n{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k})")
+        parts.append(
+            f"{name}s{k} AS MATERIALIZED (SELECT a.tree, a.p, coalesce(string_agg(b.d, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS l, "
+            f"coalesce(string_agg(b.d, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS r, a.n > 1 AS used "
+            f"FROM {name}n{k} a JOIN {name}n{k} b ON a.tree = b.tree AND a.p // 8 = b.p // 8 GROUP BY a.tree, a.p, a.n)"
+        )
+        parts.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT tree, p // 8 AS p, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE min(d) END AS d "
+            f"FROM {name}n{k} GROUP BY tree, n, p // 8)"
+        )
+    return parts
+
+
+def _manifest(levels: int = 7, top_levels: int = 3) -> str:
+    """Unrolled levels: up to 8^7 documents of a language, and 8^3 languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    own = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32, bit by bit: a fold over the bytes, and in it one over the eight bits.
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+    )
+    parts = [
+        f"docs AS MATERIALIZED (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, sha256({own} || {field('text')}) AS d, "
+        f"CASE WHEN {crc} % 3 = 0 THEN sha256({own} || {field(lowered)}) END AS other FROM documents)",
+        "a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS p FROM docs)",
+        "a0 AS MATERIALIZED (SELECT tree, p, d FROM a)",
+        *_tree_sql("a", levels),
+        f"b AS MATERIALIZED (SELECT tree AS name, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS p FROM a{levels})",
+        "b0 AS MATERIALIZED (SELECT 't' AS tree, p, d FROM b)",
+        *_tree_sql("b", top_levels),
+        f"f0 AS MATERIALIZED (SELECT a.doc_id, a.d AS leaf, a.tree, a.p, b.p AS q, b.d AS subroot, (SELECT d FROM b{top_levels}) AS root, "
+        "coalesce(a.other, a.d) AS f, '' AS proof FROM a JOIN b ON a.tree = b.name)",
+    ]
+    steps = [(f"as{k}", "f.tree", "p", k) for k in range(levels)] + [(f"bs{k}", "'t'", "q", k) for k in range(top_levels)]
+    for i, (table, tree, at, k) in enumerate(steps):
+        parts.append(
+            f"f{i + 1} AS MATERIALIZED (SELECT f.doc_id, f.leaf, f.tree, f.p, f.q, f.subroot, f.root, "
+            f"CASE WHEN s.used THEN sha256(s.l || f.f || s.r) ELSE f.f END AS f, CASE WHEN s.used THEN f.proof || s.l || s.r ELSE f.proof END AS proof "
+            f"FROM f{i} f JOIN {table} s ON s.tree = {tree} AND s.p = f.{at} // {8 ** k})"
+        )
+    last = f"f{len(steps)}"
+    return (
+        "WITH " + ",\n".join(parts)
+        + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last}"
+    )
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_near_duplicates": NEAR,
     "op7_repeated_passages": REPEATS,
     "op8_source_mixing": _mixing(),
+    "op12_merkle_manifest": _manifest(),
 }
