@@ -9,6 +9,7 @@ from demandloom.llm.lines import find_repeated_lines
 from demandloom.llm.merkle import manifest
 from demandloom.llm.mixing import mix
 from demandloom.llm.near import near_duplicates
+from demandloom.llm.negatives import hard_negatives
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pseudonyms import replace_personal_data
 from demandloom.llm.quality import quality
@@ -16,6 +17,7 @@ from demandloom.llm.repeats import remove_repeats
 from demandloom.llm.secrets import find_secrets
 from demandloom.llm.spots import fingerprint
 from demandloom.llm.sql import ORACLES
+from demandloom.llm.warc import archived_pages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +64,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -77,7 +87,9 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_warc_index": op11_warc_index,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -176,10 +176,40 @@ def _manifest(levels: int = 7, top_levels: int = 3) -> str:
     )
 
 
+NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS place
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, p AS positive_id, place::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE place <= 3
+"""
+
+ARCHIVED = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d),
+r AS (SELECT page_id, n, p.d, CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM p JOIN f ON p.d = f.d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_near_duplicates": NEAR,
     "op7_repeated_passages": REPEATS,
     "op8_source_mixing": _mixing(),
+    "op11_warc_index": ARCHIVED,
     "op12_merkle_manifest": _manifest(),
+    "op13_hard_negatives": NEGATIVES,
 }

@@ -37,6 +37,6 @@ def test_stages_keep_what_their_operator_keeps(spark):
 
 def test_registered(spark, small):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     rows = entry.queries()["pipeline"](spark, small).collect()
     assert len(rows) > 50
