@@ -44,13 +44,31 @@ def _read(text: Column, date_format: str) -> Column:
     return F.when(text.rlike(_shape(date_format)), day)
 
 
+def _kind(date_format: str) -> str:
+    """What parts the pieces of a format: a sign, a month's name, or nothing."""
+    if "MMM" in date_format and "/" not in date_format:
+        return "name"
+    return next((c for c in "/.-" if c in date_format), "")
+
+
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Date of a text; NULL when no format fits.
 
-    The formats are only tried on texts of their shape, as a failed try is slow.
+    One look at the text tells which formats may fit, by their separator. These are only tried on
+    texts of their shape, as a failed try is slow.
     """
     trimmed = F.trim(text)
-    return F.coalesce(trimmed.try_cast("date"), *[_read(trimmed, f) for f in formats])
+    kinds: dict[str, list[str]] = {}
+    for f in formats:
+        kinds.setdefault(_kind(f), []).append(f)
+    read = {kind: F.coalesce(*[_read(trimmed, f) for f in group]) for kind, group in kinds.items()}
+    none = F.lit(None).cast("date")
+    # A time's AM or PM stands behind a slash, so slashes come before names.
+    found = F.when(F.contains(trimmed, F.lit("/")), read.get("/", none))
+    found = found.when(trimmed.rlike("[A-Za-z]{3}"), read.get("name", none))
+    for sign in (".", "-"):
+        found = found.when(F.contains(trimmed, F.lit(sign)), read.get(sign, none))
+    return F.coalesce(trimmed.try_cast("date"), found.otherwise(read.get("", none)))
 
 
 def horizon(start: Column | date | str, end: Column | date | str, granularity: str = "D") -> Column:

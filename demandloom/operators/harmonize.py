@@ -9,9 +9,10 @@ from demandloom.functions.dates import DATE_FORMATS, parse_date
 from demandloom.functions.names import guess_column
 from demandloom.schemas import NO_LOCATION, NO_SKU, SALES_ROLES
 from demandloom.sources.files import quoted
+from demandloom.sources.watch import UnreadableValues, Watch
 
 
-class UnreadableSales(ValueError):
+class UnreadableSales(UnreadableValues):
     """Sales with dates or quantities that cannot be read."""
 
 
@@ -38,11 +39,11 @@ def _as_number(column: Column) -> Column:
     return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
 
 
-def harmonize_sales(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+def harmonize_sales(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS, watch: Watch | None = None) -> DataFrame:
     """Sales roles first, all other columns after them under their own names.
 
-    Dates lose their time of day. Dates and quantities that cannot be read become NULL;
-    `unreadable_sales` counts them.
+    Dates lose their time of day. Dates and quantities that cannot be read become NULL; a `watch`
+    counts them in the same scan, `unreadable_sales` in one of its own.
     """
     roles = sales_columns(raw.columns)
     dtypes = dict(raw.dtypes)
@@ -52,13 +53,22 @@ def harmonize_sales(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) ->
     if clash:
         raise ValueError(f"columns {sorted(clash)} would repeat a sales role")
     sku, location = by_role.get("sku"), by_role.get("location")
-    return raw.select(
-        _as_date(quoted(by_role["date"]), dtypes[by_role["date"]], formats).alias("date"),
+    date, quantity = quoted(by_role["date"]), quoted(by_role["quantity"])
+    roles_first = [
+        _as_date(date, dtypes[by_role["date"]], formats).alias("date"),
         (quoted(sku).cast("string") if sku else F.lit(NO_SKU)).alias("sku"),
         (quoted(location).cast("string") if location else F.lit(NO_LOCATION)).alias("location"),
-        _as_number(quoted(by_role["quantity"])).alias("quantity"),
-        *[quoted(c) for c in rest],
-    )
+        _as_number(quantity).alias("quantity"),
+    ]
+    if watch is None:
+        return raw.select(*roles_first, *[quoted(c) for c in rest])
+    both = raw.select(*roles_first, *[quoted(c) for c in rest], date.alias("_date"), quantity.alias("_quantity"))
+    bad = {
+        "date": (F.col("_date").isNotNull() & F.col("date").isNull(), F.col("_date")),
+        # Not a number is a value, though one that counts as missing.
+        "quantity": (F.col("_quantity").isNotNull() & F.col("_quantity").try_cast("double").isNull(), F.col("_quantity")),
+    }
+    return watch.over(both, bad).drop("_date", "_quantity")
 
 
 def unreadable_sales(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandloom.operators.enrich import join_by_key
@@ -63,6 +63,47 @@ def daily_demand(
     )
 
 
+def period_end(day: Column, granularity: str) -> Column:
+    """Last day of the week, a Sunday, or of the month."""
+    return F.next_day(F.date_sub(day, 1), "Sun") if granularity == "W" else F.last_day(day)
+
+
+def period_start(end: Column, granularity: str) -> Column:
+    return F.date_sub(end, 6) if granularity == "W" else F.trunc(end, "month")
+
+
+def resample(daily: DataFrame, granularity: str) -> DataFrame:
+    """(sku, date, quantity, partial): demand by week or month, dated by the period's last day.
+
+    All periods from a SKU's first to its last are there, those without sales with 0. The first
+    is partial if the SKU's days begin after its first day, the last if they end before its last.
+    Both groupings share one exchange by SKU, and what is collected is bounded by the calendar.
+    """
+    if granularity not in ("W", "M"):
+        raise ValueError(f"granularity must be 'W' or 'M' here, not {granularity!r}")
+    dated = daily.where(F.col("date").isNotNull()).repartition("sku")
+    ends = dated.withColumn("end", period_end(F.col("date"), granularity))
+    periods = ends.groupBy("sku", "end").agg(F.sum("quantity").alias("quantity"), F.min("date").alias("first"), F.max("date").alias("last"))
+    packed = periods.groupBy("sku").agg(
+        F.map_from_entries(F.collect_list(F.struct("end", "quantity"))).alias("sums"), F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+    first, last = (period_end(F.col(c), granularity) for c in ("first", "last"))
+    if granularity == "W":
+        all_ends = F.sequence(first, last, F.expr("INTERVAL 7 DAY"))
+    else:
+        all_ends = F.transform(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH")), F.last_day)
+    rows = packed.select("sku", "sums", "first", "last", F.explode(all_ends).alias("date"))
+    begun_late = (F.col("first") > period_start(F.col("date"), granularity)) & (F.col("first") <= F.col("date"))
+    ended_early = (F.col("last") < F.col("date")) & (F.col("last") >= period_start(F.col("date"), granularity))
+    return rows.select("sku", "date", F.coalesce(F.col("sums")[F.col("date")], F.lit(0.0)).alias("quantity"), (begun_late | ended_early).alias("partial"))
+
+
+def whole_periods(periods: DataFrame) -> DataFrame:
+    """(sku, date, quantity) without partial periods, which would read as a fall in demand; a SKU that has no others keeps them."""
+    any_whole = F.max(~F.col("partial")).over(Window.partitionBy("sku"))  # a SKU's rows are bounded by the calendar
+    return periods.withColumn("_whole", any_whole).where("NOT partial OR NOT _whole").select("sku", "date", "quantity")
+
+
 def pack_series(
     daily: DataFrame, requested: DataFrame | None = None, partitions: int | None = None
 ) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.dates import horizon
 from demandloom.operators import explain, forecast, monitor, reports, scenario, supply
-from demandloom.operators.harmonize import UnreadableSales, harmonize_sales, unreadable_sales
-from demandloom.operators.history import daily_demand, pack_series, requested_skus
+from demandloom.operators.harmonize import UnreadableSales, harmonize_sales
+from demandloom.operators.history import daily_demand, pack_series, requested_skus, resample, whole_periods
 from demandloom.operators.profile import (
     column_roles,
     dataset_profile,
@@ -26,6 +26,7 @@ from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequ
 from demandloom.schemas import FORECAST_POINT
 from demandloom.sources.datasets import DatasetNotFound, Datasets
 from demandloom.sources.store import ResultNotFound, ResultStore, new_id
+from demandloom.sources.watch import BAD_VALUES, Watch
 
 HEADERS = {
     "forecasts": (
@@ -52,11 +53,18 @@ def forecast_fits(
     if isinstance(requested, list):
         requested = requested_skus(spark, requested)
     daily = daily_demand(sales, signals, requested, request.location)
+    if request.resample and request.granularity != "D":
+        daily = whole_periods(resample(daily, request.granularity))
     series = pack_series(daily, requested, partitions)
     steps = horizon(request.start_date, request.end_date, request.granularity)
     return forecast.fit_models(series, steps, request.forced_model), requested
 
 
+def _one_way(on_unreadable: str) -> None:
+    if on_unreadable not in ("raise", "keep"):
+        raise ValueError(f"on_unreadable must be 'raise' or 'keep', not {on_unreadable!r}")
+
+
 class PlanningFlow:
     def __init__(self, spark: SparkSession, data_root: str, result_root: str):
         self.spark = spark
@@ -68,25 +76,40 @@ class PlanningFlow:
     def sales(self) -> DataFrame:
         return harmonize_sales(self.datasets.read("sales"))
 
-    def checked_sales(self, on_unreadable: str = "raise") -> tuple[DataFrame, Row]:
-        """Sales, and the counts (rows, bad_dates, bad_quantities) from a scan of their own.
-
-        Rows that cannot be read would be missing from every series, so they raise unless the
-        caller accepts them with `keep`.
-        """
-        if on_unreadable not in ("raise", "keep"):
-            raise ValueError(f"on_unreadable must be 'raise' or 'keep', not {on_unreadable!r}")
-        raw = self.datasets.read("sales")
-        counts = unreadable_sales(raw).first()
-        if on_unreadable == "raise" and counts.bad_dates + counts.bad_quantities > 0:
-            raise UnreadableSales(
-                f"{counts.bad_dates} dates and {counts.bad_quantities} quantities of {counts.rows} sales cannot be read"
-            )
-        return harmonize_sales(raw), counts
+    def watched_sales(self) -> tuple[DataFrame, Watch]:
+        """Sales, and the counts of what cannot be read, which the job that uses them fills."""
+        watch = Watch("sales")
+        return harmonize_sales(self.datasets.read("sales"), watch=watch), watch
 
     def signals(self) -> DataFrame:
         return self.datasets.read("external_signals")
 
+    def watched_signals(self) -> tuple[DataFrame, Watch]:
+        watch = Watch("external_signals")
+        return self.datasets.read("external_signals", watch), watch
+
+    def _judged(self, watches: list[Watch], on_unreadable: str, run_id: str | None = None) -> None:
+        """Raises if a job met values that it could not read, or keeps their counts in `bad_rows`."""
+        if on_unreadable == "raise":
+            for watch in watches:
+                bad = {column: n for column, (n, _) in watch.bad().items()}
+                if bad and watch.dataset == "sales":
+                    raise UnreadableSales(
+                        f"{bad.get('date', 0)} dates and {bad.get('quantity', 0)} quantities of {watch.rows} sales cannot be read"
+                    )
+                watch.check()
+        elif any(watch.bad() for watch in watches):
+            tables = [watch.table(self.spark) for watch in watches]
+            rows = tables[0]
+            for more in tables[1:]:
+                rows = rows.unionByName(more)
+            self.store.save("bad_rows", rows, "run_id", run_id or new_id())
+
+    def bad_rows(self, run_id: str) -> DataFrame:
+        """(dataset, column, bad, example) of a run that kept on with values it could not read."""
+        found = self.store.rows("bad_rows", "run_id", run_id)
+        return self.spark.createDataFrame([], BAD_VALUES) if found is None else found.drop("run_id")
+
     def preview(self, kind: str, limit: int = 20, order_by: list[str] | None = None) -> dict:
         """First rows of a dataset with its size, columns, roles and warnings."""
         df = self.datasets.read(kind)
@@ -113,22 +136,31 @@ class PlanningFlow:
     # --- forecast
 
     def create_forecast(self, request: ForecastRequest, on_unreadable: str = "raise") -> str:
-        """Id of the stored forecast; see `checked_sales` for sales that cannot be read."""
-        sales, counts = self.checked_sales(on_unreadable)
+        """Id of the stored forecast.
+
+        Values that cannot be read would be missing from the series. The job that fits the models
+        counts them as it reads sales and signals, and nothing is listed if there are any, unless
+        the caller accepts them with `keep`; `bad_rows` then has their counts.
+        """
+        _one_way(on_unreadable)
+        sales, sales_watch = self.watched_sales()
+        signals, signals_watch = self.watched_signals()
         forecast_id = new_id()
-        fits, requested = forecast_fits(sales, request, self.signals())
+        fits, requested = forecast_fits(sales, request, signals)
         self.store.save("fits", fits, "forecast_id", forecast_id)
+        self._judged([sales_watch, signals_watch], on_unreadable, forecast_id)
         fits = self.store.rows("fits", "forecast_id", forecast_id)
         if fits is not None:
             points = forecast.forecast_points(fits, requested)
             self.store.save("points", points, "forecast_id", forecast_id)
         # The header comes last: a forecast is listed only once it is whole.
         meta = forecast.METADATA
+        bad = {column: n for column, (n, _) in sales_watch.bad().items()}
         header = self.spark.range(1).select(
             F.lit(meta["model_name"]).alias("model_name"), F.lit(meta["model_version"]).alias("model_version"),
             F.array(*map(F.lit, meta["components"])).alias("components"), F.lit(meta["notes"]).alias("notes"),
-            F.lit(counts.rows).cast("bigint").alias("sales_rows"), F.lit(counts.bad_dates).cast("bigint").alias("unreadable_dates"),
-            F.lit(counts.bad_quantities).cast("bigint").alias("unreadable_quantities"),
+            F.lit(sales_watch.rows).cast("bigint").alias("sales_rows"), F.lit(bad.get("date", 0)).cast("bigint").alias("unreadable_dates"),
+            F.lit(bad.get("quantity", 0)).cast("bigint").alias("unreadable_quantities"),
             F.current_timestamp().alias("created_at"),
         )
         self.store.save("forecasts", header, "forecast_id", forecast_id)
@@ -205,12 +237,17 @@ class PlanningFlow:
 
     # --- explanation and reports
 
-    def explain(self, forecast_id: str) -> dict[str, DataFrame]:
+    def explain(self, forecast_id: str, on_unreadable: str = "raise") -> dict[str, DataFrame]:
+        _one_way(on_unreadable)
         points = self.points(forecast_id)
+        text = None
         try:
-            summary = explain.signal_summary(self.signals())
+            signals, watch = self.watched_signals()
+            text = explain.signal_summary(signals).first().summary
+            self._judged([watch], on_unreadable)
         except DatasetNotFound:
-            summary = self.spark.createDataFrame([(None,)], "summary string")
+            pass
+        summary = self.spark.createDataFrame([(text,)], "summary string")
         return {
             "global_importance": explain.global_drivers(self.spark),
             "by_sku": explain.drivers_by_sku(points),
@@ -261,11 +298,18 @@ class PlanningFlow:
 
     # --- monitoring and training
 
+    def _naive_mean(self, on_unreadable: str) -> Row:
+        _one_way(on_unreadable)
+        sales, sales_watch = self.watched_sales()
+        signals, signals_watch = self.watched_signals()
+        row = monitor.train_naive_mean(sales, signals).first()
+        self._judged([sales_watch, signals_watch], on_unreadable)
+        return row
+
     def monitor(self, on_unreadable: str = "raise") -> dict:
-        sales, _ = self.checked_sales(on_unreadable)
-        return {"metric": "naive_mape", "value": monitor.naive_mape(sales, self.signals()).first().mape}
+        return {"metric": "naive_mape", "value": self._naive_mean(on_unreadable).value}
 
     def train(self, on_unreadable: str = "raise") -> None:
         """Fit the naive mean and log its error; a retraining job calls this again."""
-        sales, _ = self.checked_sales(on_unreadable)
-        self.store.log_run(monitor.train_naive_mean(sales, self.signals()))
+        row = self._naive_mean(on_unreadable)
+        self.store.log_run(self.spark.createDataFrame([row], "model_type string, metric string, value double, artifact string"))

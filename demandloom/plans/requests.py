@@ -35,6 +35,8 @@ class ForecastRequest:
     location: str | None = None
     forced_model: str | None = None
     external_signals: dict | None = None  # accepted, without effect
+    #: History by week or month where the forecast is; else a step of any length continues daily history.
+    resample: bool = False
 
     def __post_init__(self):
         _one_of("granularity", self.granularity, GRANULARITIES)

@@ -15,7 +15,8 @@ from demandloom.operators import catalog as cat
 from demandloom.operators import enrich, explain, forecast, history, monitor, profile, reports, scenario, supply
 from demandloom.operators.harmonize import harmonize_sales, unreadable_sales
 from demandloom.schemas import KINDS
-from demandloom.sources.files import typed
+from demandloom.sources.files import typed, unreadable_rows
+from demandloom.sources.infer import infer_types
 from demandloom.sources.star_views import StarViews, part_sku
 from demandloom.streaming.publish import as_events
 
@@ -172,6 +173,41 @@ def typed_signals(v: StarViews) -> DataFrame:
     return _rounded_signals(typed(_text_signals(v), "external_signals"))
 
 
+def _bad_text_signals(v: StarViews) -> DataFrame:
+    """The same with values that no one can read, where the day or the region says so."""
+    broken = {
+        "date": F.when(F.dayofmonth("date") == 31, F.concat(F.lit("31st of "), F.date_format("date", "MMM yyyy"))),
+        "is_holiday": F.when((F.col("location") == LOCATION) & (F.dayofmonth("date") == 1), F.lit("maybe")),
+        "price": F.when(F.dayofmonth("date") == 2, F.lit("12,50")),
+    }
+    text = _text_signals(v).withColumn("day", F.to_date("date"))
+    shown = [F.coalesce(broken[c].alias(c), F.col(c)).alias(c) if c in broken else F.col(c) for c in text.columns if c != "day"]
+    return text.withColumn("date", F.col("date").cast("string")).select("day", *shown)
+
+
+@query
+def bad_signals(v: StarViews) -> DataFrame:
+    """Signals set apart because a value of theirs cannot be read."""
+    return unreadable_rows(_bad_text_signals(v), "external_signals").select("day", "location", "unreadable")
+
+
+@query
+def inferred_types(v: StarViews) -> DataFrame:
+    """Types of the raw sales' columns and of some that are mixed, flags, keys or empty."""
+    line = F.col("Line")
+    raw = v.raw_sales().withColumns(
+        {
+            "Rush": F.when(line % 2 == 0, "True").otherwise("FALSE"),
+            "Mixed": F.when(line == 7, F.col("Region")).otherwise(F.col("Order Qty")),
+            "Zeros": F.concat(F.lit("00"), line.cast("string")),
+            "Empty": F.lit(None).cast("string"),
+            "Change": F.when(line > 2, F.concat(F.lit("-"), line.cast("string"), F.lit("e-2"))),
+            "Shipped": F.col("Order_Date"),
+        }
+    )
+    return infer_types(raw)
+
+
 @query
 def sales_with_signals(v: StarViews) -> DataFrame:
     return _rounded_signals(enrich.attach_signals(v.sales(), v.signals()))
@@ -215,6 +251,22 @@ def location_fallback(v: StarViews) -> DataFrame:
     return history.daily_demand(v.located_part_sales(), location=LOCATION)
 
 
+@query
+def resampled_week(v: StarViews) -> DataFrame:
+    return history.resample(history.daily_demand(v.part_sales()), "W")
+
+
+@query
+def resampled_month(v: StarViews) -> DataFrame:
+    return history.resample(history.daily_demand(v.part_sales()), "M")
+
+
+@query
+def whole_weeks(v: StarViews) -> DataFrame:
+    """Weekly history as a forecast by week takes it."""
+    return history.whole_periods(history.resample(history.daily_demand(v.brand_sales()), "W"))
+
+
 @query
 def event_demand(v: StarViews) -> DataFrame:
     return rounded(history.daily_demand(v.event_sales()))

@@ -181,10 +181,71 @@ def _naive(totals: str) -> str:
         FROM (SELECT total, avg(total) OVER () AS b FROM ({totals}))"""
 
 
+#: How a raw date is written, by line number modulo 7.
+_WRITTEN = "CASE \"Line\" % 7 " + " ".join(
+    f"WHEN {i} THEN {text}"
+    for i, text in enumerate(
+        [
+            "month(date) || '/' || day(date) || '/' || year(date)", "strftime(date, '%Y-%m-%d')", "month(date) || '/' || day(date) || '/' || strftime(date, '%y')",
+            "strftime(date, '%Y%m%d')", "month(date) || '-' || day(date) || '-' || year(date)", "day(date) || '.' || month(date) || '.' || year(date)",
+            "strftime(date, '%b ') || day(date) || ', ' || year(date)",
+        ]
+    )
+) + " END"
+_FORMATS = "['%m/%d/%Y', '%Y-%m-%d', '%m/%d/%y', '%Y%m%d', '%m-%d-%Y', '%d.%m.%Y', '%b %d, %Y']"
+
+
+def _inferred() -> str:
+    """Each text column judged by whether all its values pass a test, narrowest first."""
+    tests = {
+        "boolean": "lower({c}) IN ('true', 'false')",
+        "bigint": "regexp_full_match({c}, '[+-]?(0|[1-9][0-9]{{0,17}})')",
+        "double": "regexp_full_match({c}, '[+-]?((0|[1-9][0-9]*)([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')",
+        "date": f"try_strptime({{c}}, {_FORMATS}) IS NOT NULL",
+    }
+    columns = ["Order_Date", "Product ID", "Region", "Order Qty", "Invoice", "Line", "Rush", "Mixed", "Zeros", "Empty", "Change", "Shipped"]
+    parts = []
+    for pos, name in enumerate(columns):
+        c = f'"{name}"'
+        order = ["date", "boolean", "bigint", "double"] if "date" in name.lower() else ["boolean", "bigint", "double", "date"]
+        cases = " ".join(f"WHEN bool_and({tests[k].format(c=c)}) THEN '{k}'" for k in order)
+        kind = {"Product ID": "'string'", "Region": "'string'", "Line": "'int'"}.get(name, f"CASE WHEN count({c}) = 0 THEN 'double' {cases} ELSE 'string' END")
+        parts.append(f"SELECT {pos}::INTEGER AS pos, '{name}' AS name, {kind} AS dtype, count({c}) AS filled, count(*) - count({c}) AS missing FROM typed_text")
+    return f"""WITH typed_text AS (SELECT {_WRITTEN} AS "Order_Date", sku AS "Product ID", location AS "Region",
+        CAST(quantity AS VARCHAR) AS "Order Qty", "Invoice", "Line", CASE WHEN "Line" % 2 = 0 THEN 'True' ELSE 'FALSE' END AS "Rush",
+        CASE WHEN "Line" = 7 THEN location ELSE CAST(quantity AS VARCHAR) END AS "Mixed", '00' || "Line" AS "Zeros", NULL::VARCHAR AS "Empty",
+        CASE WHEN "Line" > 2 THEN '-' || "Line" || 'e-2' END AS "Change", {_WRITTEN} AS "Shipped" FROM raw_sales) """ + " UNION ALL ".join(parts)
+
+
+def _resampled(granularity: str, daily: str = "part_daily") -> str:
+    """Periods with zeros for those without sales, and whether the first and last are partial."""
+    end = {"W": "date + CAST((7 - isodow(date)) % 7 AS INTEGER)", "M": "last_day(date)"}[granularity]
+    start = {"W": "e - 6", "M": "CAST(date_trunc('month', e) AS DATE)"}[granularity]
+    steps = {
+        "W": "unnest(generate_series(first_end, last_end, INTERVAL 7 DAY))",
+        "M": "last_day(CAST(unnest(generate_series(date_trunc('month', first_end), date_trunc('month', last_end), INTERVAL 1 MONTH)) AS DATE))",
+    }[granularity]
+    return f"""WITH dated AS (SELECT sku, date, quantity, CAST({end} AS DATE) AS e FROM {daily}),
+        sums AS (SELECT sku, e, sum(quantity) AS quantity FROM dated GROUP BY sku, e),
+        spans AS (SELECT sku, min(date) AS first, max(date) AS last, min(e) AS first_end, max(e) AS last_end FROM dated GROUP BY sku),
+        ends AS (SELECT sku, first, last, first_end, last_end, CAST({steps} AS DATE) AS e FROM spans)
+        SELECT sku, e AS date, coalesce(quantity, 0.0::DOUBLE) AS quantity, (e = first_end AND first > {start}) OR (e = last_end AND last < e) AS partial
+        FROM ends LEFT JOIN sums USING (sku, e)"""
+
+
 RAW_SQL = {
     "harmonized_sales": 'SELECT date, sku, location, quantity, "Invoice", "Line" FROM raw_sales',
     "unreadable_values": """SELECT count(*) AS rows, count(*) FILTER (WHERE "Line" = 7) AS bad_dates,
         count(*) FILTER (WHERE quantity = 13) AS bad_quantities FROM raw_sales""",
+    "inferred_types": _inferred(),
+    "bad_signals": f"""SELECT day, location, concat_ws(',', CASE WHEN day(day) = 31 THEN 'date' END,
+        CASE WHEN location = '{LOCATION}' AND day(day) = 1 THEN 'is_holiday' END, CASE WHEN day(day) = 2 THEN 'price' END) AS unreadable
+        FROM (SELECT date AS day, location FROM signals) WHERE day(day) IN (2, 31) OR (location = '{LOCATION}' AND day(day) = 1)""",
+    "resampled_week": _resampled("W"),
+    "resampled_month": _resampled("M"),
+    "whole_weeks": f"""SELECT sku, date, quantity FROM (
+        SELECT *, bool_or(NOT partial) OVER (PARTITION BY sku) AS any_whole FROM ({_resampled('W', 'brand_daily').replace('WITH dated', 'WITH brand_daily AS (SELECT sku, date, sum(quantity) AS quantity FROM brand_sales GROUP BY sku, date), dated')}))
+        WHERE NOT partial OR NOT any_whole""",
     "guess_columns": f"""SELECT dataset, role, original AS "column" FROM (
         SELECT dataset, role, original, row_number() OVER (PARTITION BY dataset, role
             ORDER BY CASE WHEN cleaned = key THEN 0 ELSE 1 END, rank, place) AS r
