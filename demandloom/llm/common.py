@@ -61,6 +61,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, data: bytes, label: str) -> Column:
+    """Bytes as a value that plans name but do not hold: Spark prints a literal of their size in every text of a plan."""
+    return settle(spark.createDataFrame([(bytearray(data),)], "data binary"), label).scalar()
+
+
 def bound_batches(spark: SparkSession, rows: int = 256) -> None:
     """Limits the rows of a batch sent to Python, as one row may hold a text of 100 KB or more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import SPACES, let, pick, settle, words
+from demandloom.llm.common import SPACES, let, pick, settle, shipped, words
 
 #: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
 #: Rarity is measured in so many hash buckets of words. Any order gives the same result, a finer
@@ -51,7 +51,7 @@ def _hashes(text: Column) -> Column:
 
 
 def _byte(table: Column, at: Column) -> Column:
-    """Byte of a literal that holds ASCII only."""
+    """Byte of a value that holds ASCII only."""
     return F.ascii(F.substring(table, at + 1, 1).cast("string"))
 
 
@@ -72,22 +72,21 @@ def _rarity(base: DataFrame) -> Column:
     for r, value in packed.collect():
         for i in range(12):
             levels[12 * r + i] = value >> (5 * i) & 31
-    return F.lit(bytes(levels))
+    return shipped(base.sparkSession, bytes(levels), "levels")
 
 
 def _prefix_rows(base: DataFrame) -> DataFrame:
     """One row per prefix word of each line with words: token, set (hash of all words), at, n, bits, doc, part, place."""
-    levels = _rarity(base)
     size = 1 << SKETCH_BITS
     blank = F.xxhash64(F.lit(""))
 
     def ranked(t: Column) -> Column:
-        level = _byte(levels, t.bitwiseAND(size - 1).cast("int")).cast("long")
+        level = _byte(F.col("levels"), t.bitwiseAND(size - 1).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
 
     lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
     tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
-    sets = lines.select(*KEY, tokens.alias("tokens"))
+    sets = lines.withColumn("levels", _rarity(base)).select(*KEY, tokens.alias("tokens"))
     signed = sets.select(
         *KEY, "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1))).alias("bits"),
@@ -154,7 +153,7 @@ def _wanted_filter(ends: DataFrame, *key: str) -> Column:
     for r, bits in rows.collect():  # bounded by the size of the filter
         for i in range(10):
             table[10 * r + i] = 32 + (bits >> (6 * i) & 63)
-    byte = _byte(F.lit(bytes(table)), F.floor(place / 6).cast("int")) - 32
+    byte = _byte(shipped(ends.sparkSession, bytes(table), "filter"), F.floor(place / 6).cast("int")) - 32
     return F.call_function("shiftright", byte, (place % 6).cast("int")).bitwiseAND(1) == 1
 
 
