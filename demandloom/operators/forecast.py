@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.baseline import DEFAULT_BASE, band, baseline_value
 from demandloom.functions.fits import model_path
 from demandloom.functions.scores import mae, mape
+from demandloom.operators.pooled import fit_pooled
 from demandloom.session import bound_batches
 
 # Models in tie order with their metric prefix, and codes for the chosen one.
@@ -84,15 +85,23 @@ def series_mean() -> Column:
     return F.coalesce(F.try_divide(total, F.size("quantities")), F.lit(DEFAULT_BASE))
 
 
+def _no_path() -> Column:
+    return F.lit(None).cast("array<double>")
+
+
 def _days(dates: Column) -> Column:
     return F.transform(dates, lambda d: F.unix_date(d).cast("double"))
 
 
 def fit_models(
-    series: DataFrame, horizon: Column, model: str | None = None, true_holdout: bool = False
+    series: DataFrame, horizon: Column, model: str | None = None, true_holdout: bool = False, pooled: bool = False
 ) -> DataFrame:
     """Fit table over packed series.
 
+    With `pooled`, the boosted trees are grown over all SKUs together, see `operators.pooled`: once
+    without the hold-outs, for the scores, and once with all points. Both are jobs of their own over
+    the series, which should then be a stored table.
+
     By default the seasonal model is scored on the days that begin `n_val` points before the
     end of its own training part, as the original service does; `true_holdout` scores it on
     the hold-out days.
@@ -105,9 +114,12 @@ def fit_models(
     if not true_holdout:
         start = F.unix_date(F.element_at("train_dates", -F.col("n_val"))).cast("double")
         at = F.transform(F.sequence(F.lit(0), F.col("n_val") - 1), lambda i: start + i)
-    scored = score_paths(
-        split_holdout(series), {m: model_path(m, days, values, at, F.col("n_val")) for m in MODELS}
-    )
+    split = split_holdout(series)
+    holdout_paths = {m: model_path(m, days, values, at, F.col("n_val")) for m in MODELS}
+    if pooled:
+        trees = fit_pooled(split, "train", "train_dates")
+        holdout_paths["xgboost"] = _no_path() if trees is None else trees.path(values, F.col("n_val"))
+    scored = score_paths(split, holdout_paths)
 
     wanted = F.lit(forced) if forced else F.coalesce(best_model()["model"], F.lit("stub"))
     scored = scored.withColumn(
@@ -119,6 +131,9 @@ def fit_models(
         for m in MODELS
         if forced in (None, m)
     }
+    if pooled and "xgboost" in paths:
+        trees, chosen = fit_pooled(series), F.when(F.col("wanted") == "xgboost", F.col("quantities"))
+        paths["xgboost"] = _no_path() if trees is None else trees.path(chosen, F.size(horizon))
     final = scored.withColumns({f"_{m}": p for m, p in paths.items()})
     path = F.coalesce(*[F.col(f"_{m}") for m in paths]) if paths else F.lit(None).cast("array<double>")
     scores = [f"{prefix}_{kind}" for prefix in MODELS.values() for kind in ("mape", "mae")]

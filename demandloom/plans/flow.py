@@ -6,6 +6,8 @@ never computed twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,12 @@ def forecast_fits(
     request: ForecastRequest,
     signals: DataFrame | None = None,
     partitions: int | None = None,
+    stored: Callable[[DataFrame], DataFrame] = lambda series: series,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Fit table of a request over harmonised sales, and its (sku, seq) lines."""
+    """Fit table of a request over harmonised sales, and its (sku, seq) lines.
+
+    Pooled trees read the series three times, so `stored` is asked to write them first.
+    """
     spark = sales.sparkSession
     requested = request.skus
     if isinstance(requested, list):
@@ -57,7 +63,9 @@ def forecast_fits(
         daily = whole_periods(resample(daily, request.granularity))
     series = pack_series(daily, requested, partitions)
     steps = horizon(request.start_date, request.end_date, request.granularity)
-    return forecast.fit_models(series, steps, request.forced_model), requested
+    if request.pooled_trees:
+        series = stored(series)
+    return forecast.fit_models(series, steps, request.forced_model, pooled=request.pooled_trees), requested
 
 
 def _one_way(on_unreadable: str) -> None:
@@ -146,7 +154,12 @@ class PlanningFlow:
         sales, sales_watch = self.watched_sales()
         signals, signals_watch = self.watched_signals()
         forecast_id = new_id()
-        fits, requested = forecast_fits(sales, request, signals)
+
+        def stored(series: DataFrame) -> DataFrame:
+            self.store.save("series", series, "forecast_id", forecast_id)
+            return self.store.load("series", "forecast_id", forecast_id).drop("forecast_id")
+
+        fits, requested = forecast_fits(sales, request, signals, stored=stored)
         self.store.save("fits", fits, "forecast_id", forecast_id)
         self._judged([sales_watch, signals_watch], on_unreadable, forecast_id)
         fits = self.store.rows("fits", "forecast_id", forecast_id)

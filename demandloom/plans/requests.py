@@ -37,6 +37,8 @@ class ForecastRequest:
     external_signals: dict | None = None  # accepted, without effect
     #: History by week or month where the forecast is; else a step of any length continues daily history.
     resample: bool = False
+    #: Boosted trees grown over all SKUs together instead of each SKU's own.
+    pooled_trees: bool = False
 
     def __post_init__(self):
         _one_of("granularity", self.granularity, GRANULARITIES)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.dates import horizon
 from demandloom.functions.names import dataset_kind_from_file
 from demandloom.operators import catalog as cat
-from demandloom.operators import enrich, explain, forecast, history, monitor, profile, reports, scenario, supply
+from demandloom.operators import enrich, explain, forecast, history, monitor, pooled, profile, reports, scenario, supply
 from demandloom.operators.harmonize import harmonize_sales, unreadable_sales
 from demandloom.schemas import KINDS
 from demandloom.sources.files import typed, unreadable_rows
@@ -422,6 +422,36 @@ def _auto_fits(v: StarViews, sales: DataFrame) -> DataFrame:
     return forecast.fit_models(history.pack_series(history.daily_demand(sales)), _steps())
 
 
+@query
+def lag_rows(v: StarViews) -> DataFrame:
+    """What the pooled trees learn from: every part's days with the day before."""
+    return rounded(pooled.lag_rows(history.pack_series(history.daily_demand(v.part_sales()))), 6)
+
+
+def _pooled_paths(v: StarViews, sales: DataFrame) -> DataFrame:
+    series = history.pack_series(history.daily_demand(sales))
+    trees = pooled.fit_pooled(series)
+    return series.select("sku", F.size("quantities").alias("history"), trees.path(F.col("quantities"), F.size(_steps())).alias("path"))
+
+
+@query
+def pooled_forecast(v: StarViews) -> DataFrame:
+    """Every part's demand by one set of trees; parts of fewer than six days have none."""
+    paths = _pooled_paths(v, v.part_sales()).where("path IS NOT NULL").withColumn("horizon", _steps())
+    steps = paths.select("sku", F.inline(F.arrays_zip("horizon", "path")))
+    return steps.select("sku", F.col("horizon").alias("date"), F.col("path").alias("mean"))
+
+
+@query
+def pooled_contract(v: StarViews) -> DataFrame:
+    """What holds for the pooled paths of every short series, whatever the trees say."""
+    paths = _pooled_paths(v, _short_sales(v))
+    return paths.select(
+        "sku", "history", F.coalesce(F.size("path"), F.lit(0)).alias("steps"),
+        F.coalesce(F.forall("path", lambda q: q >= 0), F.lit(True)).alias("not_below_zero"),
+    )
+
+
 @query
 def auto_forecast(v: StarViews) -> DataFrame:
     return forecast.forecast_points(_auto_fits(v, v.brand_sales()))

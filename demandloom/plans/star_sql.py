@@ -241,6 +241,13 @@ RAW_SQL = {
     "bad_signals": f"""SELECT day, location, concat_ws(',', CASE WHEN day(day) = 31 THEN 'date' END,
         CASE WHEN location = '{LOCATION}' AND day(day) = 1 THEN 'is_holiday' END, CASE WHEN day(day) = 2 THEN 'price' END) AS unreadable
         FROM (SELECT date AS day, location FROM signals) WHERE day(day) IN (2, 31) OR (location = '{LOCATION}' AND day(day) = 1)""",
+    "lag_rows": """SELECT sku, date, round(before / m, 6) AS previous, round(quantity / m, 6) AS value FROM (
+        SELECT sku, date, quantity, lag(quantity) OVER s AS before, CASE WHEN avg(quantity) OVER p > 0 THEN avg(quantity) OVER p ELSE 1 END AS m,
+            count(*) OVER p AS n FROM part_daily WINDOW s AS (PARTITION BY sku ORDER BY date), p AS (PARTITION BY sku))
+        WHERE n >= 6 AND before IS NOT NULL""",
+    "pooled_contract": """SELECT sku, CAST(count(*) AS INTEGER) AS history, CASE WHEN count(*) >= 6 THEN 30 ELSE 0 END AS steps, true AS not_below_zero
+        FROM (SELECT DISTINCT 'SKU-' || l_partkey || '-' || s_nationkey AS sku, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+        GROUP BY sku""",
     "resampled_week": _resampled("W"),
     "resampled_month": _resampled("M"),
     "whole_weeks": f"""SELECT sku, date, quantity FROM (
