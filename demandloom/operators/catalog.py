@@ -6,6 +6,8 @@ any size needs one shuffle by dataset, after map-side aggregation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,10 @@ def guess_columns(
     )
     order = F.struct("pos", "column")
     spelling = F.min_by("column", order) if by_candidate else F.max_by("column", order)
-    # Names that fit no role are left out before anything is shuffled.
+    # Names that fit no role are left out before anything is shuffled: one walk through each name for all words.
+    words = "|".join(sorted({re.escape(clean_name(c, style)) for candidates in roles.values() for c in candidates}))
     cleaned = catalog.withColumn("cleaned", clean_name_col(F.col("column"), style))
-    fitting = cleaned.where(F.exists(keys, lambda k: F.contains(F.col("cleaned"), k["key"])))
+    fitting = cleaned.where(F.col("cleaned").rlike(words))
     names = fitting.groupBy("dataset", "cleaned").agg(F.min(order).alias("place"), spelling.alias("column"))
     hits = names.select(
         "dataset", "place", "column", "cleaned",

@@ -46,15 +46,26 @@ def join_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if its counted size is within the session's threshold.
+    """The table with a broadcast hint if its measured size is within the session's threshold.
 
-    The count is a job of its own. It spares the far larger side a shuffle that Spark would have
-    begun before it knows the size of an aggregated table.
+    Texts and nested values are measured, fixed ones counted as 16 bytes. The measure is a job of its
+    own. It spares the far larger side a shuffle that Spark would have begun before it knows
+    the size of an aggregated table.
     """
     setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     least = int(SIZE.match(setting)[1]) * UNITS[SIZE.match(setting)[2].lower()]
-    width = 16 + sum(64 if t == "string" else 16 for _, t in df.dtypes)
-    return F.broadcast(df) if least > 0 and df.count() * width <= least else df
+    if least <= 0:
+        return df
+    width = F.lit(16).cast("bigint")
+    for name, kind in df.dtypes:
+        width = width + 16
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(quoted(name)), F.lit(0))
+        elif kind.startswith(("array", "map", "struct", "binary", "variant")):
+            # Text of a nested value; four times that is more than its binary form takes.
+            width = width + 4 * F.coalesce(F.octet_length(quoted(name).cast("string")), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= least else df
 
 
 def attach_signals(sales: DataFrame, signals: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.dates import parse_date
@@ -78,8 +78,9 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """One row: size, first six columns, distinct keys and date range, in one pass.
 
-    Rows are first summed by (sku, location), so each is read and shuffled once however many keys
-    are counted. The date range is left out if any date cannot be read.
+    Rows are first summed by (sku, location), so each is read once however many keys are counted, and
+    the keys are then counted over these pairs, spread by their values. The date range is left
+    out if any date cannot be read.
     """
     names = df.columns
     date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(False)
@@ -91,13 +92,9 @@ def dataset_profile(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(unreadable).alias("unreadable"),
         F.min(date.cast("date")).alias("first"), F.max(date.cast("date")).alias("last"),
     )
-    # A key's value counts in the first of its pairs.
-    for c in keys:
-        nth = F.row_number().over(Window.partitionBy(c).orderBy(*[k for k in keys if k != c] or [F.lit(1)]))
-        pairs = pairs.withColumn(f"new_{c}", F.col(c).isNotNull() & (nth == 1))
 
     def distinct(name: str) -> Column:
-        return F.count_if(F.col(f"new_{name}")) if name in keys else F.lit(None).cast("bigint")
+        return F.count_distinct(name) if name in keys else F.lit(None).cast("bigint")
 
     shown = ", ".join(names[:6]) + (f" (+{len(names) - 6} more columns)" if len(names) > 6 else "")
     readable = F.coalesce(F.sum("unreadable"), F.lit(0)) == 0

@@ -27,6 +27,7 @@ from demandloom.operators.profile import (
 from demandloom.plans.requests import ForecastRequest, PlanRequest, ScenarioRequest, shock_table
 from demandloom.schemas import FORECAST_POINT
 from demandloom.sources.datasets import DatasetNotFound, Datasets
+from demandloom.sources.files import read_csv
 from demandloom.sources.store import ResultNotFound, ResultStore, new_id
 from demandloom.sources.watch import BAD_VALUES, Watch
 
@@ -159,13 +160,14 @@ class PlanningFlow:
             self.store.save("series", series, "forecast_id", forecast_id)
             return self.store.load("series", "forecast_id", forecast_id).drop("forecast_id")
 
-        fits, requested = forecast_fits(sales, request, signals, stored=stored)
-        self.store.save("fits", fits, "forecast_id", forecast_id)
+        # Series are dealt to as many partitions as the store has buckets, so fits are written as they come.
+        fits, requested = forecast_fits(sales, request, signals, self.store.buckets, stored)
+        self.store.save_by_sku("fits", fits, "forecast_id", forecast_id, dealt=not request.pooled_trees)
         self._judged([sales_watch, signals_watch], on_unreadable, forecast_id)
-        fits = self.store.rows("fits", "forecast_id", forecast_id)
+        fits = self.store.by_sku("fits", "forecast_id", forecast_id)
         if fits is not None:
             points = forecast.forecast_points(fits, requested)
-            self.store.save("points", points, "forecast_id", forecast_id)
+            self.store.save_by_sku("points", points, "forecast_id", forecast_id)
         # The header comes last: a forecast is listed only once it is whole.
         meta = forecast.METADATA
         bad = {column: n for column, (n, _) in sales_watch.bad().items()}
@@ -176,19 +178,20 @@ class PlanningFlow:
             F.lit(bad.get("quantity", 0)).cast("bigint").alias("unreadable_quantities"),
             F.current_timestamp().alias("created_at"),
         )
-        self.store.save("forecasts", header, "forecast_id", forecast_id)
+        self.store.add_header("forecasts", header, "forecast_id", forecast_id)
         return forecast_id
 
     def points(self, forecast_id: str) -> DataFrame:
         self.store.one("forecasts", "forecast_id", forecast_id)
-        rows = self.store.rows("points", "forecast_id", forecast_id)
+        rows = self.store.by_sku("points", "forecast_id", forecast_id)
         if rows is None:
             return self.spark.createDataFrame([], FORECAST_POINT)
         return rows.select(*FORECAST_POINT.fieldNames())
 
     def fits(self, forecast_id: str) -> DataFrame:
         self.store.one("forecasts", "forecast_id", forecast_id)
-        return self.store.load("fits", "forecast_id", forecast_id)
+        fits = self.store.by_sku("fits", "forecast_id", forecast_id)
+        return self.store.load("fits", "forecast_id", forecast_id) if fits is None else fits
 
     def metrics(self, forecast_id: str) -> DataFrame:
         return forecast.metrics(self.fits(forecast_id))
@@ -208,7 +211,7 @@ class PlanningFlow:
             F.lit(request.forecast_id).alias("forecast_id"), F.lit(request.location).cast("string").alias("location"),
             F.current_timestamp().alias("created_at"),
         )
-        self.store.save("plans", header, "plan_id", plan_id)
+        self.store.add_header("plans", header, "plan_id", plan_id)
         return plan_id
 
     def plan_table(self, table: str, plan_id: str) -> DataFrame | None:
@@ -239,7 +242,7 @@ class PlanningFlow:
             "forecast_id", F.col("base_plan_id").alias("plan_id"), "name", "kpi", "base", "scenario", "delta", "unit",
             "factor", "narrative", F.current_timestamp().alias("created_at"),
         )
-        self.store.save("scenarios", result, "scenario_id", scenario_id)
+        self.store.add_header("scenarios", result, "scenario_id", scenario_id)
         return scenario_id
 
     def scenarios(self, forecast_id: str | None = None, plan_id: str | None = None) -> DataFrame:
@@ -268,7 +271,7 @@ class PlanningFlow:
         }
 
     def headers(self, table: str) -> DataFrame:
-        saved = self.store.table(table)
+        saved = self.store.headers(table, f"{table.removesuffix('s')}_id")
         return self.spark.createDataFrame([], HEADERS[table]) if saved is None else saved
 
     def forecast_summary(self, forecast_id: str | None = None) -> str:
@@ -276,7 +279,7 @@ class PlanningFlow:
         row = header.first()
         if row is None:
             return "No forecasts are available in the current session."
-        fits = self.store.rows("fits", "forecast_id", row.forecast_id)
+        fits = self.store.by_sku("fits", "forecast_id", row.forecast_id)
         models = self.spark.createDataFrame([], "sku string, model string, seq string")
         if fits is not None:
             models = fits.select("sku", "model", F.col("sku").alias("seq"))
@@ -326,3 +329,37 @@ class PlanningFlow:
         """Fit the naive mean and log its error; a retraining job calls this again."""
         row = self._naive_mean(on_unreadable)
         self.store.log_run(self.spark.createDataFrame([row], "model_type string, metric string, value double, artifact string"))
+
+    def retrain(self, files: str, on_unreadable: str = "raise") -> dict:
+        """Train on all sales files that the pattern names, reading only those that are new or have changed.
+
+        What training needs of a file is kept under the file's path, size and time, one state for each. A
+        corrected file thus replaces what it said before, and a file that is gone no longer counts. A
+        file whose values cannot be read raises before its state counts. States are written one by
+        one, so a run that broke off goes on where it stopped. Returns the record and the files read.
+        """
+        _one_way(on_unreadable)
+        stamps = self.store.stamps(files)
+        if not stamps:
+            raise DatasetNotFound(f"no files at {files!r}")
+        known, read = self.store.known_states(), []
+        for path, key in stamps.items():
+            if key in known:
+                continue
+            watch = Watch("sales")
+            sales = harmonize_sales(read_csv(self.spark, path), watch=watch)
+            # Kept rows wait for the judgement: a state counts once its folder has its mark of success.
+            state = monitor.demand_state(sales, F.lit(path))
+            rows = state.persist()
+            try:
+                rows.count()
+                self._judged([watch], on_unreadable, key)
+                self.store.save_state(rows, key)
+            finally:
+                rows.unpersist()
+            read.append(path)
+        signals, signals_watch = self.watched_signals()
+        record = monitor.training_record(monitor.naive_mape_of_state(self.store.states(list(stamps.values())), signals)).first()
+        self._judged([signals_watch], on_unreadable)
+        self.store.log_run(self.spark.createDataFrame([record], "model_type string, metric string, value double, artifact string"))
+        return {**record.asDict(), "files_read": read}

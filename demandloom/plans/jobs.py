@@ -1,4 +1,7 @@
-"""Scheduled jobs: `spark-submit jobs.py {monitor,train,retrain} DATA RESULTS`."""
+"""Scheduled jobs: `spark-submit jobs.py {monitor,train,retrain} DATA RESULTS [SALES_FILES]`.
+
+`retrain` with a pattern of sales files reads only those that are new or have changed.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,11 @@ from demandloom.plans.flow import PlanningFlow
 from demandloom.session import get_session
 
 
-def run(job: str, flow: PlanningFlow) -> None:
+def run(job: str, flow: PlanningFlow, files: str | None = None) -> None:
     if job == "monitor":
         print(flow.monitor())
+    elif job == "retrain" and files:
+        print(flow.retrain(files))
     elif job in ("train", "retrain"):
         flow.train()
     else:
@@ -18,5 +23,5 @@ def run(job: str, flow: PlanningFlow) -> None:
 
 
 if __name__ == "__main__":
-    name, data, results = sys.argv[1:]
-    run(name, PlanningFlow(get_session(f"demandloom-{name}"), data, results))
+    name, data, results, *files = sys.argv[1:]
+    run(name, PlanningFlow(get_session(f"demandloom-{name}"), data, results), *files)

@@ -684,6 +684,23 @@ def naive_mape(v: StarViews) -> DataFrame:
     return rounded(monitor.naive_mape(v.part_sales()))
 
 
+def _states(v: StarViews) -> DataFrame:
+    """Sales in one source per brand, read twice: at first with other quantities, then corrected."""
+    first = monitor.demand_state(v.sales().withColumn("quantity", F.col("quantity") * 3), F.col("sku")).withColumn("read_at", F.lit(1))
+    return first.unionByName(monitor.demand_state(v.sales(), F.col("sku")).withColumn("read_at", F.lit(2)))
+
+
+@query
+def training_state(v: StarViews) -> DataFrame:
+    return monitor.newest_sources(_states(v)).drop("read_at")
+
+
+@query
+def naive_mape_of_state(v: StarViews) -> DataFrame:
+    """The error of `naive_mape_repeated_signals` from states alone."""
+    return rounded(monitor.naive_mape_of_state(monitor.newest_sources(_states(v)), v.order_signals()))
+
+
 @query
 def naive_mape_repeated_signals(v: StarViews) -> DataFrame:
     return rounded(monitor.naive_mape(v.sales(), v.order_signals()))

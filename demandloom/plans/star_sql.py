@@ -380,7 +380,9 @@ RAW_SQL = {
     "demand_by_date": f"SELECT date, label, {_rounded('mean q10 q90', 2)} FROM by_date",
     "first_periods": """SELECT date, strftime(date, '%m-%d') AS label, sum(quantity) AS mean, sum(quantity) AS q10, sum(quantity) AS q90
         FROM part_sales GROUP BY date ORDER BY date LIMIT 30""",
-    "demand_pivot": "PIVOT (SELECT date, sku, mean FROM brand_points) ON sku USING round(avg(mean), 4) GROUP BY date",
+    "demand_pivot": "SELECT date, "
+    + ", ".join(f"round(avg(mean) FILTER (sku = 'Brand#{i}'), 4) AS \"Brand#{i}\"" for i in range(1, 26))
+    + " FROM brand_points GROUP BY date",
     "demand_long": "SELECT date, sku, round(avg(mean), 4) AS mean FROM part_points GROUP BY date, sku",
     "band_limits": """SELECT round(hi, 2) AS max_band, round(lo, 2) AS min_band, CAST(greatest(0, floor(lo * 0.9::DOUBLE)) AS BIGINT) AS axis_low,
         CAST(ceil(hi * 1.1::DOUBLE) AS BIGINT) AS axis_high FROM (
@@ -399,6 +401,11 @@ RAW_SQL = {
         """SELECT s.date, sum(quantity) AS total FROM sales s
         LEFT JOIN ordered o ON s.date = o.date AND s.location = o.location GROUP BY s.date"""
     ),
+    "naive_mape_of_state": _naive(
+        """SELECT s.date, sum(quantity) AS total FROM sales s
+        LEFT JOIN ordered o ON s.date = o.date AND s.location = o.location GROUP BY s.date"""
+    ),
+    "training_state": "SELECT sku AS source, date, location, sum(quantity) AS quantity, count(*) AS n FROM sales GROUP BY sku, date, location",
     "published_events": """SELECT 'events' AS topic, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type
         || '","day":"' || strftime(ts, '%Y-%m-%d') || '","value":' || CAST(value AS VARCHAR) || '}' AS value FROM events""",
     "typed_signals": f"SELECT date, location, is_holiday, {_rounded('temperature', 8)}, {_rounded(' '.join(_SIGNALS[2:]), 6)} FROM signals",
