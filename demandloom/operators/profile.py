@@ -109,6 +109,46 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     )
 
 
+#: Sketches of 2^13 registers: a standard error of about 0.9 % in 4 to 8 KB, whatever the number of keys.
+SKETCH_BITS = 13
+
+
+def profile_sketch(df: DataFrame) -> DataFrame:
+    """One row that stands for a dataset among others: sizes, dates, and sketches of its keys.
+
+    One pass without a shuffle of keys. Rows of many uploads, kept as they come in, are put together by
+    `merged_profile` without a second look at the uploads.
+    """
+    names = df.columns
+    date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(False)
+    if dict(df.dtypes).get("date") == "string":
+        date = parse_date(quoted("date"))
+        unreadable = quoted("date").isNotNull() & date.isNull()
+
+    def sketch(name: str) -> Column:
+        return F.hll_sketch_agg(quoted(name).cast("string"), SKETCH_BITS) if name in names else F.lit(None).cast("binary")
+
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(unreadable).alias("unreadable"),
+        F.min(date.cast("date")).alias("first"), F.max(date.cast("date")).alias("last"),
+        sketch("sku").alias("skus"), sketch("location").alias("locations"),
+    )
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """(uploads, rows, skus, locations, first_date, last_date) over any number of sketch rows; keys are estimates."""
+    readable = F.coalesce(F.sum("unreadable"), F.lit(0)) == 0
+
+    def estimate(name: str) -> Column:
+        # Rows of datasets without the column hold no sketch.
+        return F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name)
+
+    return sketches.agg(
+        F.count(F.lit(1)).alias("uploads"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), estimate("skus"), estimate("locations"),
+        F.when(readable, F.min("first")).alias("first_date"), F.when(readable, F.max("last")).alias("last_date"),
+    )
+
+
 def profile_text(profile: DataFrame, kind: str, source: str) -> DataFrame:
     """The profile as a sentence."""
     return profile.select(

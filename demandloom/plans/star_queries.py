@@ -148,6 +148,20 @@ def dataset_profile(v: StarViews) -> DataFrame:
     return profile.dataset_profile(v.sales())
 
 
+@query
+def merged_profile(v: StarViews) -> DataFrame:
+    """The profile of all sales from the sketches of one upload per year, and whether its number of SKUs is within 4 %."""
+    sales = v.located_part_sales().withColumn("upload", F.year("date"))
+    own = sales.groupBy("upload").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(0).alias("unreadable"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.hll_sketch_agg("sku", profile.SKETCH_BITS).alias("skus"), F.hll_sketch_agg("location", profile.SKETCH_BITS).alias("locations"),
+    )
+    exact = sales.agg(F.count_distinct("sku")).scalar()
+    return profile.merged_profile(own).select(
+        "uploads", "rows", (F.abs(F.col("skus") - exact) <= 0.04 * exact).alias("skus_close"), "locations", "first_date", "last_date"
+    )
+
+
 @query
 def default_skus(v: StarViews) -> DataFrame:
     return profile.default_skus(v.raw_sales(), ["Invoice", "Line"])

@@ -289,6 +289,8 @@ RAW_SQL = {
     "dataset_preview": "SELECT date, sku, location, quantity FROM sales ORDER BY date, sku, location, quantity LIMIT 20",
     "dataset_profile": """SELECT count(*) AS rows, 4 AS columns, 'date, sku, location, quantity' AS column_text,
         count(DISTINCT sku) AS skus, count(DISTINCT location) AS locations, min(date) AS first_date, max(date) AS last_date FROM sales""",
+    "merged_profile": """SELECT count(DISTINCT year(date)) AS uploads, count(*) AS rows, true AS skus_close,
+        count(DISTINCT location) AS locations, min(date) AS first_date, max(date) AS last_date FROM part_sales""",
     "default_skus": """SELECT CAST(row_number() OVER (ORDER BY seen, sku) - 1 AS INTEGER) AS place, sku FROM (
         SELECT sku, min(struct_pack(a := "Invoice", b := "Line")) AS seen FROM raw_sales GROUP BY sku ORDER BY seen, sku LIMIT 20)""",
     "default_dates": "SELECT min(date) AS start_date, max(date) AS end_date FROM raw_sales",
