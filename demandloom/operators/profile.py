@@ -78,9 +78,9 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """One row: size, first six columns, distinct keys and date range, in one pass.
 
-    Rows are first summed by (sku, location), so each is read once however many keys are counted, and
-    the keys are then counted over these pairs, spread by their values. The date range is left
-    out if any date cannot be read.
+    Rows are first summed by (sku, location). Each key is then counted over these pairs by an
+    aggregate of its own; all of them sum the same columns, so Spark reads and shuffles the rows once. The
+    date range is left out if any date cannot be read.
     """
     names = df.columns
     date, unreadable = (quoted("date") if "date" in names else F.lit(None).cast("date")), F.lit(False)
@@ -93,19 +93,26 @@ def dataset_profile(df: DataFrame) -> DataFrame:
         F.min(date.cast("date")).alias("first"), F.max(date.cast("date")).alias("last"),
     )
 
-    def distinct(name: str) -> Column:
-        return F.count_distinct(name) if name in keys else F.lit(None).cast("bigint")
+    def summed(key: str | None = None) -> list[Column]:
+        own = [F.count(key).alias("keys")] if key else []
+        return [*own, F.sum("n").alias("n"), F.sum("unreadable").alias("unreadable"), F.min("first").alias("first"), F.max("last").alias("last")]
+
+    def counted(key: str) -> Column:
+        if key not in keys:
+            return F.lit(None).cast("bigint")
+        each = pairs.groupBy(key).agg(*summed())
+        return each.agg(F.struct(*summed(key)).alias("sums")).scalar()["keys"]
 
     shown = ", ".join(names[:6]) + (f" (+{len(names) - 6} more columns)" if len(names) > 6 else "")
-    readable = F.coalesce(F.sum("unreadable"), F.lit(0)) == 0
-    return pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    readable = F.coalesce(F.col("unreadable"), F.lit(0)) == 0
+    return pairs.agg(*summed()).select(
+        F.coalesce("n", F.lit(0)).alias("rows"),
         F.lit(len(names)).alias("columns"),
         F.lit(shown).alias("column_text"),
-        distinct("sku").alias("skus"),
-        distinct("location").alias("locations"),
-        F.when(readable, F.min("first")).alias("first_date"),
-        F.when(readable, F.max("last")).alias("last_date"),
+        counted("sku").alias("skus"),
+        counted("location").alias("locations"),
+        F.when(readable, F.col("first")).alias("first_date"),
+        F.when(readable, F.col("last")).alias("last_date"),
     )
 
 
@@ -176,8 +183,10 @@ def default_columns(names: list[str]) -> tuple[str | None, str | None]:
     )
 
 
-def default_skus(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
-    """(place, sku): first distinct non-blank text SKUs in row order."""
+def default_skus(df: DataFrame, order_by: list[str], limit: int = 20, preview_rows: int | None = None) -> DataFrame:
+    """(place, sku): first distinct non-blank text SKUs in row order, of the whole table or of a preview's rows alone."""
+    if preview_rows is not None:
+        df = preview(df, order_by, preview_rows)
     _, sku = default_columns(df.columns)
     if sku is None or dict(df.dtypes)[sku] != "string":
         return df.sparkSession.createDataFrame([], "place int, sku string")
@@ -188,8 +197,10 @@ def default_skus(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFra
     return kept.select(F.posexplode("kept").alias("place", "row")).select("place", F.col("row.sku").alias("sku"))
 
 
-def default_dates(df: DataFrame) -> DataFrame:
-    """One row: first and last readable date."""
+def default_dates(df: DataFrame, order_by: list[str] | None = None, preview_rows: int | None = None) -> DataFrame:
+    """One row: first and last readable date, of the whole table or of a preview's rows alone."""
+    if preview_rows is not None:
+        df = preview(df, order_by or df.columns, preview_rows)
     date, _ = default_columns(df.columns)
     value = F.lit(None).cast("date") if date is None else quoted(date)
     if date is not None and dict(df.dtypes)[date] == "string":

@@ -133,11 +133,16 @@ class PlanningFlow:
             "warnings": schema_warnings(df.columns, kind),
         }
 
-    def default_request(self, order_by: list[str] | None = None, limit: int = 20) -> ForecastRequest | None:
-        """Request for the first SKUs and the dates of the sales; None without dates or SKUs."""
+    def default_request(
+        self, order_by: list[str] | None = None, limit: int = 20, preview_rows: int | None = None
+    ) -> ForecastRequest | None:
+        """Request for the first SKUs and the dates of the sales; None without dates or SKUs.
+
+        `preview_rows` looks at the rows of a preview only, as a form does that has no others.
+        """
         sales = self.datasets.read("sales")
-        skus = [r.sku for r in default_skus(sales, order_by or sales.columns, limit).orderBy("place").collect()]
-        dates = default_dates(sales).first()
+        skus = [r.sku for r in default_skus(sales, order_by or sales.columns, limit, preview_rows).orderBy("place").collect()]
+        dates = default_dates(sales, order_by, preview_rows).first()
         if not skus or dates.start_date is None:
             return None
         return ForecastRequest(dates.start_date, dates.end_date, skus)

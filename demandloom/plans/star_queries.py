@@ -172,6 +172,15 @@ def default_dates(v: StarViews) -> DataFrame:
     return profile.default_dates(v.raw_sales())
 
 
+@query
+def preview_defaults(v: StarViews) -> DataFrame:
+    """SKUs and dates that a form takes from a preview of 20 rows, the feature being that it sees no others."""
+    order = ["Invoice", "Line", "Product ID", "Order Qty"]
+    dates = profile.default_dates(v.raw_sales(), order, 20)
+    span = dates.select(F.struct("start_date", "end_date").alias("d")).scalar()
+    return profile.default_skus(v.raw_sales(), order, 20, 20).select("place", "sku", span["start_date"].alias("start_date"), span["end_date"].alias("end_date"))
+
+
 # --- signals
 
 
@@ -414,6 +423,21 @@ def fallback_forecast(v: StarViews) -> DataFrame:
     return rounded(ends)
 
 
+@query
+def forced_contract(v: StarViews) -> DataFrame:
+    """What holds for each forced model on every short series: it is skipped below its least history, and never falls below 0."""
+    series = history.pack_series(history.daily_demand(_short_sales(v)))
+    rows = None
+    for name in forecast.MODELS:
+        fits = forecast.fit_models(series, _steps(), name)
+        part = fits.select(
+            "sku", F.lit(name).alias("forced"), "model", F.coalesce(F.size("path"), F.lit(0)).alias("steps"),
+            F.coalesce(F.forall("path", lambda q: q >= 0), F.lit(True)).alias("not_below_zero"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query
 def fit_contract(v: StarViews) -> DataFrame:
     """What holds for the fits of every brand, whatever the models say."""

@@ -245,6 +245,16 @@ RAW_SQL = {
         SELECT sku, date, quantity, lag(quantity) OVER s AS before, CASE WHEN avg(quantity) OVER p > 0 THEN avg(quantity) OVER p ELSE 1 END AS m,
             count(*) OVER p AS n FROM part_daily WINDOW s AS (PARTITION BY sku ORDER BY date), p AS (PARTITION BY sku))
         WHERE n >= 6 AND before IS NOT NULL""",
+    "preview_defaults": """SELECT CAST(row_number() OVER (ORDER BY seen, sku) - 1 AS INTEGER) AS place, sku, start_date, end_date FROM (
+        SELECT sku, min(struct_pack(a := "Invoice", b := "Line", c := sku, d := CAST(quantity AS VARCHAR))) AS seen FROM (
+            SELECT * FROM raw_sales ORDER BY "Invoice", "Line", sku, CAST(quantity AS VARCHAR) LIMIT 20) GROUP BY sku)
+        CROSS JOIN (SELECT min(date) AS start_date, max(date) AS end_date FROM (
+            SELECT * FROM raw_sales ORDER BY "Invoice", "Line", sku, CAST(quantity AS VARCHAR) LIMIT 20))""",
+    "forced_contract": """SELECT sku, forced, CASE WHEN n >= least_history THEN forced ELSE 'stub' END AS model,
+        CASE WHEN n >= least_history THEN 30 ELSE 0 END AS steps, true AS not_below_zero
+        FROM (SELECT sku, count(*) AS n FROM (
+            SELECT DISTINCT 'SKU-' || l_partkey || '-' || s_nationkey AS sku, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY sku)
+        CROSS JOIN (VALUES ('arima', 4), ('prophet', 4), ('xgboost', 6)) m(forced, least_history)""",
     "pooled_contract": """SELECT sku, CAST(count(*) AS INTEGER) AS history, CASE WHEN count(*) >= 6 THEN 30 ELSE 0 END AS steps, true AS not_below_zero
         FROM (SELECT DISTINCT 'SKU-' || l_partkey || '-' || s_nationkey AS sku, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
         GROUP BY sku""",

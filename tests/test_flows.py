@@ -268,6 +268,8 @@ def test_preview_and_default_request(flow):
     request = flow.default_request(["Order_Date", "Product"])
     assert request.skus == ["SKU-001", "SKU-002"]
     assert (request.start_date, request.end_date) == (dt.date(2024, 11, 20), dt.date(2024, 12, 29))
+    seen = flow.default_request(["Order_Date", "Product"], preview_rows=3)
+    assert seen.skus == ["SKU-001", "SKU-002"] and (seen.start_date, seen.end_date) == (dt.date(2024, 11, 20), dt.date(2024, 11, 21))
 
 
 def test_missing_plans_are_told_apart(flow):
