@@ -140,14 +140,43 @@ def _iban(text: str, f: Feistel, back: bool) -> str | None:
     return "".join(c if c == " " else next(flat) for c in text)
 
 
+# Country codes of two digits; 1 and 7 stand alone, all others have three.
+TWO_DIGIT_CODES = set(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def country_code(digits: str) -> str:
+    """The country code that begins an international number; no code begins another, so no separator is needed."""
+    return digits[: 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+
+
+def _american(digits: str, f: Feistel, back: bool) -> str:
+    """Ten national digits of +1: numbers with a valid area and exchange become such, all others others."""
+    valid = lambda d: d[0] >= "2" and d[3] >= "2"
+    if valid(digits):
+        value = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
+        value, line = divmod(f.permute(value, 800 * 800 * 10_000, "phone1", back), 10_000)
+        return f"{value // 800 + 200}{value % 800 + 200}{line:04d}"
+    new = f.digits(digits, "phone", back)
+    while valid(new):  # a walk that starts and ends among the others permutes them
+        new = f.digits(new, "phone", back)
+    return new
+
+
 def _phone(text: str, f: Feistel, back: bool) -> str | None:
-    """The country code of numbers written with + stays; 7 to 15 digits in all."""
+    """The country code stays, and equal numbers stay equal in all written forms; 7 to 15 digits in all.
+
+    Ten digits without a code count as a number of +1.
+    """
     digits = _only_digits(text)
     if not 7 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})[ ().-]", text)
-    keep = len(code[1]) if code else 0
-    return _refill(text, digits[:keep] + f.digits(digits[keep:], "phone", back))
+    code = country_code(digits) if text.startswith("+") else ""
+    own = digits[len(code) :]
+    if code in ("", "1") and len(own) == 10:
+        return _refill(text, code + _american(own, f, back))
+    return _refill(text, code + f.digits(own, "phone", back))
 
 
 def _ssn(text: str, f: Feistel, back: bool) -> str | None:
