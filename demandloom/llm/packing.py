@@ -84,7 +84,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     """Bins for items with doc_id, n_tokens, source and cluster.
 
     Items longer than the capacity are cut into full pieces and a rest, none is lost. Pieces are
-    dealt to shards of about `shard_rows` by a hash, and each shard is packed by best fit,
+    dealt to shards of about `shard_rows` by a hash of their values and their place in the written table, and each shard is packed by best fit,
     longest piece first: the search goes on through the bins in order of their residual until one
     holds neither the source nor the cluster of the piece. A bin is named by (shard, bin). Items
     without tokens get no bin. A NULL source or cluster conflicts with nothing. Repeated rows are
@@ -104,12 +104,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
             F.least(F.col("n_tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("n_tokens"),
             "source",
             "cluster",
+            F.monotonically_increasing_id().alias("row"),
         ),
         "pieces",
     )
     filled = pieces.where("n_tokens > 0")
     shards = max(1, -(-filled.count() // shard_rows))
-    dealt = filled.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster"), F.lit(shards)).cast("int"))
+    # The written row's number parts the copies of a repeated row, which would else fill one shard.
+    key = F.xxhash64("doc_id", "piece", "source", "cluster", "row")
+    dealt = filled.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).drop("row")
 
     def run(group: pa.Table) -> pa.Table:
         return _pack_shard(group, capacity)
