@@ -51,8 +51,12 @@ def _hashes(text: Column) -> Column:
 
 
 def _byte(table: Column, at: Column) -> Column:
-    """Byte of a value that holds ASCII only."""
-    return F.ascii(F.substring(table, at + 1, 1).cast("string"))
+    """Byte of a value that holds ASCII only.
+
+    Never NULL, so that joins by what is made of it add no test for NULL below the exchange that all
+    uses of the crowd share.
+    """
+    return F.coalesce(F.ascii(F.substring(table, at + 1, 1).cast("string")), F.lit(0))
 
 
 def _flag(place: Column, width: int) -> Column:
