@@ -22,6 +22,9 @@ STOP_WORDS = {
 }
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds, also names that differ in case alone."""
     missing = [n for n in names if n not in docs.columns]
@@ -54,10 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Spark deletes the shuffle files of the write once it is done, as nothing needs them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import SPACES, let, pick, settle, shipped, words
+from demandloom.llm.common import SPACES, let, pick, settle, shipped
 
 #: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
 #: Rarity is measured in so many hash buckets of words. Any order gives the same result, a finer
@@ -22,6 +22,8 @@ TOKEN_BITS, LEFT_OUT = 58, 19
 
 #: A document, and a line of one.
 DOC, KEY = ("doc", "part"), ("doc", "part", "place")
+#: What tells the set of words of a line from others.
+SET = ("set", "n", "bits")
 TO_KEY = tuple(f"to_{c}" for c in KEY)
 
 
@@ -42,12 +44,25 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return F.length(F.trim(line, F.lit(SPACES))) > 0
+
+
+def _plain(text: Column) -> Column:
+    """The text in lower case, with one kind of blank."""
+    out = F.lower(text)
+    for blank in SPACES[1:]:  # many times faster than translate or a pattern
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
+
+
+def _pieces(text: Column) -> Column:
+    """The lower-cased words, and the empty text between neighbouring blanks."""
+    return F.split(_plain(text), " ")
 
 
 def _hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased words, and of the empty text between neighbouring blanks."""
-    return F.transform(F.split(F.translate(F.lower(text), SPACES, " " * len(SPACES)), " "), lambda w: F.xxhash64(w))
+    """64-bit hashes of the pieces."""
+    return F.transform(_pieces(text), lambda w: F.xxhash64(w))
 
 
 def _byte(table: Column, at: Column) -> Column:
@@ -64,41 +79,43 @@ def _flag(place: Column, width: int) -> Column:
 
 
 def _rarity(base: DataFrame) -> Column:
-    """Levels of the hash buckets of words, rarer words first: the bits of a bucket's count, 31 at most."""
-    bucket = lambda h: h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")
-    counts = base.select(F.explode(F.transform(_hashes(F.col("text")), bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    """Levels of the hash buckets of words, rarer words first: the bits of the number of texts with a word, 31 at most."""
+    found = base.select(F.explode(F.array_distinct(_hashes(F.col("text")))).alias("h"))
+    counts = found.groupBy(F.col("h").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(31), F.floor(F.log2("n")).cast("int") + 1).cast("long")
     # Twelve levels of five bits to a row: 2^19 buckets are 43,691 rows for the driver.
     packed = counts.groupBy(F.floor(F.col("b") / 12).cast("int").alias("r")).agg(
         F.bit_or(F.call_function("shiftleft", level, (F.col("b") % 12) * 5)).alias("levels")
     )
-    levels = bytearray(12 * ((1 << SKETCH_BITS) // 12 + 1))
+    levels = [0] * (12 * ((1 << SKETCH_BITS) // 12 + 1))
     for r, value in packed.collect():
         for i in range(12):
             levels[12 * r + i] = value >> (5 * i) & 31
-    return shipped(base.sparkSession, bytes(levels), "levels")
+    return settle(base.sparkSession.createDataFrame([(levels,)], "data array<tinyint>"), "levels").scalar()
 
 
-def _prefix_rows(base: DataFrame) -> DataFrame:
-    """One row per prefix word of each line with words: token, set (hash of all words), at, n, bits, doc, part, place."""
+def _sets(base: DataFrame) -> DataFrame:
+    """One row per line with words: doc, part, place, set (hash of all words), n, bits, prefix (rarest words first)."""
     size = 1 << SKETCH_BITS
     blank = F.xxhash64(F.lit(""))
 
     def ranked(t: Column) -> Column:
-        level = _byte(F.col("levels"), t.bitwiseAND(size - 1).cast("int")).cast("long")
+        level = F.get(F.col("levels"), t.bitwiseAND(size - 1).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
 
     lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
     tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
     sets = lines.withColumn("levels", _rarity(base)).select(*KEY, tokens.alias("tokens"))
-    signed = sets.select(
-        *KEY, "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1))).alias("bits"),
-    )
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    rows = signed.select(*KEY, "set", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
-    return rows.withColumn("token", F.shiftright("token", LEFT_OUT))
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1)))
+    signed = sets.select(*KEY, "tokens", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("n"), bits.alias("bits"))
+    return signed.select(*KEY, *SET, F.slice("tokens", F.lit(1), length).alias("prefix"))
+
+
+def _firsts(sets: DataFrame) -> DataFrame:
+    """The first line of each set of words; lines are folded before the exchange, however often one repeats."""
+    return sets.groupBy(*SET).agg(F.min(F.struct(*KEY, "prefix")).alias("f")).select("f.*", *SET)
 
 
 def _by_doc(places: DataFrame, name: str) -> DataFrame:
@@ -121,32 +138,25 @@ def _may_match(a: str, b: str) -> Column:
 LINE = (*KEY, "n", "at", "bits")
 
 
-def _line(*more: str) -> Column:
-    return F.struct(*LINE, *more)
-
-
 def _at(a: str) -> Column:
     return F.struct(*[f"{a}.{c}" for c in KEY])
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    """The later line of the two first."""
-    swap = _at(a) < _at(b)
-    pick_ = lambda c, x, y: F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
-    return [pick_(c, a, b).alias(c) for c in KEY] + [pick_(c, b, a).alias(f"to_{c}") for c in KEY]
+def _pair(later: str, earlier: str) -> list[Column]:
+    return [F.col(f"{later}.{c}") for c in (*KEY, "n")] + [F.col(f"{earlier}.{c}").alias(f"to_{c}") for c in (*KEY, "n")]
 
 
-def _crowd(rows: DataFrame) -> DataFrame:
-    """Rows by word: line `a`, its `copy` number among lines with the same words, lines `c`, first line `hub`.
+def _crowd(firsts: DataFrame) -> DataFrame:
+    """Rows by prefix word: line `a`, lines `c` with the word, its first line `hub`, whether `a` may match it (`near`).
 
-    `twin` numbers the places that hold these words: the same place of an equal row is no other line.
-    A line travels as one struct, so that all uses of the crowd share a single exchange.
+    Words of one line are left out, and of two lines all but a candidate.
     """
-    lines = rows.select("token", "set", _line().alias("a")).repartition("token")
-    same = Window.partitionBy("token", "set").orderBy("a")
+    rows = firsts.select(*KEY, "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    lines = rows.select(F.shiftright("token", LEFT_OUT).alias("token"), F.struct(*LINE).alias("a"))
     word = Window.partitionBy("token")
-    counted = lines.withColumns({"copy": F.row_number().over(same), "twin": F.dense_rank().over(same)})
-    return counted.withColumns({"c": F.count_if(F.col("copy") == 1).over(word), "hub": F.min("a").over(word)})
+    counted = lines.withColumns({"c": F.count("*").over(word), "hub": F.min("a").over(word)})
+    judged = counted.withColumn("near", (_at("a") != _at("hub")) & _may_match("a", "hub"))
+    return judged.where((F.col("c") > 2) | (F.col("c") == 2) & F.col("near"))
 
 
 def _wanted_filter(ends: DataFrame, *key: str) -> Column:
@@ -162,58 +172,57 @@ def _wanted_filter(ends: DataFrame, *key: str) -> Column:
 
 
 def _confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with whether their full sets of words match. Only lines that the filter picks are shuffled."""
+    """The pairs with whether their full sets of words, of n and to_n words, match. Only lines that the filter picks are shuffled."""
     ends = pairs.select(*KEY).union(pairs.select(*TO_KEY))
     lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_wanted_filter(ends, *KEY))
     # Equal rows of the table hold equal lines; one of them is enough.
-    other = lines.toDF(*TO_KEY, "to_line")
-    both = pairs.join(lines, [*KEY]).join(other, [*TO_KEY])
-    sets = both.select(
-        *KEY, *TO_KEY,
-        F.array_distinct(words(F.lower("line"))).alias("x"), F.array_distinct(words(F.lower("to_line"))).alias("y"),
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.select(*KEY, *TO_KEY, (5 * common >= 4 * (F.size("x") + F.size("y") - common)).alias("ok"))
+    plain = lines.select(*KEY, _plain(F.col("line")).alias("line"))
+    other = plain.toDF(*TO_KEY, "to_line")
+    both = pairs.join(plain, [*KEY]).join(other, [*TO_KEY])
+    common = F.size(F.array_intersect(F.array_remove(F.split("line", " "), ""), F.split("to_line", " ")))
+    counted = both.select(*KEY, *TO_KEY, (F.col("n") + F.col("to_n")).alias("all"), common.alias("common"))
+    return counted.select(*KEY, *TO_KEY, (5 * F.col("common") >= 4 * (F.col("all") - F.col("common"))).alias("ok"))
 
 
 def repeated_lines(base: DataFrame) -> DataFrame:
     """doc, part, gone: line numbers of every line that matches an earlier line.
 
-    1. The words of each line, rarest first, are cut to the prefix. Lines with the same set of words
-       meet in the rows of their first word: all but the first go. Only the first takes part in
-       what follows.
+    1. The words of each line, rarest first, are cut to the prefix. Of lines with the same set of
+       words all but the first go. Only the first takes part in what follows.
     2. Lines that share a prefix word and pass the filters are candidates. Each line meets the hub of
        the word, which is its first line. A line that the filters keep apart from the hub meets all
        others of the word.
-    3. Candidates are confirmed on their full sets of words. A line that was only compared with
-       hubs and matched none meets all others of its words, so no match is missed.
+    3. Each line is compared with its first candidate on their full sets of words. A line that does
+       not match it meets its other candidates and all earlier lines of its words, so none is missed.
     """
-    crowd = _crowd(_prefix_rows(base))
-    first = F.col("copy") == 1
-    near = _may_match("a", "hub")
-    not_hub = _at("a") != _at("hub")
-    different = _at("a") != _at("b")
-    none = [F.lit(None).cast(t).alias(c) for c, t in zip(TO_KEY, ("long", "long", "int"))]
-    copies = crowd.where((F.col("twin") > 1) & (F.col("a.at") == 0)).select(*[f"a.{c}" for c in KEY], *none)
-    near_hub = crowd.where(first & not_hub & near).select(*_pair("a", "hub"))
-    apart = crowd.where(first & (F.col("c") > 2) & not_hub & ~near).select("token", "a")
-    others = crowd.where(first & (F.col("c") > 2)).select("token", F.col("a").alias("b"))
-    met = apart.join(others, "token").where(different & _may_match("a", "b")).select(*_pair("a", "b"))
-    found = settle(copies.unionByName(near_hub).unionByName(met).distinct(), "pairs")
-    copies, pairs = found.where("to_doc IS NULL").select(*KEY), found.where("to_doc IS NOT NULL")
-    judged = settle(_confirmed(base, pairs).distinct(), "judged")
+    sets = settle(_sets(base), "sets")
+    firsts = settle(_firsts(sets), "firsts")
+    # The same place of an equal row is no other line.
+    first = firsts.select(*SET, *[F.col(c).alias(f"to_{c}") for c in KEY])
+    copies = sets.select(*SET, *KEY).join(first, [*SET]).where(F.struct(*KEY) != F.struct(*TO_KEY)).select(*KEY)
+
+    crowd = settle(_crowd(firsts), "crowd")
+    earlier = _at("b") < _at("a")
+    others = crowd.where("c > 2").select("token", F.col("a").alias("b"))
+    near_hub = crowd.where("near").select(*_pair("a", "hub"))
+    apart = crowd.where((F.col("c") > 2) & ~F.col("near") & (_at("a") != _at("hub"))).select("token", "a")
+    met = apart.join(others, "token").where(_may_match("a", "b") & earlier).select(*_pair("a", "b"))
+    pairs = settle(near_hub.unionByName(met).distinct(), "pairs")
+    to = F.struct(*TO_KEY, "to_n")
+    tried = pairs.groupBy(*KEY, "n").agg(F.min(to).alias("to")).select(*KEY, "n", "to.*")
+    judged = settle(_confirmed(base, tried).distinct(), "judged")
     gone = judged.where("ok").select(*KEY)
 
-    # Lines that failed against a hub, which stands before them, and have matched nothing yet.
-    failed = judged.where("NOT ok").select(*KEY).distinct()
-    open_lines = settle(failed.join(gone, [*KEY], "left_anti"), "open")
+    open_lines = settle(judged.where("NOT ok").select(*KEY, *TO_KEY), "open")
     if not open_lines.isEmpty():
-        marked = crowd.where(first & (F.col("c") > 2)).select("token", "a", *[f"a.{c}" for c in KEY])
+        still = open_lines.select(*KEY)
+        marked = crowd.where("c > 2").select("token", "a", *[f"a.{c}" for c in KEY])
         picked = marked.where(_wanted_filter(open_lines, *KEY))
-        asks = picked.join(open_lines, [*KEY], "left_semi").select("token", "a")
-        again = asks.join(others, "token").where(different & _may_match("a", "b"))
-        left = again.select(*_pair("a", "b")).distinct().join(judged, [*KEY, *TO_KEY], "left_anti")
-        gone = gone.unionByName(_confirmed(base, settle(left, "pairs")).where("ok").select(*KEY))
+        asks = picked.join(still, [*KEY], "left_semi").select("token", "a")
+        again = asks.join(others, "token").where(_may_match("a", "b") & earlier).select(*_pair("a", "b"))
+        more = pairs.join(still, [*KEY], "left_semi").unionByName(again).distinct()
+        left = settle(more.join(open_lines, [*KEY, *TO_KEY], "left_anti"), "pairs")
+        gone = gone.unionByName(_confirmed(base, left).where("ok").select(*KEY))
     return _by_doc(gone.unionByName(copies), "gone")
 
 
