@@ -159,6 +159,26 @@ def _crowd(firsts: DataFrame) -> DataFrame:
     return judged.where((F.col("c") > 2) | (F.col("c") == 2) & F.col("near"))
 
 
+def _prefixes_allow(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs that may still match after their prefixes are compared whole; no match is left out.
+
+    Of two prefixes, words of the one that ends first and are not in the other are not in the other
+    line either. Words are cut to 16 bits, which can only make more of them look common.
+    """
+    short = F.transform("prefix", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("short"))
+    side = firsts.select(*KEY, F.element_at("prefix", -1).alias("end"), short.alias("cut"))
+    other = side.toDF(*TO_KEY, "to_end", "to_cut")
+    both = pairs.join(side, [*KEY]).join(other, [*TO_KEY])
+    same = F.size(F.array_intersect("cut", "to_cut"))
+    alike = F.size("cut") - F.size(F.array_distinct("cut"))  # words of one line that look alike
+    to_alike = F.size("to_cut") - F.size(F.array_distinct("to_cut"))
+    least = F.floor((4 * (F.col("n") + F.col("to_n")) + 8) / 9)
+    most = same + F.when(F.col("end") <= F.col("to_end"), alike + F.col("n") - F.size("cut")).otherwise(
+        to_alike + F.col("to_n") - F.size("to_cut")
+    )
+    return both.where(most >= least).select(*pairs.columns)
+
+
 def _wanted_filter(ends: DataFrame, *key: str) -> Column:
     """A test on the key that holds for all rows of the ends, and for few other rows."""
     place = F.pmod(F.xxhash64(*key), F.lit(6 * FILTER_BYTES))
@@ -193,7 +213,8 @@ def repeated_lines(base: DataFrame) -> DataFrame:
        the word, which is its first line. A line that the filters keep apart from the hub meets all
        others of the word.
     3. Each line is compared with its first candidate on their full sets of words. A line that does
-       not match it meets its other candidates and all earlier lines of its words, so none is missed.
+       not match it meets its other candidates and all earlier lines of its words, so none is missed;
+       these pairs first compare their whole prefixes, and only texts of those that pass are shuffled.
     """
     sets = settle(_sets(base), "sets")
     firsts = settle(_firsts(sets), "firsts")
@@ -221,7 +242,8 @@ def repeated_lines(base: DataFrame) -> DataFrame:
         asks = picked.join(still, [*KEY], "left_semi").select("token", "a")
         again = asks.join(others, "token").where(_may_match("a", "b") & earlier).select(*_pair("a", "b"))
         more = pairs.join(still, [*KEY], "left_semi").unionByName(again).distinct()
-        left = settle(more.join(open_lines, [*KEY, *TO_KEY], "left_anti"), "pairs")
+        left = settle(more.join(open_lines, [*KEY, *TO_KEY], "left_anti"), "more")
+        left = settle(_prefixes_allow(left, firsts), "pairs")
         gone = gone.unionByName(_confirmed(base, left).where("ok").select(*KEY))
     return _by_doc(gone.unionByName(copies), "gone")
 
