@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm_data import SCHEMA, corpus, edited, text
 
-from demandloom.llm.lines import remove_repeated_lines
+from demandloom.llm.lines import find_repeated_lines, remove_repeated_lines
 from demandloom.llm.near import CHUNKS, MOST_DIFFERENT, POSITIONS, chunk_keys, components, near_duplicates
 from demandloom.llm.repeats import Texts, recompress, remove_repeats, telling
 
@@ -132,3 +132,16 @@ def test_line_removal_equals_all_pairs(spark):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in remove_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = lines_plain(rows)
     assert got == want
+
+
+def test_found_lines_equal_all_pairs(spark):
+    rng = random.Random(9)
+    base = [text(rng, "en", 1) for _ in range(6)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), 0.03 * (i % 8)) for _ in range(4)) + "\n \n" + "x y z w"[: 2 * (i % 4) + 1], "en", "s", 1) for i in range(60)]
+    want = lines_plain(rows)
+    found = {r.doc_id: r for r in find_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(r.n_removed for r in found.values()) > 50
+    for i, t, *_ in rows:
+        lines, gone = t.split("\n"), {int(x) for x in found[i].removed.split(",") if x}
+        left = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+        assert (left, found[i].n_lines, found[i].n_removed) == want[i] and len(gone) == found[i].n_removed
