@@ -72,6 +72,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that no unwritten rows depend on any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shipped(spark: SparkSession, data: bytes, label: str) -> Column:
     """Bytes as a value that plans name but do not hold: Spark prints a literal of their size in every text of a plan."""
     return settle(spark.createDataFrame([(bytearray(data),)], "data binary"), label).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import SPACES, let, pick, settle, shipped
+from demandloom.llm.common import SPACES, discard, let, pick, settle, shipped
 
 #: Two lines match if 5 * common >= 4 * distinct words in either, that is a Jaccard of 0.8 or more.
 #: Rarity is measured in so many hash buckets of words. Any order gives the same result, a finer
@@ -78,9 +78,16 @@ def _flag(place: Column, width: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int") * width)
 
 
-def _rarity(base: DataFrame) -> Column:
-    """Levels of the hash buckets of words, rarer words first: the bits of the number of texts with a word, 31 at most."""
-    found = base.select(F.explode(F.array_distinct(_hashes(F.col("text")))).alias("h"))
+def _words(base: DataFrame) -> DataFrame:
+    """One row per line with words: doc, part, place, hashes (64 bits each) of its different words."""
+    lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
+    hashes = F.array_remove(F.array_distinct(_hashes(F.col("line"))), F.xxhash64(F.lit("")))
+    return lines.select(*KEY, hashes.alias("hashes"))
+
+
+def _rarity(words: DataFrame) -> Column:
+    """Levels of the hash buckets of words, rarer words first: the bits of the number of lines with a word, 31 at most."""
+    found = words.select(F.explode("hashes").alias("h"))
     counts = found.groupBy(F.col("h").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(31), F.floor(F.log2("n")).cast("int") + 1).cast("long")
     # Twelve levels of five bits to a row: 2^19 buckets are 43,691 rows for the driver.
@@ -91,21 +98,20 @@ def _rarity(base: DataFrame) -> Column:
     for r, value in packed.collect():
         for i in range(12):
             levels[12 * r + i] = value >> (5 * i) & 31
-    return settle(base.sparkSession.createDataFrame([(levels,)], "data array<tinyint>"), "levels").scalar()
+    return settle(words.sparkSession.createDataFrame([(levels,)], "data array<tinyint>"), "levels").scalar()
 
 
-def _sets(base: DataFrame) -> DataFrame:
+def _sets(words: DataFrame) -> DataFrame:
     """One row per line with words: doc, part, place, set (hash of all words), n, bits, prefix (rarest words first)."""
     size = 1 << SKETCH_BITS
-    blank = F.xxhash64(F.lit(""))
 
     def ranked(t: Column) -> Column:
-        level = F.get(F.col("levels"), t.bitwiseAND(size - 1).cast("int")).cast("long")
+        # Never NULL, so that Spark sorts plain numbers.
+        level = F.coalesce(F.get(F.col("levels"), t.bitwiseAND(size - 1).cast("int")), F.lit(0).cast("tinyint")).cast("long")
         return F.call_function("shiftleft", level, F.lit(TOKEN_BITS)).bitwiseOR(t.bitwiseAND((1 << TOKEN_BITS) - 1))
 
-    lines = base.select(*DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
-    tokens = F.sort_array(F.transform(F.array_remove(F.array_distinct(_hashes(F.col("line"))), blank), ranked))
-    sets = lines.withColumn("levels", _rarity(base)).select(*KEY, tokens.alias("tokens"))
+    tokens = F.sort_array(F.transform("hashes", ranked))
+    sets = words.withColumn("levels", _rarity(words)).select(*KEY, tokens.alias("tokens"))
     # 4/5 of the words must be shared, rounded up, so a match shares a word of the first n - 4n/5 + 1.
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_flag(t.bitwiseAND(63), 1)))
@@ -216,7 +222,9 @@ def repeated_lines(base: DataFrame) -> DataFrame:
        not match it meets its other candidates and all earlier lines of its words, so none is missed;
        these pairs first compare their whole prefixes, and only texts of those that pass are shuffled.
     """
-    sets = settle(_sets(base), "sets")
+    words = settle(_words(base), "words")
+    sets = settle(_sets(words), "sets")
+    discard(words)
     firsts = settle(_firsts(sets), "firsts")
     # The same place of an equal row is no other line.
     first = firsts.select(*SET, *[F.col(c).alias(f"to_{c}") for c in KEY])
@@ -242,8 +250,9 @@ def repeated_lines(base: DataFrame) -> DataFrame:
         asks = picked.join(still, [*KEY], "left_semi").select("token", "a")
         again = asks.join(others, "token").where(_may_match("a", "b") & earlier).select(*_pair("a", "b"))
         more = pairs.join(still, [*KEY], "left_semi").unionByName(again).distinct()
-        left = settle(more.join(open_lines, [*KEY, *TO_KEY], "left_anti"), "more")
-        left = settle(_prefixes_allow(left, firsts), "pairs")
+        more = settle(more.join(open_lines, [*KEY, *TO_KEY], "left_anti"), "more")
+        left = settle(_prefixes_allow(more, firsts), "left")
+        discard(more, pairs, crowd)
         gone = gone.unionByName(_confirmed(base, left).where("ok").select(*KEY))
     return _by_doc(gone.unionByName(copies), "gone")
 
