@@ -229,6 +229,8 @@ def repeated_lines(base: DataFrame) -> DataFrame:
     # The same place of an equal row is no other line.
     first = firsts.select(*SET, *[F.col(c).alias(f"to_{c}") for c in KEY])
     copies = sets.select(*SET, *KEY).join(first, [*SET]).where(F.struct(*KEY) != F.struct(*TO_KEY)).select(*KEY)
+    copies = settle(copies, "copies")
+    discard(sets)
 
     crowd = settle(_crowd(firsts), "crowd")
     earlier = _at("b") < _at("a")
