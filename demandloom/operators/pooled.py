@@ -2,14 +2,18 @@
 
 The trees of `functions.fits` learn from one SKU's few points each. Here MLlib grows one set of trees
 over the cluster from every SKU's steps, as shares of the SKU's own mean, so short series borrow
-from long ones. Only the trees come to the driver: at most TREES x (2^DEPTH - 1) cuts.
+from long ones. Only the bounds of bins and the trees come to the driver: at most BINS - 1 and
+TREES x (2^DEPTH - 1) numbers. Beyond ROWS rows the trees learn from weighted cells of rows, so what
+the rounds of boosting read and keep is bounded.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 # Fixed values of the boosted model, and the fewest points it takes.
 TREES, DEPTH, RATE, SHARE = 50, 2, 0.1, 0.9
 LEAST_POINTS = 6
+#: Bins of the previous value. Beyond so many rows each bin's are dealt to so many groups and merged there.
+BINS, ROWS, GROUPS = 256, 1 << 20, 1 << 12
 
 
 def scale(quantities: Column) -> Column:
@@ -93,15 +99,43 @@ class PooledTrees:
         return F.when(usable(quantities) & (steps > 0), F.transform(shares, lambda v: v * size))
 
 
+def cells(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """(bin, value, weight) from (previous, value, group): the rows of one bin and group as their mean and number.
+
+    Bin i begins at cut i - 1; every row is in one cell. A tree sees the bin of a row, not its
+    previous value, and the rows of a cell share their bin. So means and weights give the splits and
+    leaves that the rows would give. The sample of a round is drawn from cells.
+    """
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="previous", outputCol="bin", handleInvalid="keep")
+    # Without metadata, which would make bins categories; they have an order.
+    binned = split.transform(rows).withColumn("bin", F.col("bin").alias("bin", metadata={})).groupBy("bin", "group")
+    return binned.agg(F.avg("value").alias("value"), F.count("*").cast("double").alias("weight")).drop("group")
+
+
+def _vectors(rows: DataFrame, name: str) -> DataFrame:
+    return VectorAssembler(inputCols=[name], outputCol="features").transform(rows)
+
+
 def fit_pooled(
     series: DataFrame, quantities: str = "quantities", dates: str = "dates", trees: int = TREES, depth: int = DEPTH, seed: int = 0
 ) -> PooledTrees | None:
     """Trees over the lag rows of all SKUs, grown by MLlib; None if no SKU has enough points."""
     rows = lag_rows(series, quantities, dates).where(F.col("previous").isNotNull() & F.col("value").isNotNull())
-    if rows.isEmpty():
-        return None
-    data = VectorAssembler(inputCols=["previous"], outputCol="features").transform(rows).select("features", "value")
-    model = GBTRegressor(
-        labelCol="value", maxIter=trees, maxDepth=depth, stepSize=RATE, subsamplingRate=SHARE, maxBins=256, seed=seed
-    ).fit(data)
-    return PooledTrees.of(model)
+    boosted = GBTRegressor(
+        labelCol="value", maxIter=trees, maxDepth=depth, stepSize=RATE, subsamplingRate=SHARE, maxBins=BINS, seed=seed
+    )
+    # Read twice; a lost executor's part is made again from the series.
+    dealt = rows.select("previous", "value", F.pmod(F.xxhash64("sku", "date"), F.lit(GROUPS)).cast("int").alias("group"))
+    dealt.persist(StorageLevel.DISK_ONLY)
+    try:
+        bounds = F.percentile_approx("previous", [i / BINS for i in range(1, BINS)], 40 * BINS)
+        n, cuts = dealt.agg(F.count("*"), F.array_distinct(bounds)).first()
+        if not n:
+            return None
+        if n <= ROWS:
+            return PooledTrees.of(boosted.fit(_vectors(rows, "previous").select("features", "value")))
+        found = PooledTrees.of(boosted.setWeightCol("weight").fit(_vectors(cells(dealt, cuts), "bin").select("features", "value", "weight")))
+    finally:
+        dealt.unpersist()
+    # What lies above bin i begins at cut i, and a step holds up to its cut.
+    return PooledTrees(tuple(math.nextafter(cuts[int(c)], -math.inf) for c in found.cuts), found.values)

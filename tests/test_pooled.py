@@ -1,6 +1,7 @@
 """Trees over all SKUs: rows, rules of the recursion, and the fit table that uses them."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -82,6 +83,35 @@ def test_the_trees_learn_the_alternation(many, trees):
             assert r.path == pytest.approx([first, second] * 2, rel=0.15)
 
 
+def test_cells_hold_every_row(many):
+    rows, cuts = pooled.lag_rows(many).withColumn("group", F.dayofmonth("date") % 3), [0.5, 0.7, 1.0]
+    want = {}
+    for r in rows.collect():
+        want.setdefault(sum(c <= r.previous for c in cuts), []).append(r.value)
+    found = pooled.cells(rows, cuts).collect()
+    assert len(found) <= 3 * len(want) < rows.count()
+    for b, values in want.items():
+        mine = [c for c in found if c.bin == b]
+        assert sum(c.weight for c in mine) == len(values)
+        assert sum(c.weight * c.value for c in mine) == pytest.approx(sum(values))
+
+
+def test_trees_from_cells_are_those_from_rows(spark, monkeypatch):
+    """Without samples both see the same sums, so they predict the same; MLlib gets cells only."""
+    rng = random.Random(5)
+    shuffled = series(spark, {f"s{k}": rng.sample(range(1, 10), 9) for k in range(40)})
+    monkeypatch.setattr(pooled, "SHARE", 1.0)
+    from_rows, got = pooled.fit_pooled(shuffled, trees=9), []
+    monkeypatch.setattr(pooled, "ROWS", 0)
+    monkeypatch.setattr(pooled, "GROUPS", 2)
+    monkeypatch.setattr(pooled, "_vectors", lambda rows, name, plain=pooled._vectors: got.append(rows.count()) or plain(rows, name))
+    from_cells = pooled.fit_pooled(shuffled, trees=9)
+    at = spark.createDataFrame([(q / 5,) for q in range(1, 10)], "x double")
+    for r in at.select(from_rows.value(F.col("x")).alias("rows"), from_cells.value(F.col("x")).alias("cells")).collect():
+        assert r.cells == pytest.approx(r.rows)
+    assert got == [18]
+
+
 def test_no_usable_series(spark):
     assert pooled.fit_pooled(series(spark, {"a": [1, 2]})) is None
     steps = horizon("2024-03-01", "2024-03-03")
