@@ -73,3 +73,39 @@ def test_parities_differ_at_most_where_words_do(spark):
     for r in both.collect():
         apart = len(set(sets[r.id]) ^ set(sets[r.to]))
         assert r.d <= apart and (apart - r.d) % 2 == 0
+
+
+def test_lines_meet_only_lines_of_about_their_size(spark):
+    sizes = (8, 9, 10, 16, 40, 100)
+    given = [(i, i, n, 0, 0, 0, 0, [5 << 58 | w << lines.LEFT_OUT for w in range(n // 5 + 1)]) for i, n in enumerate(sizes)]
+    firsts = spark.createDataFrame(given, "line bigint, set bigint, n int, bits bigint, bits1 bigint, bits2 bigint, bits3 bigint, prefix array<bigint>")
+    tokens = {}
+    for r in lines._by_word(firsts).collect():
+        tokens.setdefault(r.n, set()).add(r.token)
+    met = {(a, b) for a in sizes for b in sizes if a < b and tokens[a] & tokens[b]}
+    assert {(8, 9), (8, 10), (9, 10)} <= met and not {(8, 40), (10, 100), (16, 100), (16, 40), (40, 100)} & met
+    assert all(len(tokens[n]) <= n // 5 + 1 + n // 9 + 1 for n in sizes)
+
+
+@pytest.mark.parametrize("first, step", [(0, 1), ((1 << 32) - 70, 1), (-50, 1), (1 << 40, 1 << 30)])
+def test_lines_at_the_borders_of_size_classes_equal_all_pairs(spark, first, step):
+    rng = random.Random(4)
+    texts = []
+    for n in (4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65):
+        base = [f"v{n}x{i}" for i in range(n)]
+        for more in (0, n // 5, n // 4, n // 4 + 1):
+            texts.append(" ".join(base + [f"z{n}x{i}" for i in range(more)]) + "\nsame line")
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(first + i * step, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_repeated_lines(docs).collect()}
+    assert got == lines_plain([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_texts_are_read_once_for_both_sides_of_pairs(spark, monkeypatch):
+    rounds, settle = [], lines.settle
+    monkeypatch.setattr(lines, "settle", lambda df, label: rounds.append(label) or settle(df, label))
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(base[2:]), " ".join(base[:30] + [f"y{i}" for i in range(10)])]
+    out = lines.remove_repeated_lines(rows_of(spark, texts)).collect()
+    assert sum(r.n_removed for r in out) == 1
+    assert rounds.count("texts") == rounds.count("judged") + rounds.count("left")
